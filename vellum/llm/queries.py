@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.license_scan import license_scan
 from vellum.llm.mixing import mix_sources
+from vellum.llm.near_dedup import near_dedup
 from vellum.llm.packing import pack
 from vellum.llm.tokens import TOKENIZER, length_histogram, token_lengths
 from vellum.llm.topk_search import topk_search
@@ -43,6 +44,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), words=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_source_mix": op8_source_mix,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 #: A-Z to a-z only, for DuckDB.
@@ -70,4 +76,15 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept,
                sha256(norm) AS text_sha256
         FROM t""",
+    "op10_near_dedup": f"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+             s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS sh FROM t),
+             e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+                   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+             l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+             r(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id),
+             c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""",
 }
