@@ -1 +1,8 @@
 """vellum: document retrieval analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel by value, so these need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
