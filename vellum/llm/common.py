@@ -65,10 +65,14 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def arrow_limits(spark: SparkSession) -> None:
+    """Batches sent to Python stay small in rows, and so in bytes when texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches that stay small in bytes as well as in rows."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """mapInArrow with small batches."""
+    arrow_limits(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -224,17 +224,17 @@ def near_dedup(docs: DataFrame, text: str = "text", words: int = WORDS, percent:
     kept. A text of fewer than `words` words has its whole sequence as one shingle.
 
     * null text, or one without words: n_shingles 0, linked with nothing, kept.
-    * null doc_id: never a component's id; such a row belongs to the texts with its very
-      set if one of these has an id, else it links with nothing, component_id null, kept.
+    * null doc_id: links with nothing, component_id null, kept.
     * repeated rows: same component, and each row whose doc_id is component_id is kept.
     * an empty table gives no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", F.col(text).alias("_text"))
     signed = stored(signatures(docs, "_text", words, bands, rows), "signatures")
     keys = ["d1", "d2"]
-    groups = cut(signed.filter("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("items"), F.count(F.lit(1)).alias("size")))
-    nodes = groups.filter("node IS NOT NULL").select("node").distinct()
-    entries = signed.filter("n_shingles > 0").join(nodes.hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left_semi")
+    some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    groups = cut(some.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("items"), F.count(F.lit(1)).alias("size")))
+    nodes = groups.select("node").distinct()
+    entries = some.join(nodes.hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left_semi")
     entries = entries.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
     centre = F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "size"))
     buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), centre.alias("c")).filter("n > 1")
@@ -252,8 +252,7 @@ def near_dedup(docs: DataFrame, text: str = "text", words: int = WORDS, percent:
     if not extra.isEmpty():
         labels = components(links.unionByName(extra))
     labelled = groups.join(labels, "node", "left").select(*keys, "size", F.coalesce("label", "node").alias("component_id"))
-    plain = signed.select("doc_id", "n_shingles", *keys)
-    some = join_groups(plain.filter("n_shingles > 0"), labelled, keys, "size", plain.count())
-    none = plain.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    out = some.select("doc_id", "n_shingles", "component_id").unionByName(none.select("doc_id", "n_shingles", "component_id"))
+    linked = join_groups(some.select("doc_id", "n_shingles", *keys), labelled, keys, "size", signed.count())
+    alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
+    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -20,7 +20,7 @@ from vellum.llm.common import cut, map_arrow
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Lengths in one block of the suffix sums.
-BLOCK = 1024
+BLOCK = 64
 
 
 class Encoder:
