@@ -1,6 +1,455 @@
-"""Queries of the engine's own operators and their oracle SQL."""
+"""Queries over the engine's own operators, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vellum.functions import numbers as N
+from vellum.functions import text as X
+from vellum.functions.locate import find_chunk, highlight
+from vellum.operators import catalog as C
+from vellum.operators import chunking as K
+from vellum.operators import index as I  # noqa: E741
+from vellum.operators import search as S
+from vellum.plans import base as B
+from vellum.sources import files as P
+from vellum.streaming import live as L
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None, *parts: str):
+    """Registers the function under its name, with SQL over the common table expressions in parts."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = ("WITH RECURSIVE " + ", ".join(parts) + " " if parts else "") + sql
+        return fn
+
+    return add
+
+
+D, DK = (B.DOCUMENTS,), (B.DOCUMENTS, B.CONTENTS)
+DC = (B.DOCUMENTS, B.CHUNKS)
+DCQ = (*DC, B.QUERIES, B.SCORES)
+
+# Scans and sources.
+
+
+@query("SELECT id, name, type, size, status FROM d WHERE library_id = 'src3' ORDER BY created_at DESC", *D)
+def scan_library_documents(spark, sf):
+    return C.newest_first(C.where(B.documents(spark, sf), library_id="src3")).select("id", "name", "type", "size", "status")
+
+
+@query("SELECT id, name, status FROM d WHERE id = '42'", *D)
+def point_get_document(spark, sf):
+    return C.get(B.documents(spark, sf), "id", "42").select("id", "name", "status")
+
+
+@query("SELECT id, library_id, status FROM d WHERE library_id = 'src2' AND status = 'indexed'", *D)
+def compound_scan(spark, sf):
+    return C.where(B.documents(spark, sf), library_id="src2", status="indexed").select("id", "library_id", "status")
+
+
+@query("SELECT id, status FROM d WHERE status IN ('pending', 'parsing', 'chunking', 'embedding')", *D)
+def multi_value_scan(spark, sf):
+    return C.where(B.documents(spark, sf), status=list(C.PROCESSING)).select("id", "status")
+
+
+@query("SELECT id, name, created_at, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM (SELECT library_id AS id, upper(library_id) AS name, min(created_at) AS created_at FROM d GROUP BY ALL)", *D)
+def libraries_newest_first(spark, sf):
+    # One row per library.
+    return C.newest_first(B.libraries(spark, sf)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).cast("long"))
+
+
+@query("SELECT library_id, id, place FROM (SELECT library_id, id, row_number() OVER (PARTITION BY library_id ORDER BY created_at DESC, id) AS place FROM d) WHERE place <= 5", *D)
+def documents_by_created_desc(spark, sf):
+    w = Window.partitionBy("library_id").orderBy(F.desc("created_at"), "id")
+    return B.documents(spark, sf).withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 5").select("library_id", "id", "place")
+
+
+@query("SELECT id, type FROM d", *D)
+def infer_document_type(spark, sf):
+    return B.documents(spark, sf).select("id", P.document_type(F.col("mime"), F.col("name")).alias("type"))
+
+
+@query("SELECT id, CASE WHEN name LIKE '%.pdf' OR mime = 'application/pdf' THEN 'pdf' WHEN name LIKE '%.docx' THEN 'docx' ELSE 'text' END AS route FROM d", *D)
+def route_parser(spark, sf):
+    return B.documents(spark, sf).select("id", P.parser_route(F.col("mime"), F.col("name")).alias("route"))
+
+
+@query("SELECT id, name FROM (SELECT id, CASE WHEN doc_id % 2 = 0 THEN upper(name) ELSE name END AS name, mime FROM d) WHERE mime IN ('application/pdf', 'text/plain') OR regexp_matches(lower(name), '\\.(pdf|docx|txt|md)$')", *D)
+def accept_files(spark, sf):
+    d = B.documents(spark, sf).withColumn("name", F.when(F.col("doc_id") % 2 == 0, F.upper("name")).otherwise(F.col("name")))
+    return d.filter(P.accepted(F.col("mime"), F.col("name"))).select("id", "name")
+
+
+@query("SELECT page_id, length(html) AS size, 'txt' AS type FROM pages")
+def decode_text_files(spark, sf):
+    pages = B.table(spark, sf, "pages").select("page_id", F.concat("url", F.lit(".html")).alias("name"), F.lit("text/html").alias("mime"), F.encode("html", "UTF-8").alias("content"))
+    parsed = P.parse(pages)
+    return parsed.select("page_id", F.length("text").cast("long").alias("size"), P.document_type(F.col("mime"), F.col("name")).alias("type"))
+
+
+# Counts and catalog changes.
+
+
+@query("SELECT library_id, count(*) AS n FROM d WHERE status = 'indexed' GROUP BY library_id", *D)
+def count_indexed(spark, sf):
+    return C.where(B.documents(spark, sf), status="indexed").groupBy("library_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT library_id, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status IN ('pending', 'parsing', 'chunking', 'embedding')) AS processing, bool_or(status IN ('pending', 'parsing', 'chunking', 'embedding')) AS any_processing FROM d GROUP BY library_id", *D)
+def count_processing(spark, sf):
+    return C.status_counts(B.documents(spark, sf))
+
+
+@query("SELECT count(*) AS n FROM d WHERE status IN ('pending', 'parsing', 'chunking', 'embedding')", *D)
+def count_processing_global(spark, sf):
+    return B.documents(spark, sf).filter(C.is_processing(F.col("status"))).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n FROM d WHERE status IN ('pending', 'parsing')", *D)
+def count_interrupted(spark, sf):
+    return C.interrupted(B.documents(spark, sf)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT library_id, CASE WHEN count(*) FILTER (status = 'indexed') > 0 THEN 'search' ELSE 'documents' END AS route FROM d WHERE doc_id % 3 = 0 OR library_id > 'src5' GROUP BY library_id", *D)
+def library_landing_route(spark, sf):
+    d = B.documents(spark, sf).filter("doc_id % 3 = 0 OR library_id > 'src5'")
+    return C.status_counts(d).select("library_id", C.landing_route(F.col("indexed")).alias("route"))
+
+
+@query("SELECT l.library_id, count(d.id) AS document_count, CAST(coalesce(sum(d.size), 0) AS BIGINT) AS chunk_count FROM (SELECT DISTINCT library_id FROM d UNION ALL SELECT 'nowhere') l LEFT JOIN d ON d.library_id = l.library_id GROUP BY ALL", *D)
+def library_counters(spark, sf):
+    libs = B.libraries(spark, sf).select("id").union(spark.createDataFrame([("nowhere",)], "id string"))
+    return C.library_counters(libs, B.documents(spark, sf).withColumn("chunk_count", F.col("size")))
+
+
+@query("SELECT document_id, count(*) AS chunk_count FROM c GROUP BY document_id", *DC)
+def document_chunk_counts(spark, sf):
+    return B.chunks(spark, sf).groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+
+
+@query("SELECT d.id, d.name, k.text AS content, CASE WHEN k.text IS NOT NULL THEN k.text WHEN status = 'error' THEN 'Document processing failed' ELSE 'Document is being processed...' END AS shown FROM d LEFT JOIN k ON k.document_id = d.id", *DK)
+def document_with_content(spark, sf):
+    return C.with_content(B.documents(spark, sf).drop("text").withColumn("error", F.lit(None).cast("string")), B.contents(spark, sf)).select("id", "name", "content", "shown")
+
+
+@query("SELECT library_id, upper(library_id) AS name, count(*) AS n, arg_max(id, created_at) AS newest FROM d GROUP BY library_id", *D)
+def libraries_with_documents(spark, sf):
+    nested = C.libraries_with_documents(B.libraries(spark, sf), B.documents(spark, sf))
+    return nested.select("library_id", "name", F.size("documents").cast("long").alias("n"), F.col("documents")[0].id.alias("newest"))
+
+
+def _snapshot(spark, sf) -> C.Snapshot:
+    null = F.lit(None)
+    d = B.documents(spark, sf).withColumns({"updated_at": F.col("created_at"), "chunk_count": F.lit(0).cast("long"), "processing_progress": (F.col("doc_id") % 100).cast("int"), "error": null.cast("string")})
+    libs = B.libraries(spark, sf).withColumns({"description": null.cast("string"), "updated_at": F.col("created_at"), "document_count": F.lit(0).cast("long"), "chunk_count": F.lit(0).cast("long")})
+    return C.Snapshot(libs, d.drop("text", "mime", "doc_id"), B.contents(spark, sf), B.chunks(spark, sf).drop("embedding"))
+
+
+_AFTER = "SELECT 'documents' AS part, library_id, count(*) AS n FROM d WHERE {0} GROUP BY ALL UNION ALL SELECT 'contents', library_id, count(*) FROM k WHERE {1} GROUP BY ALL UNION ALL SELECT 'chunks', library_id, count(*) FROM c WHERE {1} GROUP BY ALL"
+
+
+def _after(s: C.Snapshot) -> DataFrame:
+    parts = [t.groupBy("library_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "library_id", "n") for n, t in (("documents", s.documents), ("contents", s.contents), ("chunks", s.chunks))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(_AFTER.format("id NOT IN ('7', '8', '9')", "document_id NOT IN ('7', '8', '9')"), *DK, B.CHUNKS)
+def delete_document_cascade(spark, sf):
+    ids = spark.createDataFrame([("7",), ("8",), ("9",), ("none",)], "id string")
+    return _after(C.delete_documents(_snapshot(spark, sf), ids))
+
+
+@query(_AFTER.format("library_id <> 'src2'", "library_id <> 'src2'"), *DK, B.CHUNKS)
+def delete_library_cascade(spark, sf):
+    return _after(C.delete_library(_snapshot(spark, sf), "src2"))
+
+
+@query(_AFTER.format("status NOT IN ('pending', 'parsing')", "document_id NOT IN (SELECT id FROM d WHERE status IN ('pending', 'parsing'))"), *DK, B.CHUNKS)
+def cleanup_interrupted(spark, sf):
+    return _after(C.cleanup_interrupted(_snapshot(spark, sf)))
+
+
+@query("SELECT document_id, text FROM k WHERE CAST(document_id AS BIGINT) % 5 <> 0 UNION ALL SELECT id, text || '!' FROM d WHERE doc_id % 5 = 0", *DK)
+def upsert_content(spark, sf):
+    d = B.documents(spark, sf).filter("doc_id % 5 = 0")
+    rows = d.select(F.col("id").alias("document_id"), "library_id", F.concat("text", F.lit("!")).alias("text"), F.lit(None).cast("array<string>").alias("pages"))
+    return C.upsert(B.contents(spark, sf), rows, "document_id").select("document_id", "text")
+
+
+@query("SELECT id, CASE WHEN doc_id % 4 = 0 THEN 'indexed' WHEN doc_id % 4 = 1 THEN 'parsing' ELSE status END AS status, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 5 ELSE CAST(doc_id % 100 AS INTEGER) END AS processing_progress, CASE WHEN doc_id % 4 < 2 THEN 1800000000000 ELSE created_at END AS updated_at FROM d", *D)
+def update_status(spark, sf):
+    d = B.documents(spark, sf).filter("doc_id % 4 < 2")
+    changes = d.select("id", F.when(F.col("doc_id") % 4 == 0, "indexed").otherwise("parsing").alias("status"), F.lit(5).alias("processing_progress"))
+    return C.set_status(_snapshot(spark, sf), changes, 1_800_000_000_000).documents.select("id", "status", "processing_progress", "updated_at")
+
+
+@query("SELECT library_id AS id, CASE WHEN library_id = 'src4' THEN 'New name' ELSE upper(library_id) END AS name, CASE WHEN library_id = 'src4' THEN 1800000000000 ELSE min(created_at) END AS updated_at FROM d GROUP BY library_id", *D)
+def update_library(spark, sf):
+    return C.update_library(_snapshot(spark, sf), "src4", 1_800_000_000_000, name="New name").libraries.select("id", "name", "updated_at")
+
+
+@query("SELECT * FROM (SELECT library_id AS id, count(*) AS document_count FROM d GROUP BY ALL UNION ALL SELECT 'fresh', 2) x", *D)
+def create_library_and_documents(spark, sf):
+    s = C.create_library(_snapshot(spark, sf), "fresh", "  Fresh  ", 1)
+    s = C.create_documents(s, spark.createDataFrame([("n1", "a.txt", "txt", 3), ("n2", "b.md", "md", 4), ("1", "old.txt", "txt", 5)], "id string, name string, type string, size long"), "fresh", 2)
+    return s.libraries.select("id", "document_count")
+
+
+@query("SELECT id, status = 'indexed' AS viewable, status IN ('pending', 'parsing', 'chunking', 'embedding') AS processing, status = 'error' AS failed, status NOT IN ('indexed', 'error') AS progress_bar FROM d", *D)
+def document_flags(spark, sf):
+    return B.documents(spark, sf).select("id", *[c.alias(k) for k, c in C.flags(F.col("status")).items()])
+
+
+# Chunking.
+
+
+@query("SELECT document_id, chunk_index, text, page FROM c", *DC)
+def chunk_pages(spark, sf):
+    return B.documents(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_pages(F.split("text", "\n")))).select("document_id", "chunk_index", "text", "page")
+
+
+_STEP = """at AS (SELECT id, i, cur, left(cur, 500) AS sub, len(cur) AS n FROM lo WHERE len(cur) > 500)"""
+_BP = "CASE WHEN strpos(reverse(left(cur, 500)), ' .') > 0 AND 500 - strpos(reverse(left(cur, 500)), ' .') - 1 > 250 THEN 500 - strpos(reverse(left(cur, 500)), ' .') + 1 WHEN strpos(reverse(left(cur, 500)), ' ') > 0 AND 500 - strpos(reverse(left(cur, 500)), ' ') > 150 THEN 500 - strpos(reverse(left(cur, 500)), ' ') + 1 ELSE 500 END"
+_LOOP = f"""lo(id, i, cur) AS (SELECT id, 0, {B.sql_trim("text")} FROM d UNION ALL SELECT id, i + 1, {B.sql_trim(f"substring(cur, {_BP} - 100 + 1)")} FROM lo WHERE len(cur) > 500)"""
+
+
+@query(f"SELECT id AS document_id, CAST(i AS INTEGER) AS chunk_index, CASE WHEN len(cur) > 500 THEN {B.sql_trim(f'left(cur, {_BP})')} ELSE cur END AS text FROM lo WHERE cur <> ''", *D, _LOOP)
+def chunk_text(spark, sf):
+    return B.documents(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_text(F.col("text")))).select("document_id", "chunk_index", "text")
+
+
+@query(None)
+def chunk_paragraphs(spark, sf):
+    """Paragraphs folded, then looped: tested on goldens and invariants."""
+    text = F.regexp_replace("text", "\n", "\n\n")
+    return B.documents(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_text(text))).select("document_id", "chunk_index", "text")
+
+
+@query(None)
+def chunk_markdown(spark, sf):
+    """Sections, the long ones looped: tested on goldens and invariants."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i == 0, F.concat(F.lit("# "), x)).when(i % 3 == 0, F.concat(F.lit("## "), x)).otherwise(x))
+    return B.documents(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_markdown(F.array_join(lines, "\n")))).select("document_id", "chunk_index", "text")
+
+
+@query("SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'pages' WHEN name LIKE '%.md' OR name LIKE '%.markdown' THEN 'markdown' ELSE 'text' END AS route FROM d", *D)
+def chunk_route(spark, sf):
+    pages = F.when(F.col("doc_id") % 3 == 0, F.split("text", "\n"))
+    return B.documents(spark, sf).select("id", K.chunk_route(F.col("name"), pages).alias("route"))
+
+
+@query(None)
+def chunk_dispatch(spark, sf):
+    d = B.documents(spark, sf).withColumn("pages", F.when(F.col("doc_id") % 3 == 0, F.split("text", "\n")))
+    return K.chunk_documents(d).select("id", F.inline("chunks")).select("id", "chunk_index", "page", F.length("text").alias("n"))
+
+
+@query(r"SELECT document_id, chunk_index, lag(chunk_index) OVER w AS prev, lead(chunk_index) OVER w AS next FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)", *DC)
+def chunk_neighbors(spark, sf):
+    c = B.chunks(spark, sf)
+    count = F.count(F.lit(1)).over(Window.partitionBy("document_id"))
+    back, ahead = S.neighbours(F.col("chunk_index"), F.col("n"))
+    return c.withColumn("n", count).select("document_id", "chunk_index", back.alias("prev"), ahead.alias("next"))
+
+
+@query("SELECT document_id, chunk_index, text FROM c WHERE document_id = '11' ORDER BY chunk_index", *DC)
+def chunks_by_document(spark, sf):
+    return C.where(B.chunks(spark, sf), document_id="11").orderBy("chunk_index").select("document_id", "chunk_index", "text")
+
+
+@query("SELECT document_id, chunk_index, text FROM c WHERE library_id = 'src1' AND document_id = '1' AND chunk_index = 0", *DC)
+def chunk_by_index(spark, sf):
+    return C.first_match(C.where(B.chunks(spark, sf), library_id="src1", document_id="1", chunk_index=0), "id").select("document_id", "chunk_index", "text")
+
+
+# Index and search.
+
+
+@query("SELECT library_id, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM tf GROUP BY ALL", *DCQ)
+def index_terms(spark, sf):
+    i = I.build(B.chunks(spark, sf))
+    return i.postings.groupBy("library_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
+@query("SELECT library_id, n, round(avgdl, 6) AS avgdl FROM st", *DCQ)
+def index_stats(spark, sf):
+    return I.library_stats(I.build(B.chunks(spark, sf))).select("library_id", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query("SELECT library_id, count(*) AS n FROM c WHERE document_id NOT IN ('5', '25') AND library_id <> 'src9' GROUP BY ALL", *DC)
+def index_maintenance(spark, sf):
+    c = B.chunks(spark, sf)
+    i = I.insert(I.build(c), c.filter("library_id = 'src1'"))
+    i = I.remove_documents(I.remove_library(i, "src9"), spark.createDataFrame([("5",), ("25",)], "id string"))
+    return i.stats.groupBy("library_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _top(k: int, scores: str) -> str:
+    return f"SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {scores}) WHERE rank <= {k}"
+
+
+def _rounded(scores: DataFrame, k: int = 10) -> DataFrame:
+    """Ranked on nine digits, so that the order of sums can't decide ties."""
+    return S.ranked(scores.withColumn("score", F.round("score", 9)), k).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(_top(10, "ts"), *DCQ)
+def bm25_topk(spark, sf):
+    return _rounded(S.text_scores(I.build(B.chunks(spark, sf)), B.queries(spark, sf)))
+
+
+@query(_top(10, "vp"), *DCQ)
+def vector_topk(spark, sf):
+    return _rounded(S.vector_scores(B.chunks(spark, sf), B.queries(spark, sf)))
+
+
+def _fuse(t: float, v: float) -> str:
+    return f"(SELECT query_id, chunk_id, coalesce(tn.s, 0) * {t} + coalesce(vn.s, 0) * {v} AS score FROM tn FULL JOIN vn USING (query_id, chunk_id))"
+
+
+def _hybrid(spark, sf, t: float, v: float) -> DataFrame:
+    c, q = B.chunks(spark, sf), B.queries(spark, sf)
+    return S.fused(S.text_scores(I.build(c), q), S.vector_scores(c, q), t, v)
+
+
+@query(_top(10, _fuse(0.5, 0.5)), *DCQ)
+def hybrid_topk(spark, sf):
+    return _rounded(_hybrid(spark, sf, 0.5, 0.5))
+
+
+@query(_top(10, _fuse(0.3, 0.7)), *DCQ)
+def hybrid_weighted(spark, sf):
+    return _rounded(_hybrid(spark, sf, 0.3, 0.7))
+
+
+@query(_top(10, _fuse(1.0, 0.0)), *DCQ)
+def hybrid_text_only(spark, sf):
+    return _rounded(_hybrid(spark, sf, 1.0, 0.0))
+
+
+@query(_top(10, _fuse(0.0, 1.0)), *DCQ)
+def hybrid_vector_only(spark, sf):
+    return _rounded(_hybrid(spark, sf, 0.0, 1.0))
+
+
+@query(f"SELECT query_id, rank, chunk_id, score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM ({_top(10, _fuse(0.5, 0.5))})) WHERE score >= best * 0.7", *DCQ)
+def search_relative_threshold(spark, sf):
+    return S.relative_filter(_rounded(_hybrid(spark, sf, 0.5, 0.5)), 70)
+
+
+@query(f"SELECT r.query_id, r.rank, r.chunk_id, r.score, c.document_id, c.document_name, c.text, c.page, c.chunk_index FROM ({_top(10, _fuse(0.5, 0.5))}) r JOIN c ON c.id = r.chunk_id", *DCQ)
+def q1_hybrid_search(spark, sf):
+    """The flagship: chunk all documents, index, and answer hybrid queries with described results."""
+    return S.described(_rounded(_hybrid(spark, sf, 0.5, 0.5)), B.chunks(spark, sf))
+
+
+@query(f"SELECT query_id, count(*) AS n, round(max(score), 6) AS best FROM ({_top(3, 'ts')}) GROUP BY ALL", *DCQ)
+def search_result_counts(spark, sf):
+    return _rounded(S.text_scores(I.build(B.chunks(spark, sf)), B.queries(spark, sf)), 3).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
+
+
+# Scalar functions.
+
+
+@query("SELECT o_orderkey, CAST(floor(s * 100 + 0.5) AS INTEGER) AS percent, CASE WHEN s >= 0.8 THEN 'high' WHEN s >= 0.6 THEN 'mid' ELSE 'low' END AS band, printf('%.4f', round(s, 4)) AS exact FROM (SELECT o_orderkey, (o_orderkey % 1000) / 1000.0::DOUBLE AS s FROM orders)")
+def score_badge(spark, sf):
+    s = F.col("s")
+    return B.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 1000 / 1000.0).alias("s")).select("o_orderkey", N.score_percent(s).alias("percent"), N.score_band(s).alias("band"), N.four_digits(s).alias("exact"))
+
+
+@query("SELECT id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(b / 1048576 * 10 + 0.5) / 10) END AS label, printf('%.2f KB', floor(b / 1024 * 100 + 0.5) / 100) AS kb FROM (SELECT id, size * (doc_id % 50) AS b FROM d)", *D)
+def file_size_label(spark, sf):
+    d = B.documents(spark, sf).withColumn("b", F.col("size") * (F.col("doc_id") % 50))
+    return d.select("id", N.file_size(F.col("b")).alias("label"), N.size_kb(F.col("b")).alias("kb"))
+
+
+@query("SELECT id, CASE WHEN t <= 0 THEN 90 ELSE CAST(floor(15 + v / t * 75 + 0.5) AS INTEGER) END AS progress FROM (SELECT id, doc_id % 17 AS v, doc_id % 23 AS t FROM d)", *D)
+def progress_map(spark, sf):
+    return B.documents(spark, sf).select("id", N.map_range(F.col("doc_id") % 17, F.col("doc_id") % 23, 15, 90).alias("progress"))
+
+
+@query("SELECT id, round(1 - w, 1) AS text_weight, CASE WHEN w = 0.5 THEN 'balanced' WHEN w < 0.5 THEN 'keyword' ELSE 'semantic' END AS mode FROM (SELECT id, round((doc_id % 11) / 10.0::DOUBLE, 1) AS w FROM d)", *D)
+def weight_mode(spark, sf):
+    d = B.documents(spark, sf).withColumn("w", F.round(F.col("doc_id") % 11 / 10.0, 1))
+    return d.select("id", N.complement(F.col("w")).alias("text_weight"), N.weight_mode(F.col("w")).alias("mode"))
+
+
+@query("SELECT id, strftime(make_timestamp(created_at * 1000), '%Y-%m-%d') AS created, upper(type) AS type, doc_id % 4 || ' result' || CASE WHEN doc_id % 4 = 1 THEN '' ELSE 's' END AS results, greatest(1, doc_id % 120 - 10) AS k, least(100, greatest(0, doc_id % 150 - 20)) AS least_score FROM d", *D)
+def labels_and_clamps(spark, sf):
+    i = F.col("doc_id")
+    return B.documents(spark, sf).select("id", N.iso_date(F.col("created_at")).alias("created"), F.upper("type").alias("type"), X.counted(i % 4, "result").alias("results"), N.clamp(i % 120 - 10, 1).alias("k"), N.clamp(i % 150 - 20, 0, 100).alias("least_score"))
+
+
+@query("SELECT item_id, replace(url_encode(left(text, 60)), '%7E', '~') AS encoded, len(text) - strpos(reverse(text), ' ') AS last_space FROM benchmark WHERE strpos(text, ' ') > 0")
+def string_functions(spark, sf):
+    b = B.table(spark, sf, "benchmark").filter(F.instr("text", " ") > 0)
+    return b.select("item_id", X.url_component(F.left("text", F.lit(60))).alias("encoded"), X.last_index_of(F.col("text"), " ").cast("long").alias("last_space"))
+
+
+@query("SELECT vec_id, round(list_inner_product(a, b) / sqrt(list_inner_product(a, a)) / sqrt(list_inner_product(b, b)), 6) AS similarity FROM (SELECT e.vec_id, CAST(e.embedding AS DOUBLE[]) AS a, CAST(z.embedding AS DOUBLE[]) AS b FROM embeddings e JOIN embeddings z ON z.vec_id = 0)")
+def cosine_to_first(spark, sf):
+    e = B.table(spark, sf, "embeddings")
+    return e.join(F.broadcast(e.filter("vec_id = 0").select(F.col("embedding").alias("z")))).select("vec_id", F.round(N.cosine(F.col("embedding"), F.col("z")), 6).alias("similarity"))
+
+
+# Viewing.
+
+
+@query("SELECT c.document_id, c.chunk_index, strpos(d.text, c.text) - 1 AS start, left(d.text, strpos(d.text, c.text) - 1) AS before FROM c JOIN d ON d.id = c.document_id WHERE strpos(d.text, c.text) > 0", *DC)
+def highlight_exact(spark, sf):
+    c = B.chunks(spark, sf).select("document_id", "chunk_index", F.col("text").alias("chunk"))
+    d = B.documents(spark, sf).select(F.col("id").alias("document_id"), "text")
+    at = X.index_of(F.col("text"), F.col("chunk"))
+    return c.join(d, "document_id").withColumn("start", at.cast("long")).filter("start >= 0").select("document_id", "chunk_index", "start", F.expr("left(text, start)").alias("before"))
+
+
+@query("SELECT c.document_id, c.chunk_index, strpos(replace(replace(d.text, chr(10), ''), ' ', ''), replace(replace(c.text, chr(10), ''), ' ', '')) > 0 AS found FROM c JOIN d ON d.id = c.document_id WHERE c.chunk_index = 0", *DC)
+def highlight_spaceless(spark, sf):
+    c = B.chunks(spark, sf).filter("chunk_index = 0").select("document_id", "chunk_index", F.col("text").alias("chunk"))
+    joined = c.join(B.documents(spark, sf).select(F.col("id").alias("document_id"), "text"), "document_id")
+    located = joined.withColumn("at", find_chunk(F.col("text"), F.col("chunk")))
+    before, match, after = highlight(F.col("text"), F.col("at"))
+    whole = F.concat(before, match, after) == F.col("text")
+    return located.select("document_id", "chunk_index", (F.col("at").isNotNull() & whole).alias("found"))
+
+
+# Streaming-like behaviour, over the events feed.
+
+_FEED = """f AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS document_id, 'src' || (user_id % 20) AS library_id,
+    CASE event_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'parsing' WHEN 2 THEN 'chunking' WHEN 3 THEN 'embedding' WHEN 4 THEN 'indexed' ELSE 'error' END AS status FROM events)"""
+
+
+def _feed(spark, sf) -> DataFrame:
+    e = B.table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("document_id"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("library_id"), B._pick(B.STATUSES, F.col("event_id")).alias("status"))
+
+
+@query("SELECT document_id, max(seq) AS seq, arg_max(status, seq) AS status FROM f GROUP BY ALL", _FEED)
+def latest_wins(spark, sf):
+    return L.latest(_feed(spark, sf), "document_id", "seq", "status")
+
+
+@query("SELECT library_id, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status IN ('pending', 'parsing', 'chunking', 'embedding')) AS processing FROM (SELECT document_id, arg_max(library_id, seq) AS library_id, arg_max(status, seq) AS status FROM f GROUP BY document_id) GROUP BY library_id", _FEED)
+def live_counts(spark, sf):
+    return L.live_counts(_feed(spark, sf))
+
+
+@query("SELECT user_id, ts, event_type FROM (SELECT user_id, ts, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS ahead FROM events) WHERE ahead IS NULL OR epoch_ms(ahead) - epoch_ms(ts) > 300")
+def debounced_queries(spark, sf):
+    return L.debounced(B.table(spark, sf, "events"), "user_id", "ts", "event_type")
+
+
+@query("""SELECT library_id, tick, coalesce(lag(processing) OVER w > 0 AND processing = 0, false) AS all_indexed, coalesce(lag(processing) OVER w > 0 AND processing = 0, false) AND indexed > 0 AS redirect
+    FROM (SELECT library_id, seq // 500 AS tick, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'parsing') AS processing FROM f GROUP BY ALL) WINDOW w AS (PARTITION BY library_id ORDER BY tick)""", _FEED)
+def processing_edges(spark, sf):
+    ticks = _feed(spark, sf).groupBy("library_id", F.expr("seq div 500").alias("tick")).agg(F.count_if(F.col("status") == "indexed").alias("indexed"), F.count_if(F.col("status") == "parsing").alias("processing"))
+    return L.edges(ticks, "library_id", "tick", "processing", "indexed").select("library_id", "tick", "all_indexed", "redirect")
