@@ -24,6 +24,8 @@ from vellum.llm.tokens import Encoder
 
 CAPACITY = 1024
 END_ID = 2
+#: Slacks tried by plan_sequences.
+SLACKS = (0, 1, 2, 4, 8, 16, 32, 64, 128, 1024)
 
 
 def piece_bounds(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -86,8 +88,8 @@ def _complement(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
     return None
 
 
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, number of such sequences). counts: pieces by length.
+def plan_once(counts: dict[int, int], capacity: int, slack: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan, longest lengths first. A single length that leaves at most `slack` tokens open is preferred to an exact pair or triple, which may use up short pieces that others need more.
 
     Every step exhausts the availability of some length or completes its sequences, so the
     plan has no more entries than a small multiple of the capacity, whatever the counts.
@@ -105,15 +107,12 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
             while todo:
                 held, times = todo.pop()
                 gap = capacity - sum(held)
-                fit = _complement(left, gap) if gap else ()
-                if fit is None:
-                    below = np.flatnonzero(left[: gap + 1])
-                    if len(below):
-                        x = int(below[-1])
-                        fit = (x,) * max(1, min(gap // x, int(left[x]) // times))
-                if not fit:
+                below = np.flatnonzero(left[: gap + 1])
+                longest = int(below[-1]) if len(below) else 0
+                if not longest:
                     plan.append((held, times))
                     continue
+                fit = (longest,) if gap - longest <= slack else _complement(left, gap) or (longest,) * max(1, min(gap // longest, int(left[longest]) // times))
                 taken = _take(left, fit, times)
                 for x in fit:
                     left[x] -= taken
@@ -123,6 +122,19 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
     return plan
 
 
+def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, number of such sequences): the shortest of the plans for several slacks. counts: pieces by length."""
+    size = lambda plan: sum(times for _, times in plan)
+    least = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best = None
+    for slack in SLACKS:
+        plan = plan_once(counts, capacity, slack)
+        best = plan if best is None or size(plan) < size(best) else best
+        if size(best) <= least:
+            break
+    return best
+
+
 def slots(spark: SparkSession, plan: list[tuple[tuple[int, ...], int]]) -> DataFrame:
     """length, low, high, sequence, offset: pieces of a length with low <= rank < high go to sequence + (rank - low)."""
     rows, used, sequence = [], {}, 0
