@@ -59,8 +59,9 @@ class Shingles:
         if len(self.seen) > CACHE:
             self.seen.clear()
         seen = self.seen
-        for w in set(words) - seen.keys():
-            seen[w] = xxhash.xxh64_intdigest(w)
+        for w in set(words):
+            if w not in seen:
+                seen[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words))
         k = min(self.words, len(words))
         n = len(words) - k + 1
