@@ -175,7 +175,7 @@ class Labeller:
     def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         if len(self.at) > CACHE:
             self.at, self.kept = {}, self.kept[:0]
-        new = list(set().union(*texts) - self.at.keys())
+        new = [w for w in set().union(*texts) if w not in self.at]
         if new:
             self.kept = np.concatenate([self.kept, self.model.sums(new)])
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
