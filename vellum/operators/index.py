@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,10 @@ class Index:
     def empty(spark: SparkSession) -> Index:
         return Index(spark.createDataFrame([], POSTINGS), spark.createDataFrame([], STATS))
 
+    def persisted(self) -> Index:
+        """Held in memory and on disk, so that many searches make it once. For indexes that outlive a session see save() and load()."""
+        return Index(self.postings.persist(StorageLevel.MEMORY_AND_DISK), self.stats.persist(StorageLevel.MEMORY_AND_DISK))
+
 
 def build(chunks: DataFrame) -> Index:
     """The index of all libraries in chunks (id, library_id, document_id, text). A chunk without terms has length 0 and no postings."""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.numbers import chunk_id
 from vellum.operators.chunking import chunk_pages
+from vellum.operators.index import Index, build
+from vellum.session import spread
+from vellum.sources.files import document_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +25,9 @@ def _pick(values: tuple[str, ...], by: F.Column):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """id, library_id, name, mime, type, size, created_at, status, text, doc_id."""
-    d = table(spark, sf_dir, "documents")
-    from vellum.sources.files import document_type
-
+    d = rows or table(spark, sf_dir, "documents")
     mime = F.when(F.col("doc_id") % 10 == 0, "application/pdf").otherwise("")
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), _pick(SUFFIXES, F.col("doc_id")))
     return d.select(
@@ -47,13 +49,22 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk table of all documents, each line a page; the vector is the document's where it has one."""
-    d = documents(spark, sf_dir)
+    d = documents(spark, sf_dir, spread(table(spark, sf_dir, "documents")))
     rows = d.select("library_id", F.col("id").alias("document_id"), F.col("name").alias("document_name"), "doc_id", F.inline(chunk_pages(F.split("text", "\n"))))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     rows = rows.join(vectors, "doc_id", "left")
     return rows.select(chunk_id(F.col("library_id"), F.col("document_id"), F.col("chunk_index")).alias("id"), "library_id", "document_id", "document_name", "chunk_index", "text", "embedding", "page")
 
 
+def held_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table, made once for all searches of a session."""
+    return chunks(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def held_index(spark: SparkSession, sf_dir: str) -> Index:
+    return build(held_chunks(spark, sf_dir)).persisted()
+
+
 def case(values: tuple[str, ...], by: str) -> str:
     return f"CASE {by} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 

@@ -14,7 +14,10 @@ from vellum.operators import catalog as C
 from vellum.operators import chunking as K
 from vellum.operators import index as I  # noqa: E741
 from vellum.operators import search as S
+from vellum.operators.embedding import embed
+from vellum.operators.ingest import ingest
 from vellum.plans import base as B
+from vellum.session import spread
 from vellum.sources import files as P
 from vellum.streaming import live as L
 
@@ -212,9 +215,13 @@ def document_flags(spark, sf):
 # Chunking.
 
 
+def _spread(spark, sf) -> DataFrame:
+    return B.documents(spark, sf, spread(B.table(spark, sf, "documents")))
+
+
 @query("SELECT document_id, chunk_index, text, page FROM c", *DC)
 def chunk_pages(spark, sf):
-    return B.documents(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_pages(F.split("text", "\n")))).select("document_id", "chunk_index", "text", "page")
+    return _spread(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_pages(F.split("text", "\n")))).select("document_id", "chunk_index", "text", "page")
 
 
 _STEP = """at AS (SELECT id, i, cur, left(cur, 500) AS sub, len(cur) AS n FROM lo WHERE len(cur) > 500)"""
@@ -224,21 +231,21 @@ _LOOP = f"""lo(id, i, cur) AS (SELECT id, 0, {B.sql_trim("text")} FROM d UNION A
 
 @query(f"SELECT id AS document_id, CAST(i AS INTEGER) AS chunk_index, CASE WHEN len(cur) > 500 THEN {B.sql_trim(f'left(cur, {_BP})')} ELSE cur END AS text FROM lo WHERE cur <> ''", *D, _LOOP)
 def chunk_text(spark, sf):
-    return B.documents(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_text(F.col("text")))).select("document_id", "chunk_index", "text")
+    return _spread(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_text(F.col("text")))).select("document_id", "chunk_index", "text")
 
 
 @query(None)
 def chunk_paragraphs(spark, sf):
     """Paragraphs folded, then looped: tested on goldens and invariants."""
     text = F.regexp_replace("text", "\n", "\n\n")
-    return B.documents(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_text(text))).select("document_id", "chunk_index", "text")
+    return _spread(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_text(text))).select("document_id", "chunk_index", "text")
 
 
 @query(None)
 def chunk_markdown(spark, sf):
     """Sections, the long ones looped: tested on goldens and invariants."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i == 0, F.concat(F.lit("# "), x)).when(i % 3 == 0, F.concat(F.lit("## "), x)).otherwise(x))
-    return B.documents(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_markdown(F.array_join(lines, "\n")))).select("document_id", "chunk_index", "text")
+    return _spread(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_markdown(F.array_join(lines, "\n")))).select("document_id", "chunk_index", "text")
 
 
 @query("SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'pages' WHEN name LIKE '%.md' OR name LIKE '%.markdown' THEN 'markdown' ELSE 'text' END AS route FROM d", *D)
@@ -249,7 +256,7 @@ def chunk_route(spark, sf):
 
 @query(None)
 def chunk_dispatch(spark, sf):
-    d = B.documents(spark, sf).withColumn("pages", F.when(F.col("doc_id") % 3 == 0, F.split("text", "\n")))
+    d = _spread(spark, sf).withColumn("pages", F.when(F.col("doc_id") % 3 == 0, F.split("text", "\n")))
     return K.chunk_documents(d).select("id", F.inline("chunks")).select("id", "chunk_index", "page", F.length("text").alias("n"))
 
 
@@ -276,13 +283,12 @@ def chunk_by_index(spark, sf):
 
 @query("SELECT library_id, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM tf GROUP BY ALL", *DCQ)
 def index_terms(spark, sf):
-    i = I.build(B.chunks(spark, sf))
-    return i.postings.groupBy("library_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return B.held_index(spark, sf).postings.groupBy("library_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 @query("SELECT library_id, n, round(avgdl, 6) AS avgdl FROM st", *DCQ)
 def index_stats(spark, sf):
-    return I.library_stats(I.build(B.chunks(spark, sf))).select("library_id", "n", F.round("avgdl", 6).alias("avgdl"))
+    return I.library_stats(B.held_index(spark, sf)).select("library_id", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("SELECT library_id, count(*) AS n FROM c WHERE document_id NOT IN ('5', '25') AND library_id <> 'src9' GROUP BY ALL", *DC)
@@ -304,12 +310,12 @@ def _rounded(scores: DataFrame, k: int = 10) -> DataFrame:
 
 @query(_top(10, "ts"), *DCQ)
 def bm25_topk(spark, sf):
-    return _rounded(S.text_scores(I.build(B.chunks(spark, sf)), B.queries(spark, sf)))
+    return _rounded(S.text_scores(B.held_index(spark, sf), B.queries(spark, sf)))
 
 
 @query(_top(10, "vp"), *DCQ)
 def vector_topk(spark, sf):
-    return _rounded(S.vector_scores(B.chunks(spark, sf), B.queries(spark, sf)))
+    return _rounded(S.vector_scores(B.held_chunks(spark, sf), B.queries(spark, sf)))
 
 
 def _fuse(t: float, v: float) -> str:
@@ -317,8 +323,8 @@ def _fuse(t: float, v: float) -> str:
 
 
 def _hybrid(spark, sf, t: float, v: float) -> DataFrame:
-    c, q = B.chunks(spark, sf), B.queries(spark, sf)
-    return S.fused(S.text_scores(I.build(c), q), S.vector_scores(c, q), t, v)
+    c, q = B.held_chunks(spark, sf), B.queries(spark, sf)
+    return S.fused(S.text_scores(B.held_index(spark, sf), q), S.vector_scores(c, q), t, v)
 
 
 @query(_top(10, _fuse(0.5, 0.5)), *DCQ)
@@ -349,12 +355,12 @@ def search_relative_threshold(spark, sf):
 @query(f"SELECT r.query_id, r.rank, r.chunk_id, r.score, c.document_id, c.document_name, c.text, c.page, c.chunk_index FROM ({_top(10, _fuse(0.5, 0.5))}) r JOIN c ON c.id = r.chunk_id", *DCQ)
 def q1_hybrid_search(spark, sf):
     """The flagship: chunk all documents, index, and answer hybrid queries with described results."""
-    return S.described(_rounded(_hybrid(spark, sf, 0.5, 0.5)), B.chunks(spark, sf))
+    return S.described(_rounded(_hybrid(spark, sf, 0.5, 0.5)), B.held_chunks(spark, sf))
 
 
 @query(f"SELECT query_id, count(*) AS n, round(max(score), 6) AS best FROM ({_top(3, 'ts')}) GROUP BY ALL", *DCQ)
 def search_result_counts(spark, sf):
-    return _rounded(S.text_scores(I.build(B.chunks(spark, sf)), B.queries(spark, sf)), 3).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
+    return _rounded(S.text_scores(B.held_index(spark, sf), B.queries(spark, sf)), 3).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
 
 
 # Scalar functions.
@@ -422,6 +428,58 @@ def highlight_spaceless(spark, sf):
     return located.select("document_id", "chunk_index", (F.col("at").isNotNull() & whole).alias("found"))
 
 
+@query("SELECT r.query_id, r.rank, r.chunk_id, r.score, c.document_id, c.document_name, c.text, c.page, c.chunk_index FROM (" + _top(5, "vp") + ") r JOIN c ON c.id = r.chunk_id", *DCQ)
+def search_vector_results(spark, sf):
+    c = B.held_chunks(spark, sf)
+    return S.described(_rounded(S.vector_scores(c, B.queries(spark, sf)), 5), c)
+
+
+@query("SELECT r.query_id, r.rank, r.chunk_id, r.score, c.document_id, c.document_name, c.text, c.page, c.chunk_index FROM (" + _top(5, "ts") + ") r JOIN c ON c.id = r.chunk_id", *DCQ)
+def search_text_results(spark, sf):
+    return S.described(_rounded(S.text_scores(B.held_index(spark, sf), B.queries(spark, sf)), 5), B.held_chunks(spark, sf))
+
+
+@query("SELECT query_id, rank, chunk_id, CAST(floor(score * 100 + 0.5) AS INTEGER) AS percent, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'mid' ELSE 'low' END AS band, score = max(score) OVER (PARTITION BY query_id) AS focused FROM (" + _top(10, _fuse(0.5, 0.5)) + ")", *DCQ)
+def result_badges(spark, sf):
+    r = _rounded(_hybrid(spark, sf, 0.5, 0.5))
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    return r.select("query_id", "rank", "chunk_id", N.score_percent(F.col("score")).alias("percent"), N.score_band(F.col("score")).alias("band"), (F.col("score") == best).alias("focused"))
+
+
+@query("SELECT r.query_id, r.rank, c.document_id, c.chunk_index, c.text AS chunk_text FROM (" + _top(3, "ts") + ") r JOIN c ON c.id = r.chunk_id", *DCQ)
+def result_links(spark, sf):
+    c = B.held_chunks(spark, sf)
+    found = _rounded(S.text_scores(B.held_index(spark, sf), B.queries(spark, sf)), 3)
+    named = S.described(found, c).join(B.queries(spark, sf).select("query_id", "library_id"), "query_id")
+    return S.at_chunk(named, c).select("query_id", "rank", "document_id", "chunk_index", "chunk_text")
+
+
+@query("SELECT d.id, coalesce(k.text, 'Document is being processed...') AS before, '' AS match, '' AS after FROM d JOIN k ON k.document_id = d.id WHERE d.doc_id % 9 = 0", *DK)
+def view_without_match(spark, sf):
+    d = B.documents(spark, sf).filter("doc_id % 9 = 0").select("id").join(B.contents(spark, sf).withColumnRenamed("document_id", "id"), "id")
+    located = d.withColumn("at", find_chunk(F.col("text"), F.lit("\u2603 is in no document")))
+    before, match, after = highlight(F.col("text"), F.col("at"))
+    return located.select("id", before.alias("before"), match.alias("match"), after.alias("after"))
+
+
+# Ingestion: one library's documents as text files, chunked in paragraphs.
+
+
+@query("SELECT id AS document_id, 'indexed' AS status, count(*) AS chunk_count FROM lo WHERE cur <> '' AND id IN (SELECT id FROM d WHERE library_id = 'src6') GROUP BY id", *D, _LOOP)
+def ingest_documents(spark, sf):
+    d = C.where(B.documents(spark, sf), library_id="src6")
+    parsed = d.select("id", F.concat("id", F.lit(".txt")).alias("name"), F.lit("").alias("mime"), "size", "text", F.lit(None).cast("array<string>").alias("pages"), F.lit(None).cast("string").alias("error"))
+    s = ingest(C.create_library(C.Snapshot.empty(spark), "fresh", "Fresh", 1), parsed, "fresh", 2)
+    return s.documents.select(F.col("id").alias("document_id"), "status", "chunk_count")
+
+
+@query("SELECT vec_id AS id, 384 AS dimensions, true AS unit FROM embeddings JOIN documents ON vec_id = doc_id")
+def embed_documents(spark, sf):
+    d = B.table(spark, sf, "documents").join(B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+    e = d.select(F.col("doc_id").alias("id"), embed(F.col("text")).alias("v"))
+    return e.select("id", F.size("v").alias("dimensions"), (F.abs(N.dot(F.col("v"), F.col("v")) - 1) < 1e-5).alias("unit"))
+
+
 # Streaming-like behaviour, over the events feed.
 
 _FEED = """f AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS document_id, 'src' || (user_id % 20) AS library_id,

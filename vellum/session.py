@@ -1,6 +1,6 @@
 """A Spark session with the settings the engine is written for."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **settings: str) -> SparkSession:
@@ -14,3 +14,9 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     for key, value in (fixed | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan dealt to all cores, if it has fewer splits than there are cores (one small file, say). For plain scans only."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
