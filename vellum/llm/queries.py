@@ -18,10 +18,11 @@ from vellum.llm.quality import quality_scores
 from vellum.llm.tokens import TOKENIZER, length_histogram, token_lengths
 from vellum.llm.topk_search import topk_search
 from vellum.llm.toxicity import toxicity_scores
+from vellum.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
