@@ -234,16 +234,37 @@ def chunk_text(spark, sf):
     return _spread(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_text(F.col("text")))).select("document_id", "chunk_index", "text")
 
 
-@query(None)
+def _fold(parts: str) -> str:
+    """Paragraph chunking as a recursion: each step closes a chunk, cuts a long one, or takes in the next paragraph of parts (sid, ps)."""
+    trim = B.sql_trim
+    p, full = "ps[k]", "cur <> '' AND len(cur) + len(ps[k]) >= 500"
+    carried = "CASE WHEN len(cur) > 100 THEN right(cur, 100) || ' ' || ps[k] ELSE ps[k] END"
+    return f"""fo2(sid, step, k, cur, done, ps) AS (
+        SELECT sid, 0, 1, '', CAST(NULL AS VARCHAR), ps FROM ({parts}) UNION ALL
+        SELECT sid, step + 1, CASE WHEN len(cur) > 500 THEN k ELSE k + 1 END,
+               CASE WHEN len(cur) > 500 THEN {trim(f"substring(cur, {_BP} - 100 + 1)")} WHEN k > len(ps) THEN '' WHEN {full} THEN {carried} WHEN cur = '' THEN {p} ELSE cur || chr(10) || chr(10) || {p} END,
+               CASE WHEN len(cur) > 500 THEN {trim(f"left(cur, {_BP})")} WHEN k > len(ps) OR ({full}) THEN {trim("cur")} END, ps
+        FROM fo2 WHERE k <= len(ps) OR cur <> '')"""
+
+
+_LINES = rf"SELECT id AS sid, list_filter(list_transform(string_split(text, chr(10)), lambda x: {B.sql_trim('x')}), lambda x: x <> '') AS ps FROM d"
+
+
+@query("SELECT sid AS document_id, CAST(row_number() OVER (PARTITION BY sid ORDER BY step) - 1 AS INTEGER) AS chunk_index, done AS text FROM fo2 WHERE done <> ''", *D, _fold(_LINES))
 def chunk_paragraphs(spark, sf):
-    """Paragraphs folded, then looped: tested on goldens and invariants."""
     text = F.regexp_replace("text", "\n", "\n\n")
     return _spread(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_text(text))).select("document_id", "chunk_index", "text")
 
 
-@query(None)
+#: Lines 0, 3, 6, ... are headings; a section is a heading, a blank line and the next lines. Blank headings are none.
+_SECTIONS = rf"""li AS (SELECT id, i - 1 AS i, string_split(text, chr(10))[i] AS x FROM (SELECT id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
+    sx AS (SELECT id, i // 3 AS s, max(CASE WHEN i % 3 = 0 THEN CASE WHEN i = 0 THEN '# ' ELSE '## ' END || x END) AS head, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (i % 3 > 0), '') AS rest FROM li GROUP BY ALL),
+    sy AS (SELECT id || ':' || s AS sid, id, s, {B.sql_trim("head || chr(10) || chr(10) || rest")} AS sec, [{B.sql_trim("head")}] || CASE WHEN {B.sql_trim("rest")} = '' THEN [] ELSE [{B.sql_trim("rest")}] END AS ps FROM sx)"""
+
+
+@query("""SELECT id AS document_id, CAST(row_number() OVER (PARTITION BY id ORDER BY s, step) - 1 AS INTEGER) AS chunk_index, text FROM (
+    SELECT id, s, 0 AS step, sec AS text FROM sy WHERE len(sec) <= 500 UNION ALL SELECT id, s, step, done FROM fo2 JOIN sy USING (sid) WHERE done <> '')""", *D, _SECTIONS, _fold("SELECT sid, ps FROM sy WHERE len(sec) > 500"))
 def chunk_markdown(spark, sf):
-    """Sections, the long ones looped: tested on goldens and invariants."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i == 0, F.concat(F.lit("# "), x)).when(i % 3 == 0, F.concat(F.lit("## "), x)).otherwise(x))
     return _spread(spark, sf).select(F.col("id").alias("document_id"), F.inline(K.chunk_markdown(F.array_join(lines, "\n")))).select("document_id", "chunk_index", "text")
 
@@ -254,10 +275,10 @@ def chunk_route(spark, sf):
     return B.documents(spark, sf).select("id", K.chunk_route(F.col("name"), pages).alias("route"))
 
 
-@query(None)
+@query(f"SELECT document_id AS id, chunk_index, page, text FROM c WHERE doc_id % 3 = 0 UNION ALL SELECT id, CAST(i AS INTEGER), NULL, CASE WHEN len(cur) > 500 THEN {B.sql_trim(f'left(cur, {_BP})')} ELSE cur END FROM lo WHERE cur <> '' AND CAST(id AS BIGINT) % 3 <> 0", *DC, _LOOP)
 def chunk_dispatch(spark, sf):
     d = _spread(spark, sf).withColumn("pages", F.when(F.col("doc_id") % 3 == 0, F.split("text", "\n")))
-    return K.chunk_documents(d).select("id", F.inline("chunks")).select("id", "chunk_index", "page", F.length("text").alias("n"))
+    return K.chunk_documents(d).select("id", F.inline("chunks")).select("id", "chunk_index", "page", "text")
 
 
 @query(r"SELECT document_id, chunk_index, lag(chunk_index) OVER w AS prev, lead(chunk_index) OVER w AS next FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)", *DC)
