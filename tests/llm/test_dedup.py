@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm.exact_dedup import chunks, exact_dedup
@@ -135,8 +136,9 @@ def test_sketches_fill_and_estimate():
     assert (sketches([a], 252)[0] == one).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
     edges = [(i, i + 1) for i in range(10, 40)] + [(5, 40), (1, 2), (100, 99), (100, 98), (2, 1), (7, 7)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     assert got == {**{i: 5 for i in [5, *range(10, 41)]}, 1: 1, 2: 1, 98: 98, 99: 98, 100: 98}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), few).count() == 0

@@ -55,7 +55,7 @@ def brute_base(text):
 
 def test_license_base_against_brute_force(docs, odd):
     texts = ["Released UNDER-the MIT_License. under the mit license", "apache license, version 2.0 cc-by-nc cc by nc", "under the mit licenses", "xunder the mit license", "ünder the mit license under  the\nmit\tlicense", None, "cc by cc by nc cc by nc"]
-    df = docs(*texts).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    df = docs(*[(100 + i, t) for i, t in enumerate(texts)]).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
     for r in license_scan(df).join(df.select("doc_id", "text"), "doc_id").collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_base(r.text)
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1

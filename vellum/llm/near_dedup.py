@@ -30,6 +30,8 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS = 42, 6
 #: Rows of a bucket, or partners of a centre, that one task handles at once.
 SLICE = 128
+#: Edges that one task may hold (16 bytes each).
+FEW_EDGES = 200_000
 #: Distinct words whose hashes a worker keeps.
 CACHE = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -142,36 +144,57 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(shared * 100 >= percent * (F.size("items") + F.size("other") - shared)).select("node", "centre").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label of all nodes with an edge (a, b): the least node reachable.
+def _forest(edges: pa.Table) -> pa.Table:
+    """node, label of all nodes of the edges: the least node reachable, by union-find."""
+    a, b = edges["a"].to_numpy(), edges["b"].to_numpy()
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(nodes)))
 
-    Each round hooks every root to its least neighbouring root, shortens the paths by
-    pointer jumping, and contracts the edges; that ends after about log(n) rounds.
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i, j in zip(place[: len(a)].tolist(), place[len(a) :].tolist(), strict=True):
+        i, j = root(i), root(j)
+        up[max(i, j)] = min(i, j)
+    labels = nodes[[root(i) for i in range(len(nodes))]] if len(nodes) else nodes
+    return pa.table([pa.array(nodes, pa.int64()), pa.array(labels, pa.int64())], names=["node", "label"])
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """node, label of all nodes with an edge (a, b), a <> b: the least node reachable.
+
+    Up to `few` edges go through one task (16 bytes each). Beyond that, each round hooks
+    every root to its least neighbouring root, shortens the paths by pointer jumping, and
+    contracts the edges; that ends after about log(n) rounds. The joins are of narrow,
+    materialised tables, whose hot keys adaptive execution splits.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = cut(both)
+    edges = cut(edges.select("a", "b").filter("a <> b").distinct())
+    if edges.count() <= few:
+
+        def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _forest(pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))).to_batches()
+
+        return cut(edges.coalesce(1).mapInArrow(forest, "node long, label long"))
+    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = None
-    while (total := both.count()) > 0:
-        roots = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to"), F.count(F.lit(1)).alias("n")))
-        sizes = roots.select("a", "n")
+    while not both.isEmpty():
+        roots = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
         while True:
             up = roots.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            fans = roots.groupBy("to").agg(F.count(F.lit(1)).alias("fan"))
-            jumped = cut(join_groups(roots, up.join(fans, "to"), "to", "fan", total).select("a", F.col("next").alias("new"), "to", "n"))
-            moved = not jumped.filter("new <> to").isEmpty()
-            roots = jumped.select("a", F.col("new").alias("to"), "n")
+            jumped = cut(roots.join(up, "to").select("a", "to", "next"))
+            moved = not jumped.filter("next <> to").isEmpty()
+            roots = jumped.select("a", F.col("next").alias("to"))
             if not moved:
                 break
         if labels is None:
             labels = roots.select(F.col("a").alias("node"), F.col("to").alias("label"))
         else:
-            fans = labels.groupBy("label").agg(F.count(F.lit(1)).alias("fan"))
-            known = roots.select(F.col("a").alias("label"), F.col("to").alias("new")).join(fans, "label", "right").withColumn("new", F.coalesce("new", "label"))
-            labels = join_groups(labels, known, "label", "fan", labels.count()).select("node", F.col("new").alias("label"))
+            labels = labels.join(roots.select(F.col("a").alias("label"), F.col("to").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
         labels = cut(labels)
-        first = join_groups(both, roots, "a", "n", total).select(F.col("to").alias("x"), "b")
-        counts = roots.select(F.col("a").alias("b"), F.col("to").alias("y")).join(sizes.withColumnRenamed("a", "b"), "b")
-        both = cut(join_groups(first, counts, "b", "n", total).select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct())
+        first = both.join(roots, "a").select(F.col("to").alias("x"), "b")
+        both = cut(first.join(roots.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct())
     return labels if labels is not None else both.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
@@ -236,13 +259,13 @@ def near_dedup(docs: DataFrame, text: str = "text", words: int = WORDS, percent:
     groups = cut(some.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("items"), F.count(F.lit(1)).alias("size")))
     nodes = groups.select("node").distinct()
     entries = some.join(nodes.hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left_semi")
-    entries = entries.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
-    centre = F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "size"))
-    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), centre.alias("c")).filter("n > 1")
-    buckets = cut(buckets.select("bucket", "n", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size")))
+    entries = entries.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
+    # The centre is the node that is least after an exclusive or with the bucket's hash: any node, another one in each bucket.
+    mask = F.xxhash64("bucket")
+    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("node").bitwiseXOR(mask)).alias("least")).filter("n > 1")
+    buckets = cut(buckets.select("bucket", "n", F.col("least").bitwiseXOR(mask).alias("centre")))
     met = stored(join_groups(entries, buckets, "bucket", "n", entries.count()), "buckets")
-    near = (F.least("size", "centre_size") * 100 >= percent * F.greatest("size", "centre_size")) & (F.col("node") != F.col("centre"))
-    pairs = cut(met.filter(near).select("node", "centre").distinct())
+    pairs = cut(met.filter("node <> centre").select("node", "centre").distinct())
     fans = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
     pairs = join_groups(pairs, fans, "centre", "n", pairs.count())
     asked = met.select("node").distinct()
