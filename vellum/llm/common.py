@@ -48,7 +48,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(out)] = (out, path)
+    return out
+
+
+#: Stored tables that may yet be released, by the identity of their DataFrames.
+_STORED: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(table: DataFrame) -> None:
+    """Delete a stored() table of which nothing that is still to run reads."""
+    _, path = _STORED.pop(id(table))
+    _remove(table.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

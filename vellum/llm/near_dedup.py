@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, join_groups, map_arrow, stored
+from vellum.llm.common import cut, join_groups, map_arrow, release, stored
 
 WORDS, PERCENT = 5, 80
 #: 42 bands of 6 coordinates: a pair at the threshold of 0.8 is missed with a chance below 1e-5.
@@ -275,6 +275,8 @@ def near_dedup(docs: DataFrame, text: str = "text", words: int = WORDS, percent:
     extra = cut(leftovers(met.select("bucket", "node").distinct(), labels, sets, percent))
     if not extra.isEmpty():
         labels = components(links.unionByName(extra))
+    release(met)
+    release(sets)
     labelled = groups.join(labels, "node", "left").select(*keys, "size", F.coalesce("label", "node").alias("component_id"))
     linked = join_groups(some.select("doc_id", "n_shingles", *keys), labelled, keys, "size", signed.count())
     alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))

@@ -1,8 +1,8 @@
 """Exact top-k search: tiled matrix products, partial selection per tile, tree merging.
 
-Queries are dealt into blocks and all rows into shards. Each (block, shard) tile is one
-matrix product in one task; a tile keeps only each query's k best rows by partial
-selection. The per-query lists are merged FAN_IN shards at a time, so that no task sees
+Queries are dealt into blocks and all rows into shards. Each (block, shard) tile is a
+matrix product in one task, made in strips of queries; a tile keeps only each query's k
+best rows by partial selection. The per-query lists are merged FAN_IN shards at a time, so that no task sees
 more than FAN_IN * k rows of a query.
 """
 
@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, SHARD_ROWS, FAN_IN = 1024, 4096, 16
+#: Queries and rows of a tile; queries whose scores a task holds at once; lists merged at once.
+BLOCK_ROWS, SHARD_ROWS, STRIP_ROWS, FAN_IN = 8192, 8192, 512, 16
 #: Products of doubles are exact up to here.
 EXACT = 2.0**53
 LONG = 2**63
@@ -58,11 +59,12 @@ def _tile(k: int):
         ids, own = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
         out: list[tuple] = []
         if len(ids) and len(own):
-            table = scores(_matrix(queries["query"], len(own)), _matrix(rows["vector"], len(ids)))
-            for q, line in zip(own, table, strict=True):
-                others = np.flatnonzero(ids != q)
-                pick = others[best_of(line[others], k)]
-                out += [(q, i, s) for i, s in zip(ids[pick], line[pick], strict=True)]
+            asked, held = _matrix(queries["query"], len(own)), _matrix(rows["vector"], len(ids))
+            for at in range(0, len(own), STRIP_ROWS):
+                for q, line in zip(own[at : at + STRIP_ROWS], scores(asked[at : at + STRIP_ROWS], held), strict=True):
+                    others = np.flatnonzero(ids != q)
+                    pick = others[best_of(line[others], k)]
+                    out += [(q, i, s) for i, s in zip(ids[pick], line[pick], strict=True)]
         shard = rows["shard"][0].as_py() if len(ids) else 0
         cols = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array([shard] * len(out), pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["query_id", "shard", "vec_id", "score"])
