@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 import corpus_pipeline as P
 from vellum.llm.mixing import mix_sources
 
-NAMES = ["op3_topk_search", "op5_exact_dedup", "op10_near_dedup"]
+NAMES = ["op3_topk_search", "op4_license_scan", "op5_exact_dedup", "op10_near_dedup"]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.language_id import language_id
-from vellum.llm.license_scan import license_scan
+from vellum.llm.license_scan import PHRASES, TEMPLATES, license_scan
 from vellum.llm.mixing import mix_sources
 from vellum.llm.near_dedup import near_dedup
 from vellum.llm.packing import pack
@@ -82,7 +83,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: A-Z to a-z only, for DuckDB.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _template_regex(markup: str) -> str:
+    """A template as a regular expression over words with a space after each."""
+    marks = {"{{": "(?:", "}}": ")?"}
+    tokens = re.findall(r"\{\{|\}\}|\[\[\d+\]\]|[^\s{}\[\]]+", markup)
+    return " " + "".join(marks.get(t) or (f"(?:[^ ]+ ){{0,{t[2:-2]}}}" if t.startswith("[[") else f"{t} ") for t in tokens)
+
+
+_PLACES = " || ".join(f"list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()})" for p in PHRASES)
+_BASE = ", ".join(f"CASE WHEN contains(line, ' {p} ') THEN '{label}' END" for p, label in PHRASES.items())
+_FOUND = ", ".join(f"CASE WHEN regexp_matches(line, '{_template_regex(t)}') THEN '{label}' END" for label, t in TEMPLATES)
+_JOINED = "coalesce(array_to_string(list_sort(list_distinct(list_filter({0}, lambda x: x IS NOT NULL))), ','), '')"
+
 ORACLES: dict[str, str] = {
+    "op4_license_scan": f"""
+        WITH t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+             u AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line FROM t),
+             f AS (SELECT doc_id, w, {_PLACES} AS places, [{_BASE}] AS base, [{_FOUND}] AS found FROM u)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
+               {_JOINED.format("base")} AS base_labels, {_JOINED.format("base || found")} AS labels,
+               CASE WHEN len(list_filter(found, lambda x: x IS NOT NULL)) > 0 THEN 1.0::DOUBLE WHEN len(places) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+        FROM f""",
     "op3_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
                    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
