@@ -35,10 +35,14 @@ class Index:
 
 def build(chunks: DataFrame) -> Index:
     """The index of all libraries in chunks (id, library_id, document_id, text). A chunk without terms has length 0 and no postings."""
-    base = chunks.select("library_id", F.col("id").alias("chunk_id"), "document_id", terms(F.col("text")).alias("terms"))
-    # Terms are counted within the row: no shuffle, and the text is read once.
-    counts = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).cast("long").alias("tf")))
-    postings = base.select("library_id", "chunk_id", "document_id", F.inline(counts))
+    words = F.array_sort(terms(F.col("text")))
+    base = chunks.select("library_id", F.col("id").alias("chunk_id"), "document_id", words.alias("terms"))
+    # Terms are counted within the row, as runs of the sorted array: no shuffle, and the text is read once.
+    first = lambda t, i: (i == 0) | (t != F.get("terms", i - 1))
+    places = F.filter(F.transform("terms", lambda t, i: F.when(first(t, i), i)), lambda i: i.isNotNull())
+    runs = base.withColumn("starts", places)
+    counts = F.transform("starts", lambda s, k: F.struct(F.get("terms", s).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("terms")) - s).cast("long").alias("tf")))
+    postings = runs.select("library_id", "chunk_id", "document_id", F.inline(counts))
     return Index(postings, base.select("library_id", "chunk_id", "document_id", F.size("terms").cast("long").alias("dl")))
 
 
