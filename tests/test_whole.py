@@ -1,0 +1,28 @@
+"""Queries over whole tables, against brute force."""
+
+import pytest
+
+import __spark_entry__ as entry
+from vellum.plans import base as B
+
+SEARCHES = ("q1_hybrid_search", "bm25_topk", "vector_topk", "hybrid_topk", "hybrid_weighted", "hybrid_text_only", "hybrid_vector_only", "search_relative_threshold", "search_result_counts", "search_vector_results", "search_text_results", "result_badges", "result_links")
+
+
+@pytest.fixture
+def odd_tables(spark, tmp_path):
+    """Libraries of any name, a query beyond the sixth, and one without a vector."""
+    docs = [(0, "apple pie", "src0"), (1, "apple tart", "other"), (2, "pear tart", "src12"), (3, "no library", None)]
+    spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "apple"), (50, "tart"), (70, "pear")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [0.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    return str(tmp_path)
+
+
+def test_every_text_is_asked_of_every_library(spark, odd_tables):
+    asked = {r.query_id for r in B.all_queries(spark, odd_tables).collect()}
+    assert asked == {f"{i}:{lib}" for i in (0, 50, 70) for lib in ("src0", "other", "src12")}
+    found = {(r.query_id, r.document_id) for r in entry.queries()["search_text_results_all"](spark, odd_tables).collect()}
+    assert found == {("0:src0", "0"), ("0:other", "1"), ("50:other", "1"), ("50:src12", "2"), ("70:src12", "2")}
+    near = {(r.query_id, r.document_id) for r in entry.queries()["search_vector_results_all"](spark, odd_tables).collect()}
+    assert near == {("0:src0", "0"), ("0:other", "1"), ("50:src0", "0"), ("50:other", "1")}
+    assert all(f"{n}_all" in entry.queries() and f"{n}_all" in entry.oracle_sql() for n in SEARCHES)

@@ -124,3 +124,15 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = "q AS (SELECT item_id AS query_id, 'src' || item_id AS library_id, text, CAST(e.embedding AS DOUBLE[]) AS vec FROM benchmark JOIN embeddings e ON e.vec_id = item_id WHERE item_id < 6)"
+
+
+def all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text, with the vector of its id where there is one, asked of every library that documents name."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    asked = items.join(vectors, "item_id", "left").crossJoin(libraries(spark, sf_dir).filter("id IS NOT NULL").select(F.col("id").alias("library_id")))
+    return asked.select(F.concat_ws(":", F.col("item_id").cast("string"), "library_id").alias("query_id"), "library_id", "text", "embedding")
+
+
+ALL_QUERIES = """q AS (SELECT item_id || ':' || l.library_id AS query_id, l.library_id, b.text, CAST(e.embedding AS DOUBLE[]) AS vec
+    FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = item_id CROSS JOIN (SELECT DISTINCT library_id FROM d WHERE library_id IS NOT NULL) l)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,15 +24,30 @@ from vellum.streaming import live as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_PLAIN: dict[str, str | None] = {}
 
 
 def query(sql: str | None, *parts: str):
     """Registers the function under its name, with SQL over the common table expressions in parts."""
 
     def add(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = ("WITH RECURSIVE " + ", ".join(parts) + " " if parts else "") + sql
+        _add(fn.__name__, fn, sql, parts)
+        return fn
+
+    return add
+
+
+def _add(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str | None, parts: tuple[str, ...]) -> None:
+    QUERIES[name], _PLAIN[name] = fn, sql
+    if sql:
+        ORACLES[name] = ("WITH RECURSIVE " + ", ".join(parts) + " " if parts else "") + sql
+
+
+def over_all(*parts: str, **given: object):
+    """Registers a query a second time, as NAME_all, over whole tables: the same function with other arguments, the same SQL over other parts."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        _add(f"{fn.__name__}_all", partial(fn, **given), _PLAIN[fn.__name__], parts)
         return fn
 
     return add
@@ -40,6 +56,7 @@ def query(sql: str | None, *parts: str):
 D, DK = (B.DOCUMENTS,), (B.DOCUMENTS, B.CONTENTS)
 DC = (B.DOCUMENTS, B.CHUNKS)
 DCQ = (*DC, B.QUERIES, B.SCORES)
+ALL_DCQ = (*DC, B.ALL_QUERIES, B.SCORES)
 
 # Scans and sources.
 
@@ -326,62 +343,72 @@ def _top(k: int, scores: str) -> str:
 
 def _rounded(scores: DataFrame, k: int = 10) -> DataFrame:
     """Ranked on nine digits, so that the order of sums can't decide ties."""
-    return S.ranked(scores.withColumn("score", F.round("score", 9)), k).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    ranked = S.ranked(scores.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.col("score").alias("exact")), k)
+    return ranked.select("query_id", "rank", "chunk_id", F.round("exact", 6).alias("score"))
 
 
+@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(_top(10, "ts"), *DCQ)
-def bm25_topk(spark, sf):
-    return _rounded(S.text_scores(B.held_index(spark, sf), B.queries(spark, sf)))
+def bm25_topk(spark, sf, asked=B.queries):
+    return _rounded(S.text_scores(B.held_index(spark, sf), asked(spark, sf)))
 
 
+@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(_top(10, "vp"), *DCQ)
-def vector_topk(spark, sf):
-    return _rounded(S.vector_scores(B.held_chunks(spark, sf), B.queries(spark, sf)))
+def vector_topk(spark, sf, asked=B.queries):
+    return _rounded(S.vector_scores(B.held_chunks(spark, sf), asked(spark, sf)))
 
 
 def _fuse(t: float, v: float) -> str:
     return f"(SELECT query_id, chunk_id, coalesce(tn.s, 0) * {t} + coalesce(vn.s, 0) * {v} AS score FROM tn FULL JOIN vn USING (query_id, chunk_id))"
 
 
-def _hybrid(spark, sf, t: float, v: float) -> DataFrame:
-    c, q = B.held_chunks(spark, sf), B.queries(spark, sf)
+def _hybrid(spark, sf, t: float, v: float, asked=B.queries) -> DataFrame:
+    c, q = B.held_chunks(spark, sf), asked(spark, sf)
     return S.fused(S.text_scores(B.held_index(spark, sf), q), S.vector_scores(c, q), t, v)
 
 
+@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(_top(10, _fuse(0.5, 0.5)), *DCQ)
-def hybrid_topk(spark, sf):
-    return _rounded(_hybrid(spark, sf, 0.5, 0.5))
+def hybrid_topk(spark, sf, asked=B.queries):
+    return _rounded(_hybrid(spark, sf, 0.5, 0.5, asked))
 
 
+@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(_top(10, _fuse(0.3, 0.7)), *DCQ)
-def hybrid_weighted(spark, sf):
-    return _rounded(_hybrid(spark, sf, 0.3, 0.7))
+def hybrid_weighted(spark, sf, asked=B.queries):
+    return _rounded(_hybrid(spark, sf, 0.3, 0.7, asked))
 
 
+@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(_top(10, _fuse(1.0, 0.0)), *DCQ)
-def hybrid_text_only(spark, sf):
-    return _rounded(_hybrid(spark, sf, 1.0, 0.0))
+def hybrid_text_only(spark, sf, asked=B.queries):
+    return _rounded(_hybrid(spark, sf, 1.0, 0.0, asked))
 
 
+@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(_top(10, _fuse(0.0, 1.0)), *DCQ)
-def hybrid_vector_only(spark, sf):
-    return _rounded(_hybrid(spark, sf, 0.0, 1.0))
+def hybrid_vector_only(spark, sf, asked=B.queries):
+    return _rounded(_hybrid(spark, sf, 0.0, 1.0, asked))
 
 
+@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(f"SELECT query_id, rank, chunk_id, score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM ({_top(10, _fuse(0.5, 0.5))})) WHERE score >= best * 0.7", *DCQ)
-def search_relative_threshold(spark, sf):
-    return S.relative_filter(_rounded(_hybrid(spark, sf, 0.5, 0.5)), 70)
+def search_relative_threshold(spark, sf, asked=B.queries):
+    return S.relative_filter(_rounded(_hybrid(spark, sf, 0.5, 0.5, asked)), 70)
 
 
+@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(f"SELECT r.query_id, r.rank, r.chunk_id, r.score, c.document_id, c.document_name, c.text, c.page, c.chunk_index FROM ({_top(10, _fuse(0.5, 0.5))}) r JOIN c ON c.id = r.chunk_id", *DCQ)
-def q1_hybrid_search(spark, sf):
+def q1_hybrid_search(spark, sf, asked=B.queries):
     """The flagship: chunk all documents, index, and answer hybrid queries with described results."""
-    return S.described(_rounded(_hybrid(spark, sf, 0.5, 0.5)), B.held_chunks(spark, sf))
+    return S.described(_rounded(_hybrid(spark, sf, 0.5, 0.5, asked)), B.held_chunks(spark, sf))
 
 
+@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(f"SELECT query_id, count(*) AS n, round(max(score), 6) AS best FROM ({_top(3, 'ts')}) GROUP BY ALL", *DCQ)
-def search_result_counts(spark, sf):
-    return _rounded(S.text_scores(B.held_index(spark, sf), B.queries(spark, sf)), 3).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
+def search_result_counts(spark, sf, asked=B.queries):
+    return _rounded(S.text_scores(B.held_index(spark, sf), asked(spark, sf)), 3).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
 
 
 # Scalar functions.
@@ -449,29 +476,33 @@ def highlight_spaceless(spark, sf):
     return located.select("document_id", "chunk_index", (F.col("at").isNotNull() & whole).alias("found"))
 
 
+@over_all(*ALL_DCQ, asked=B.all_queries)
 @query("SELECT r.query_id, r.rank, r.chunk_id, r.score, c.document_id, c.document_name, c.text, c.page, c.chunk_index FROM (" + _top(5, "vp") + ") r JOIN c ON c.id = r.chunk_id", *DCQ)
-def search_vector_results(spark, sf):
+def search_vector_results(spark, sf, asked=B.queries):
     c = B.held_chunks(spark, sf)
-    return S.described(_rounded(S.vector_scores(c, B.queries(spark, sf)), 5), c)
+    return S.described(_rounded(S.vector_scores(c, asked(spark, sf)), 5), c)
 
 
+@over_all(*ALL_DCQ, asked=B.all_queries)
 @query("SELECT r.query_id, r.rank, r.chunk_id, r.score, c.document_id, c.document_name, c.text, c.page, c.chunk_index FROM (" + _top(5, "ts") + ") r JOIN c ON c.id = r.chunk_id", *DCQ)
-def search_text_results(spark, sf):
-    return S.described(_rounded(S.text_scores(B.held_index(spark, sf), B.queries(spark, sf)), 5), B.held_chunks(spark, sf))
+def search_text_results(spark, sf, asked=B.queries):
+    return S.described(_rounded(S.text_scores(B.held_index(spark, sf), asked(spark, sf)), 5), B.held_chunks(spark, sf))
 
 
+@over_all(*ALL_DCQ, asked=B.all_queries)
 @query("SELECT query_id, rank, chunk_id, CAST(floor(score * 100 + 0.5) AS INTEGER) AS percent, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'mid' ELSE 'low' END AS band, score = max(score) OVER (PARTITION BY query_id) AS focused FROM (" + _top(10, _fuse(0.5, 0.5)) + ")", *DCQ)
-def result_badges(spark, sf):
-    r = _rounded(_hybrid(spark, sf, 0.5, 0.5))
+def result_badges(spark, sf, asked=B.queries):
+    r = _rounded(_hybrid(spark, sf, 0.5, 0.5, asked))
     best = F.max("score").over(Window.partitionBy("query_id"))
     return r.select("query_id", "rank", "chunk_id", N.score_percent(F.col("score")).alias("percent"), N.score_band(F.col("score")).alias("band"), (F.col("score") == best).alias("focused"))
 
 
+@over_all(*ALL_DCQ, asked=B.all_queries)
 @query("SELECT r.query_id, r.rank, c.document_id, c.chunk_index, c.text AS chunk_text FROM (" + _top(3, "ts") + ") r JOIN c ON c.id = r.chunk_id", *DCQ)
-def result_links(spark, sf):
+def result_links(spark, sf, asked=B.queries):
     c = B.held_chunks(spark, sf)
-    found = _rounded(S.text_scores(B.held_index(spark, sf), B.queries(spark, sf)), 3)
-    named = S.described(found, c).join(B.queries(spark, sf).select("query_id", "library_id"), "query_id")
+    found = _rounded(S.text_scores(B.held_index(spark, sf), asked(spark, sf)), 3)
+    named = S.described(found, c).join(asked(spark, sf).select("query_id", "library_id"), "query_id")
     return S.at_chunk(named, c).select("query_id", "rank", "document_id", "chunk_index", "chunk_text")
 
 
