@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from vellum.operators import catalog as C
 from vellum.plans import base as B
 
 SEARCHES = ("q1_hybrid_search", "bm25_topk", "vector_topk", "hybrid_topk", "hybrid_weighted", "hybrid_text_only", "hybrid_vector_only", "search_relative_threshold", "search_result_counts", "search_vector_results", "search_text_results", "result_badges", "result_links")
@@ -26,3 +27,18 @@ def test_every_text_is_asked_of_every_library(spark, odd_tables):
     near = {(r.query_id, r.document_id) for r in entry.queries()["search_vector_results_all"](spark, odd_tables).collect()}
     assert near == {("0:src0", "0"), ("0:other", "1"), ("50:src0", "0"), ("50:other", "1")}
     assert all(f"{n}_all" in entry.queries() and f"{n}_all" in entry.oracle_sql() for n in SEARCHES)
+
+
+def test_listing_has_every_document(spark, small):
+    n = spark.read.parquet(f"{small}/documents.parquet").count()
+    assert entry.queries()["documents_by_created_desc_all"](spark, small).count() == n
+
+
+def test_places_of_ties_nulls_and_a_hot_library(spark):
+    rows = [(None if i % 7 == 0 else "hot" if i % 7 < 6 else f"l{i}", f"{i:04}", (i * 37 % 50) ** 3) for i in range(500)] + [("one", "x", 5)]
+    want, seen = set(), {}
+    for lib, key, created in sorted(rows, key=lambda r: (-r[2], r[1])):
+        seen[lib] = seen.get(lib, 0) + 1
+        want.add((lib, key, created, seen[lib]))
+    got = [tuple(r) for r in C.newest_places(spark.createDataFrame(rows, "library_id string, id string, created_at long")).collect()]
+    assert len(got) == len(rows) and set(got) == want

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.schemas import INTERRUPTED, PROCESSING, TABLES
@@ -50,6 +50,23 @@ def newest_first(table: DataFrame, created: str = "created_at", key: str = "id")
     return table.orderBy(F.desc(created), key)
 
 
+def newest_places(table: DataFrame, by: str = "library_id", created: str = "created_at", key: str = "id") -> DataFrame:
+    """With `place` (from 1) of each row in the newest-first order of its group.
+
+    Two-level: a group is cut into about the square root of its rows many spans of `created`,
+    ranks are taken within spans and the totals of newer spans added, so a hot group is spread.
+    """
+    groups = table.groupBy(F.col(by).alias("_by")).agg(F.max(created).alias("_most"), F.ceil((F.max(created) - F.min(created) + 1) / F.ceil(F.sqrt(F.count(F.lit(1))))).alias("_width"))
+    span = F.floor((F.col("_most") - F.col(created)) / F.col("_width"))
+    placed = table.join(F.broadcast(groups), F.col(by).eqNullSafe(F.col("_by"))).withColumn("_span", span).drop("_by", "_most", "_width")
+    totals = placed.groupBy(F.col(by).alias("_by"), F.col("_span").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    newer = Window.partitionBy("_by").orderBy(F.col("_of")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_n").over(newer), F.lit(0))).drop("_n")
+    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy(by, "_span").orderBy(F.desc(created), key)))
+    out = ranked.join(totals, F.col(by).eqNullSafe(F.col("_by")) & F.col("_span").eqNullSafe(F.col("_of")))
+    return out.withColumn("place", F.col("_rank") + F.col("_before")).select(*table.columns, "place")
+
+
 def first_match(table: DataFrame, *order: str) -> DataFrame:
     return table.orderBy(*order).limit(1)
 

@@ -89,8 +89,12 @@ def libraries_newest_first(spark, sf):
 
 @query("SELECT library_id, id, place FROM (SELECT library_id, id, row_number() OVER (PARTITION BY library_id ORDER BY created_at DESC, id) AS place FROM d) WHERE place <= 5", *D)
 def documents_by_created_desc(spark, sf):
-    w = Window.partitionBy("library_id").orderBy(F.desc("created_at"), "id")
-    return B.documents(spark, sf).withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 5").select("library_id", "id", "place")
+    return documents_by_created_desc_all(spark, sf).filter("place <= 5")
+
+
+@query("SELECT library_id, id, row_number() OVER (PARTITION BY library_id ORDER BY created_at DESC, id) AS place FROM d", *D)
+def documents_by_created_desc_all(spark, sf):
+    return C.newest_places(B.documents(spark, sf).select("library_id", "id", "created_at")).select("library_id", "id", "place")
 
 
 @query("SELECT id, type FROM d", *D)
