@@ -1,5 +1,8 @@
 """Queries over whole tables, against brute force."""
 
+import math
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -42,3 +45,27 @@ def test_places_of_ties_nulls_and_a_hot_library(spark):
         want.add((lib, key, created, seen[lib]))
     got = [tuple(r) for r in C.newest_places(spark.createDataFrame(rows, "library_id string, id string, created_at long")).collect()]
     assert len(got) == len(rows) and set(got) == want
+
+
+def brute_vector(text):
+    """Words and, at half weight, pairs of neighbours, in 384 buckets signed by FNV-1a."""
+    words, out = re.findall(r"[^\W_]+", (text or "").lower()), [0.0] * 384
+    for term, weight in [(w, 1.0) for w in words] + [(f"{a} {b}", 0.5) for a, b in zip(words, words[1:])]:  # noqa: B905
+        h = 0xCBF29CE484222325
+        for byte in term.encode():
+            h = (h ^ byte) * 0x100000001B3 % 2**64
+        h ^= h >> 32
+        out[(h >> 1) % 384] += weight if h % 2 else -weight
+    norm = math.sqrt(sum(x * x for x in out))
+    return [x / norm if norm else 0.0 for x in out]
+
+
+def test_every_document_is_embedded(spark, small, tmp_path):
+    texts = ["One two, one TWO.", "", None, "!? _", "Grüße 中文"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: r for r in entry.queries()["embed_documents_all"](spark, str(tmp_path)).collect()}
+    assert [got[i].wordless for i in range(5)] == [False, True, True, True, False]
+    assert all(got[i].embedding == pytest.approx(brute_vector(t), abs=1e-6) for i, t in enumerate(texts))
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = entry.queries()["embed_documents_all"](spark, small).collect()
+    assert len(rows) == len(docs) and all(r.embedding == pytest.approx(brute_vector(docs[r.id]), abs=1e-6) for r in rows)

@@ -536,6 +536,14 @@ def embed_documents(spark, sf):
     return e.select("id", F.size("v").alias("dimensions"), (F.abs(N.dot(F.col("v"), F.col("v")) - 1) < 1e-5).alias("unit"))
 
 
+@query(None)
+def embed_documents_all(spark, sf):
+    """id, embedding, wordless: every row of documents; a null text counts as empty, and a text without words has the zero vector."""
+    d = spread(B.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    e = d.select("id", embed(F.coalesce("text", F.lit(""))).alias("embedding"))
+    return e.select("id", "embedding", (N.dot(F.col("embedding"), F.col("embedding")) == 0).alias("wordless"))
+
+
 # Streaming-like behaviour, over the events feed.
 
 _FEED = """f AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS document_id, 'src' || (user_id % 20) AS library_id,
