@@ -69,3 +69,28 @@ def test_every_document_is_embedded(spark, small, tmp_path):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = entry.queries()["embed_documents_all"](spark, small).collect()
     assert len(rows) == len(docs) and all(r.embedding == pytest.approx(brute_vector(docs[r.id]), abs=1e-6) for r in rows)
+
+
+def brute_place(text, chunk):
+    """The chunk as it stands, else without white space, else what follows its first 150, 100 or 60 characters."""
+    if chunk in text:
+        return text.index(chunk), text.index(chunk) + len(chunk)
+    solid = [(i, x) for i, x in enumerate(text) if x.strip()]
+    bare, core = "".join(x for _, x in solid), "".join(chunk.split())
+    for skip in (0, 150, 100, 60):
+        if (skip == 0 or len(core) - skip > 20) and core[skip:] in bare:
+            at = bare.index(core[skip:])
+            return solid[max(0, at - skip)][0], solid[at + len(core) - skip - 1][0] + 1
+    return None
+
+
+def test_every_chunk_is_located(spark, small, tmp_path):
+    told = [" ".join(f"Sentence {i} of {k} ends here." for i in range(60)) for k in range(3)]
+    rows = [*enumerate(told), (3, "\n".join(f"  Line  {i}:  no end " for i in range(80))), (4, "short")]
+    spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for sf in (str(tmp_path), small):
+        texts = {str(r.doc_id): r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+        chunks = {(r.document_id, r.chunk_index): r.text for r in B.chunks(spark, sf).collect()}
+        got = {(r.document_id, r.chunk_index): (r.start, r.end) if r.found else None for r in entry.queries()["highlight_spaceless_all"](spark, sf).collect()}
+        assert any(i for _, i in chunks) and got == {k: brute_place(texts[k[0]], c) for k, c in chunks.items()}

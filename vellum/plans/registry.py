@@ -472,12 +472,23 @@ def highlight_exact(spark, sf):
 
 @query("SELECT c.document_id, c.chunk_index, strpos(replace(replace(d.text, chr(10), ''), ' ', ''), replace(replace(c.text, chr(10), ''), ' ', '')) > 0 AS found FROM c JOIN d ON d.id = c.document_id WHERE c.chunk_index = 0", *DC)
 def highlight_spaceless(spark, sf):
-    c = B.chunks(spark, sf).filter("chunk_index = 0").select("document_id", "chunk_index", F.col("text").alias("chunk"))
+    return _located(spark, sf, B.chunks(spark, sf).filter("chunk_index = 0")).select("document_id", "chunk_index", "found")
+
+
+def _located(spark, sf, c: DataFrame) -> DataFrame:
+    """document_id, chunk_index, start, end, found: where the chunks lie in their documents' texts."""
+    c = c.select("document_id", "chunk_index", F.col("text").alias("chunk"))
     joined = c.join(B.documents(spark, sf).select(F.col("id").alias("document_id"), "text"), "document_id")
     located = joined.withColumn("at", find_chunk(F.col("text"), F.col("chunk")))
     before, match, after = highlight(F.col("text"), F.col("at"))
     whole = F.concat(before, match, after) == F.col("text")
-    return located.select("document_id", "chunk_index", (F.col("at").isNotNull() & whole).alias("found"))
+    return located.select("document_id", "chunk_index", "at.start", "at.end", (F.col("at").isNotNull() & whole).alias("found"))
+
+
+@query(None)
+def highlight_spaceless_all(spark, sf):
+    """Every chunk of every document, with its place, by all of find_chunk's ways."""
+    return _located(spark, sf, B.chunks(spark, sf))
 
 
 @over_all(*ALL_DCQ, asked=B.all_queries)
