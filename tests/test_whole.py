@@ -1,12 +1,16 @@
 """Queries over whole tables, against brute force."""
 
+import hashlib
 import math
 import re
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from vellum.operators import catalog as C
+from vellum.operators.chunking import markdown_chunks, page_chunks, paragraph_chunks
+from vellum.operators.embedding import HashingEmbedder
 from vellum.plans import base as B
 
 SEARCHES = ("q1_hybrid_search", "bm25_topk", "vector_topk", "hybrid_topk", "hybrid_weighted", "hybrid_text_only", "hybrid_vector_only", "search_relative_threshold", "search_result_counts", "search_vector_results", "search_text_results", "result_badges", "result_links")
@@ -94,3 +98,19 @@ def test_every_chunk_is_located(spark, small, tmp_path):
         chunks = {(r.document_id, r.chunk_index): r.text for r in B.chunks(spark, sf).collect()}
         got = {(r.document_id, r.chunk_index): (r.start, r.end) if r.found else None for r in entry.queries()["highlight_spaceless_all"](spark, sf).collect()}
         assert any(i for _, i in chunks) and got == {k: brute_place(texts[k[0]], c) for k, c in chunks.items()}
+
+
+def test_every_document_is_ingested(spark, tmp_path):
+    """All three routes, with their pages; texts as long as several chunks, and one without any."""
+    texts = [f"# Head {i}\nLine one of {i}. More.\n\n" + f"word{i} other text here. " * 60 for i in range(10)] + [" ", "# A\nx\n# B\ny"]
+    spark.createDataFrame([(i, t, "en", f"lib{i % 4}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.document_id: r for r in entry.queries()["ingest_documents_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and {r.library_id for r in got.values()} == {"lib0", "lib1", "lib2", "lib3"}
+    for i, t in enumerate(texts):
+        if i % 5 == 0:
+            cut = list(page_chunks(t.split("\n")))
+        else:
+            cut = [(c, "-") for c in (markdown_chunks(t) if i % 5 > 2 else paragraph_chunks(t))]
+        each = [hashlib.sha256(f"{k}|{page}|{c}|{','.join(str(int(np.rint(np.float64(v) * 1e6))) for v in HashingEmbedder()([c])[0])}".encode()).hexdigest() for k, (c, page) in enumerate(cut)]
+        want = ("indexed" if cut else "error", len(cut), hashlib.sha256("".join(each).encode()).hexdigest() if cut else None)
+        assert (got[str(i)].status, got[str(i)].chunk_count, got[str(i)].digest) == want

@@ -126,9 +126,10 @@ def update_library(s: Snapshot, library_id: str, now: int, name: str | None = No
     return replace(s, libraries=patch(s.libraries, changes, "id"))
 
 
-def create_documents(s: Snapshot, files: DataFrame, library_id: str, now: int) -> Snapshot:
-    """files: id, name, type, size. New documents are pending; the library need not exist."""
-    rows = files.select("id", F.lit(library_id).alias("library_id"), "name", "type", F.col("size").cast("long").alias("size"), F.lit(now).cast("long").alias("created_at"), F.lit(now).cast("long").alias("updated_at"), F.lit("pending").alias("status"), F.lit(0).cast("long").alias("chunk_count"), F.lit(None).cast("int").alias("processing_progress"), F.lit(None).cast("string").alias("error"))
+def create_documents(s: Snapshot, files: DataFrame, library_id: str | None, now: int) -> Snapshot:
+    """files: id, name, type, size, and library_id where none is given. New documents are pending; the library need not exist."""
+    library = F.col("library_id") if library_id is None else F.lit(library_id).alias("library_id")
+    rows = files.select("id", library, "name", "type", F.col("size").cast("long").alias("size"), F.lit(now).cast("long").alias("created_at"), F.lit(now).cast("long").alias("updated_at"), F.lit("pending").alias("status"), F.lit(0).cast("long").alias("chunk_count"), F.lit(None).cast("int").alias("processing_progress"), F.lit(None).cast("string").alias("error"))
     return recount(replace(s, documents=insert(s.documents, rows)))
 
 

@@ -30,15 +30,15 @@ def outcome(parsed: DataFrame, chunks: DataFrame) -> DataFrame:
     return parsed.select("id", "error").join(n, "id", "left").select("id", F.when(error.isNull(), "indexed").otherwise("error").alias("status"), error.alias("error"))
 
 
-def ingest(s: Snapshot, parsed: DataFrame, library_id: str, now: int, load: Callable = HashingEmbedder) -> Snapshot:
-    """A snapshot with the parsed files (id, name, mime, size, text, pages, error) ingested into a library.
+def ingest(s: Snapshot, parsed: DataFrame, library_id: str | None, now: int, load: Callable = HashingEmbedder) -> Snapshot:
+    """A snapshot with the parsed files (id, name, mime, size, text, pages, error) ingested into a library; with None, each into the library that its own column library_id names.
 
     Ids follow from the files, so a repeated run replaces its own rows: a document left
     half done by a lost run is simply done again.
     """
-    placed = parsed.withColumn("library_id", F.lit(library_id))
+    placed = parsed if library_id is None else parsed.withColumn("library_id", F.lit(library_id))
     chunks = chunk_rows(placed, load)
-    files = placed.select("id", "name", document_type(F.col("mime"), F.col("name")).alias("type"), "size")
+    files = placed.select("id", "library_id", "name", document_type(F.col("mime"), F.col("name")).alias("type"), "size")
     s = create_documents(s, files, library_id, now)
     documents = patch(s.documents, outcome(placed, chunks).withColumn("updated_at", F.lit(now).cast("long")), "id", ("processing_progress",))
     s = save_contents(replace(s, documents=documents), placed.filter("text IS NOT NULL").select(F.col("id").alias("document_id"), "library_id", "text", "pages"))

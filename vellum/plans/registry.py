@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -540,6 +541,20 @@ def ingest_documents(spark, sf):
     return s.documents.select(F.col("id").alias("document_id"), "status", "chunk_count")
 
 
+@query(None)
+def ingest_documents_all(spark, sf):
+    """document_id, library_id, status, chunk_count, digest: all documents under their own names and libraries, PDFs with a page for each line. The digest follows from number, page, text and embedding (in millionths) of every chunk."""
+    d = _spread(spark, sf).withColumn("pages", F.when(F.col("type") == "pdf", F.split("text", "\n")))
+    parsed = d.select("id", "library_id", "name", "mime", "size", "text", "pages", F.lit(None).cast("string").alias("error"))
+    null = F.lit(None).cast("string")
+    libs = B.libraries(spark, sf).select("id", "name", null.alias("description"), "created_at", F.col("created_at").alias("updated_at"), F.lit(0).cast("long").alias("document_count"), F.lit(0).cast("long").alias("chunk_count"))
+    s = ingest(replace(C.Snapshot.empty(spark), libraries=libs), parsed, None, 2)
+    vector = F.array_join(F.transform("embedding", lambda v: F.rint(v.cast("double") * 1_000_000).cast("long").cast("string")), ",")
+    each = F.sha2(F.concat_ws("|", F.col("chunk_index").cast("string"), F.coalesce(F.col("page").cast("string"), F.lit("-")), "text", vector), 256)
+    digests = s.chunks.select("document_id", F.struct("chunk_index", each.alias("sha")).alias("c")).groupBy("document_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda c: c.sha), ""), 256).alias("digest"))
+    return s.documents.withColumnRenamed("id", "document_id").join(digests, "document_id", "left").select("document_id", "library_id", "status", "chunk_count", "digest")
+
+
 @query("SELECT vec_id AS id, 384 AS dimensions, true AS unit FROM embeddings JOIN documents ON vec_id = doc_id")
 def embed_documents(spark, sf):
     d = B.table(spark, sf, "documents").join(B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
