@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+from urllib.parse import unquote
 
 import numpy as np
 import pytest
@@ -114,3 +115,19 @@ def test_every_document_is_ingested(spark, tmp_path):
         each = [hashlib.sha256(f"{k}|{page}|{c}|{','.join(str(int(np.rint(np.float64(v) * 1e6))) for v in HashingEmbedder()([c])[0])}".encode()).hexdigest() for k, (c, page) in enumerate(cut)]
         want = ("indexed" if cut else "error", len(cut), hashlib.sha256("".join(each).encode()).hexdigest() if cut else None)
         assert (got[str(i)].status, got[str(i)].chunk_count, got[str(i)].digest) == want
+
+
+def test_views_and_routes_cover_all_documents(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    named = {r.doc_id for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    status = lambda i: B.STATUSES[i % len(B.STATUSES)]
+    notice = lambda i: "Document processing failed" if status(i) == "error" else "Document is being processed..."
+    q = entry.queries()
+    shown = {r.id: (r.before, r.match, r.after) for r in q["view_without_match_all"](spark, small).collect()}
+    assert shown == {str(d.doc_id): (d.text if d.doc_id in named else notice(d.doc_id), "", "") for d in docs}
+    routes = {r.library_id: r.route for r in q["library_landing_route_all"](spark, small).collect()}
+    searched = {d.source for d in docs if status(d.doc_id) == "indexed"}
+    assert routes == {d.source: "search" if d.source in searched else "documents" for d in docs}
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    got = {r.item_id: (unquote(r.encoded), r.last_space) for r in q["string_functions_all"](spark, small).collect()}
+    assert got == {i: (t, t.rfind(" ")) for i, t in texts.items()} and max(map(len, texts.values())) > 60

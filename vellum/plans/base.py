@@ -47,6 +47,13 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("document_id"), "library_id", "text", F.split("text", "\n").alias("pages"))
 
 
+def labelled_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id, library_id, text, pages of the documents that labels names: the others have no content yet."""
+    named = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    d = documents(spark, sf_dir).join(named, "doc_id", "left_semi")
+    return d.select(F.col("id").alias("document_id"), "library_id", "text", F.split("text", "\n").alias("pages"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk table of all documents, each line a page; the vector is the document's where it has one."""
     d = documents(spark, sf_dir, spread(table(spark, sf_dir, "documents")))
@@ -84,6 +91,8 @@ DOCUMENTS = f"""d AS (SELECT *, {_TYPE} AS type FROM (
 
 CONTENTS = "k AS (SELECT id AS document_id, library_id, text, string_split(text, chr(10)) AS pages FROM d WHERE doc_id % 7 <> 0)"
 
+LABELLED_CONTENTS = "k AS (SELECT id AS document_id, library_id, text, string_split(text, chr(10)) AS pages FROM d WHERE doc_id IN (SELECT doc_id FROM labels))"
+
 #: Page chunks as a fold over the sentences of all lines: size 500, overlap 100.
 CHUNKS = rf"""
     pg AS (SELECT id, library_id, name, doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p, i: {{'t': {sql_trim("p")}, 'p': CAST(i AS INTEGER)}}), lambda x: x.t <> '') AS ps FROM d),

@@ -55,6 +55,7 @@ def over_all(*parts: str, **given: object):
 
 
 D, DK = (B.DOCUMENTS,), (B.DOCUMENTS, B.CONTENTS)
+ALL_DK = (B.DOCUMENTS, B.LABELLED_CONTENTS)
 DC = (B.DOCUMENTS, B.CHUNKS)
 DCQ = (*DC, B.QUERIES, B.SCORES)
 ALL_DCQ = (*DC, B.ALL_QUERIES, B.SCORES)
@@ -150,6 +151,11 @@ def library_landing_route(spark, sf):
     return C.status_counts(d).select("library_id", C.landing_route(F.col("indexed")).alias("route"))
 
 
+@query("SELECT library_id, CASE WHEN count(*) FILTER (status = 'indexed') > 0 THEN 'search' ELSE 'documents' END AS route FROM d GROUP BY library_id", *D)
+def library_landing_route_all(spark, sf):
+    return C.status_counts(B.documents(spark, sf)).select("library_id", C.landing_route(F.col("indexed")).alias("route"))
+
+
 @query("SELECT l.library_id, count(d.id) AS document_count, CAST(coalesce(sum(d.size), 0) AS BIGINT) AS chunk_count FROM (SELECT DISTINCT library_id FROM d UNION ALL SELECT 'nowhere') l LEFT JOIN d ON d.library_id = l.library_id GROUP BY ALL", *D)
 def library_counters(spark, sf):
     libs = B.libraries(spark, sf).select("id").union(spark.createDataFrame([("nowhere",)], "id string"))
@@ -161,9 +167,10 @@ def document_chunk_counts(spark, sf):
     return B.chunks(spark, sf).groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
 
 
+@over_all(*ALL_DK, contents=B.labelled_contents)
 @query("SELECT d.id, d.name, k.text AS content, CASE WHEN k.text IS NOT NULL THEN k.text WHEN status = 'error' THEN 'Document processing failed' ELSE 'Document is being processed...' END AS shown FROM d LEFT JOIN k ON k.document_id = d.id", *DK)
-def document_with_content(spark, sf):
-    return C.with_content(B.documents(spark, sf).drop("text").withColumn("error", F.lit(None).cast("string")), B.contents(spark, sf)).select("id", "name", "content", "shown")
+def document_with_content(spark, sf, contents=B.contents):
+    return C.with_content(B.documents(spark, sf).drop("text").withColumn("error", F.lit(None).cast("string")), contents(spark, sf)).select("id", "name", "content", "shown")
 
 
 @query("SELECT library_id, upper(library_id) AS name, count(*) AS n, arg_max(id, created_at) AS newest FROM d GROUP BY library_id", *D)
@@ -172,11 +179,11 @@ def libraries_with_documents(spark, sf):
     return nested.select("library_id", "name", F.size("documents").cast("long").alias("n"), F.col("documents")[0].id.alias("newest"))
 
 
-def _snapshot(spark, sf) -> C.Snapshot:
+def _snapshot(spark, sf, contents=B.contents) -> C.Snapshot:
     null = F.lit(None)
     d = B.documents(spark, sf).withColumns({"updated_at": F.col("created_at"), "chunk_count": F.lit(0).cast("long"), "processing_progress": (F.col("doc_id") % 100).cast("int"), "error": null.cast("string")})
     libs = B.libraries(spark, sf).withColumns({"description": null.cast("string"), "updated_at": F.col("created_at"), "document_count": F.lit(0).cast("long"), "chunk_count": F.lit(0).cast("long")})
-    return C.Snapshot(libs, d.drop("text", "mime", "doc_id"), B.contents(spark, sf), B.chunks(spark, sf).drop("embedding"))
+    return C.Snapshot(libs, d.drop("text", "mime", "doc_id"), contents(spark, sf), B.chunks(spark, sf).drop("embedding"))
 
 
 _AFTER = "SELECT 'documents' AS part, library_id, count(*) AS n FROM d WHERE {0} GROUP BY ALL UNION ALL SELECT 'contents', library_id, count(*) FROM k WHERE {1} GROUP BY ALL UNION ALL SELECT 'chunks', library_id, count(*) FROM c WHERE {1} GROUP BY ALL"
@@ -187,27 +194,31 @@ def _after(s: C.Snapshot) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+@over_all(*ALL_DK, B.CHUNKS, contents=B.labelled_contents)
 @query(_AFTER.format("id NOT IN ('7', '8', '9')", "document_id NOT IN ('7', '8', '9')"), *DK, B.CHUNKS)
-def delete_document_cascade(spark, sf):
+def delete_document_cascade(spark, sf, contents=B.contents):
     ids = spark.createDataFrame([("7",), ("8",), ("9",), ("none",)], "id string")
-    return _after(C.delete_documents(_snapshot(spark, sf), ids))
+    return _after(C.delete_documents(_snapshot(spark, sf, contents), ids))
 
 
+@over_all(*ALL_DK, B.CHUNKS, contents=B.labelled_contents)
 @query(_AFTER.format("library_id <> 'src2'", "library_id <> 'src2'"), *DK, B.CHUNKS)
-def delete_library_cascade(spark, sf):
-    return _after(C.delete_library(_snapshot(spark, sf), "src2"))
+def delete_library_cascade(spark, sf, contents=B.contents):
+    return _after(C.delete_library(_snapshot(spark, sf, contents), "src2"))
 
 
+@over_all(*ALL_DK, B.CHUNKS, contents=B.labelled_contents)
 @query(_AFTER.format("status NOT IN ('pending', 'parsing')", "document_id NOT IN (SELECT id FROM d WHERE status IN ('pending', 'parsing'))"), *DK, B.CHUNKS)
-def cleanup_interrupted(spark, sf):
-    return _after(C.cleanup_interrupted(_snapshot(spark, sf)))
+def cleanup_interrupted(spark, sf, contents=B.contents):
+    return _after(C.cleanup_interrupted(_snapshot(spark, sf, contents)))
 
 
+@over_all(*ALL_DK, contents=B.labelled_contents)
 @query("SELECT document_id, text FROM k WHERE CAST(document_id AS BIGINT) % 5 <> 0 UNION ALL SELECT id, text || '!' FROM d WHERE doc_id % 5 = 0", *DK)
-def upsert_content(spark, sf):
+def upsert_content(spark, sf, contents=B.contents):
     d = B.documents(spark, sf).filter("doc_id % 5 = 0")
     rows = d.select(F.col("id").alias("document_id"), "library_id", F.concat("text", F.lit("!")).alias("text"), F.lit(None).cast("array<string>").alias("pages"))
-    return C.upsert(B.contents(spark, sf), rows, "document_id").select("document_id", "text")
+    return C.upsert(contents(spark, sf), rows, "document_id").select("document_id", "text")
 
 
 @query("SELECT id, CASE WHEN doc_id % 4 = 0 THEN 'indexed' WHEN doc_id % 4 = 1 THEN 'parsing' ELSE status END AS status, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 5 ELSE CAST(doc_id % 100 AS INTEGER) END AS processing_progress, CASE WHEN doc_id % 4 < 2 THEN 1800000000000 ELSE created_at END AS updated_at FROM d", *D)
@@ -454,6 +465,11 @@ def string_functions(spark, sf):
     return b.select("item_id", X.url_component(F.left("text", F.lit(60))).alias("encoded"), X.last_index_of(F.col("text"), " ").cast("long").alias("last_space"))
 
 
+@query("SELECT item_id, replace(url_encode(text), '%7E', '~') AS encoded, len(text) - strpos(reverse(text), ' ') AS last_space FROM benchmark WHERE strpos(text, ' ') > 0 UNION ALL SELECT item_id, replace(url_encode(text), '%7E', '~'), -1 FROM benchmark WHERE strpos(text, ' ') = 0")
+def string_functions_all(spark, sf):
+    return B.table(spark, sf, "benchmark").select("item_id", X.url_component(F.col("text")).alias("encoded"), X.last_index_of(F.col("text"), " ").cast("long").alias("last_space"))
+
+
 @query("SELECT vec_id, round(list_inner_product(a, b) / sqrt(list_inner_product(a, a)) / sqrt(list_inner_product(b, b)), 6) AS similarity FROM (SELECT e.vec_id, CAST(e.embedding AS DOUBLE[]) AS a, CAST(z.embedding AS DOUBLE[]) AS b FROM embeddings e JOIN embeddings z ON z.vec_id = 0)")
 def cosine_to_first(spark, sf):
     e = B.table(spark, sf, "embeddings")
@@ -530,6 +546,14 @@ def view_without_match(spark, sf):
     return located.select("id", before.alias("before"), match.alias("match"), after.alias("after"))
 
 
+@query("SELECT d.id, CASE WHEN k.text IS NOT NULL THEN k.text WHEN status = 'error' THEN 'Document processing failed' ELSE 'Document is being processed...' END AS before, '' AS match, '' AS after FROM d LEFT JOIN k ON k.document_id = d.id", *ALL_DK)
+def view_without_match_all(spark, sf):
+    d = C.with_content(B.documents(spark, sf).select("id", "status"), B.labelled_contents(spark, sf)).select("id", F.col("shown").alias("text"))
+    located = d.withColumn("at", find_chunk(F.col("text"), F.lit("\u2603 is in no document")))
+    before, match, after = highlight(F.col("text"), F.col("at"))
+    return located.select("id", before.alias("before"), match.alias("match"), after.alias("after"))
+
+
 # Ingestion: one library's documents as text files, chunked in paragraphs.
 
 
