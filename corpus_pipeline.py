@@ -7,7 +7,7 @@ columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.common import lower_ascii, release, stored
@@ -23,6 +23,11 @@ def _columns(docs: DataFrame) -> list[str]:
     return [f"`{c}`" for c in docs.columns]
 
 
+def _own_digest() -> Column:
+    """Of the text as drop_exact_copies compares it."""
+    return F.sha2(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary"), 256)
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects. Null texts are judged as empty; null ids stay or go by their text."""
     return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -31,8 +36,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the one with the largest doc_id; of rows repeated with that id, one."""
     kept = exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_n"))
-    digest = F.sha2(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary"), 256)
-    keyed = docs.withColumn("_own", digest)
+    keyed = docs.withColumn("_own", _own_digest())
     same = (F.col("_own") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     joined = keyed.join(kept.hint("shuffle_hash"), same)
     once = joined.filter("_n = 1").unionByName(joined.filter("_n > 1").dropDuplicates(["_own"]))
@@ -40,9 +44,21 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
-    gone = near_dedup(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*_columns(docs))
+    """One document of each component of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id, then digest.
+
+    Rows that share a doc_id but differ in text are documents of their own.
+    """
+    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.filter("n > 1").isEmpty():
+        gone = near_dedup(docs).filter("NOT kept").select("doc_id").distinct()
+        return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*_columns(docs))
+    # Keys in the order of (doc_id, digest), so that the least key of a component is its smallest id.
+    named = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), _own_digest().alias("_sha")).distinct()
+    keys = stored(named.repartitionByRange("_id", "_sha").sortWithinPartitions("_id", "_sha").withColumn("_key", F.monotonically_increasing_id()), "keys")
+    own = docs.withColumn("_own", _own_digest())
+    keyed = own.join(keys.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_sha")), "left")
+    gone = near_dedup(keyed.select(F.col("_key").alias("doc_id"), "text")).filter("NOT kept").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(gone.hint("shuffle_hash"), "_key", "left_anti").select(*_columns(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,12 @@ def test_empty_corpus(spark, corpus, tmp_path):
     spark.read.parquet(f"{corpus}/documents.parquet").filter("false").write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{corpus}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_repeated_id_does_not_take_another_text_along(docs):
+    """Rows that share an id: one a near copy of a smaller id, one a text of its own."""
+    base = [f"w{i}" for i in range(60)]
+    near, own = " ".join([*base, "more"]), " ".join(f"v{i}" for i in range(60))
+    df = docs((1, " ".join(base)), (7, near), (7, own), (8, own + " end"), (9, "one alone"), (None, near))
+    left = {(r.doc_id, r.text) for r in P.drop_near_copies(df.sparkSession, df, "").collect()}
+    assert left == {(1, " ".join(base)), (7, own), (9, "one alone"), (None, near)}
