@@ -160,3 +160,26 @@ def test_toxicity_learns_stems(spark, docs, odd):
     assert all(out[i].predicted == (out[i].score >= 0.5) and 0 <= out[i].score <= 1 for i in out)
     assert toxicity_scores(odd, lab).count() == odd.count() and toxicity_scores(odd.filter("false"), lab).count() == 0
     assert {r.predicted for r in toxicity_scores(df, lab.filter("false")).collect()} == {0}
+
+
+def test_toxicity_of_pairs_only(spark, docs):
+    """Every term is as common in clean as in toxic documents: only pairs tell."""
+    rnd = random.Random(8)
+    filler = lambda: ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(4, 8))) for _ in range(rnd.randint(5, 30))]
+    rows, labels = [], []
+    for i in range(1200):
+        bad, a = i % 2, i // 2 % 3
+        words = [*filler(), ("zorken", "vrunt", "plimo")[a], ("quist", "jomble", "wexyn")[a if bad else (a + 1 + i // 6 % 2) % 3]]
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, bad, 0.0))
+    out = {r.doc_id: r for r in toxicity_scores(docs(*rows), spark.createDataFrame(labels, LABELS)).collect()}
+    held = [(i, bad) for i, _, bad, _ in labels if out[i].held_out]
+    assert sum(out[i].predicted == bad for i, bad in held) >= 0.97 * len(held)
+
+
+def test_toxicity_falls_back_to_the_prior(spark, docs):
+    rows = [(i, f"text {'abcdefgh'[i % 8]}") for i in range(16)]
+    labels = [(i, 1, int(i in (1, 2, 3)), 0.0) for i, _ in rows]
+    got = toxicity_scores(docs(*rows), spark.createDataFrame(labels, LABELS)).collect()
+    assert {r.predicted for r in got} == {0} and max(r.score for r in got) < 0.4

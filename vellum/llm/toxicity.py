@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document is the set of its hashed terms (words and word beginnings). Terms that tell the
-classes apart in a bounded labelled sample are kept; over them a factorization machine is
+classes apart in a bounded labelled sample, alone or by occurring together, are kept; over them a factorization machine is
 learnt: a weight for each term and, for each two terms that occur together, the inner
 product of their factors, so that pairs count that neither term alone would.
 """
@@ -22,6 +22,8 @@ from vellum.llm.learning import held_out, labelled, sampled, sigmoid
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 #: Bounds: labelled documents of each class in the sample; terms kept; least documents with a term; least |z|.
 PER_CLASS, TERMS, LEAST_DOCS, LEAST_Z = 4000, 4096, 3, 4.0
+#: Least root of the likelihood ratio (a |z| that also holds for rare pairs) of two terms' occurring together where neither tells alone.
+PAIR_Z = 6.0
 FACTORS, STEPS, RATE, RIDGE = 8, 300, 0.05, 1e-4
 HASH_BITS = 24
 #: Beginnings of a word, in bytes, that are terms too.
@@ -111,7 +113,7 @@ class FactorizationMachine:
 
 
 def telling_terms(sample: DataFrame, text: str) -> list[int]:
-    """The hashed terms of the sample whose frequency differs most between the classes, at most TERMS."""
+    """The hashed terms of the sample whose frequency, or whose pair's, differs most between the classes, at most TERMS."""
     made = cut(terms(sample, text, None, "y"))
     n = {r["y"]: r["count"] for r in made.groupBy("y").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -120,8 +122,53 @@ def telling_terms(sample: DataFrame, text: str) -> list[int]:
     by = made.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
     p = F.col("n") / (n0 + n1)
     z = (F.col("a") / n1 - (F.col("n") - F.col("a")) / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
-    top = by.filter(F.col("n") >= LEAST_DOCS).withColumn("z", F.abs(z)).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS)
-    return sorted(r["term"] for r in top.select("term").collect())
+    rated = cut(by.filter(F.col("n") >= LEAST_DOCS).withColumn("z", F.abs(z)))
+    best = {r["term"]: r["z"] for r in rated.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS).collect()}
+    # No pair occurs more often than its terms: those too rare for PAIR_Z even if all in one class are no candidates.
+    reach = F.col("n") * 2 * float(np.log((n0 + n1) / min(n0, n1))) >= PAIR_Z**2
+    rest = sorted(r["term"] for r in rated.filter(F.col("z") < LEAST_Z).filter(reach).select("term").collect())
+    for term, most in telling_pairs(sample, text, rest).items():
+        best[term] = most
+    return sorted(sorted(best, key=lambda t: (-best[t], t))[:TERMS])
+
+
+def ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Twice the log-likelihood ratio for a of n1 toxic and b of n0 clean documents, against one share for both."""
+    part = lambda k, n, of: k * np.log(np.maximum(k, 1e-300) * (n1 + n0) / (n * np.maximum(of, 1e-300)))
+    both, none = a + b, n1 + n0 - a - b
+    return 2 * (part(a, n1, both) + part(b, n0, both) + part(n1 - a, n1, none) + part(n0 - b, n0, none))
+
+
+def telling_pairs(sample: DataFrame, text: str, candidates: list[int]) -> dict[int, float]:
+    """The candidates that tell the classes apart together with another one, with the highest root of their pairs' ratios.
+
+    All pairs that occur are counted: for each candidate, the terms of its documents. Terms of
+    the same documents (a word and its beginnings, mostly) are counted as one.
+    """
+    if len(candidates) < 2:
+        return {}
+    rows = terms(sample, text, {t: i for i, t in enumerate(candidates)}, "y").select("terms", "y").toPandas()
+    y = rows["y"].to_numpy() == 1
+    n1, n0 = int(y.sum()), int((~y).sum())
+    lists = [np.asarray(t, dtype=np.int64) for t in rows["terms"]]
+    flat, doc = np.concatenate([*lists, np.empty(0, np.int64)]), np.repeat(np.arange(len(lists)), [len(t) for t in lists])
+    order = np.argsort(flat, kind="stable")
+    places = np.split(doc[order], np.cumsum(np.bincount(flat, minlength=len(candidates)))[:-1])
+    first: dict[bytes, int] = {}
+    same = np.array([first.setdefault(d.tobytes(), len(first)) for d in places])
+    docs_of = dict(zip(same.tolist(), places, strict=True))
+    held = [np.unique(same[t]) for t in lists]
+    most = np.zeros(len(first))
+    least = (PAIR_Z**2) / (2 * np.log((n0 + n1) / min(n0, n1)))
+    for k, own in docs_of.items():
+        if not len(own):
+            continue
+        counts = [np.bincount(np.concatenate([*[held[d] for d in own[y[own] == kind]], np.empty(0, np.int64)]), minlength=len(first)) for kind in (True, False)]
+        near = np.flatnonzero(counts[0] + counts[1] >= least)
+        near = near[near != k]
+        if len(near):
+            most[k] = np.sqrt(max(0.0, ratio(counts[0][near], counts[1][near], n1, n0).max()))
+    return {t: float(m) for t, m in zip(candidates, most[same], strict=True) if m >= PAIR_Z}
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", folds: int = FOLDS, which: int = HELD_OUT) -> DataFrame:
@@ -130,6 +177,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", labe
     * null text: scored as the empty text. null doc_id: scored, held_out false, never learnt from.
     * repeated rows: scored alike. Labels other than 0 and 1, null, or contradictory for an id: not learnt from.
     * without labels of both kinds every score is the bias: low unless only toxic documents are labelled.
+    * where no term tells the classes apart, every score is the share of toxic labels (of one clean label more).
     * an empty table gives no rows; other columns are ignored.
     """
     known, counts = sampled(labelled(labels, label, folds, which), "y", PER_CLASS, 6)
@@ -139,7 +187,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", labe
     kept = {t: i for i, t in enumerate(telling_terms(sample, "_text"))}
     taught = terms(sample, "_text", kept, "y").select("terms", "y").toPandas()
     model = FactorizationMachine(len(kept))
-    if counts.get(0) and counts.get(1):
+    if counts.get(0) and counts.get(1) and not kept:
+        model.bias = float(np.log(counts[1] / (counts[0] + 1)))
+    elif counts.get(0) and counts.get(1):
         model.fit([np.asarray(t, dtype=np.int64) for t in taught["terms"]], taught["y"].to_numpy())
     else:
         model.bias = 4.0 if counts.get(1) else -4.0
