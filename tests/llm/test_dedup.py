@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm.exact_dedup import chunks, exact_dedup
-from vellum.llm.near_dedup import Shingles, components, near_dedup, sketches
+from vellum.llm import near_dedup as N
+from vellum.llm.near_dedup import Shingles, components, leftovers, near_dedup, prefix_length, sketches
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -78,7 +79,7 @@ def brute_near(rows, k, percent=80):
         for j in range(i):
             a, b = sets[i], sets[j]
             inter = len(a & b)
-            if inter and rows[i][0] is not None and rows[j][0] is not None and 100 * inter >= percent * (len(a) + len(b) - inter) or (rows[i][0] is not None and rows[i][0] == rows[j][0]):
+            if inter and rows[i][0] is not None and rows[j][0] is not None and 100 * inter >= percent * (len(a) + len(b) - inter):
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
     least = {}
@@ -136,9 +137,48 @@ def test_sketches_fill_and_estimate():
     assert (sketches([a], 252)[0] == one).all()
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_components(spark, few):
-    edges = [(i, i + 1) for i in range(10, 40)] + [(5, 40), (1, 2), (100, 99), (100, 98), (2, 1), (7, 7)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
-    assert got == {**{i: 5 for i in [5, *range(10, 41)]}, 1: 1, 2: 1, 98: 98, 99: 98, 100: 98}
-    assert components(spark.createDataFrame([], "a long, b long"), few).count() == 0
+def test_rows_that_share_an_id_have_components_of_their_own(docs):
+    base = " ".join(f"w{i}" for i in range(60))
+    df = docs((3, base), (7, base + " tail"), (7, " ".join(f"v{i}" for i in range(60))), (7, base + " tail"), (8, base.upper()), (2, " ".join(f"u{i}" for i in range(9))))
+    same_near(df, 4)
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup(df, words=4).collect()) == [(2, 2, True), (3, 3, True), (7, 3, False), (7, 3, False), (7, 7, True), (8, 3, False)]
+
+
+@pytest.mark.parametrize("part_edges", [2, 7, 1000])
+def test_components(spark, part_edges):
+    rnd = random.Random(5)
+    edges = [(i, i + 1) for i in range(10, 40)] + [(5, 40), (1, 2), (100, 99), (100, 98), (2, 1), (7, 7)] + [(1000, 1000 + i) for i in range(1, 60)]
+    edges += [(rnd.randint(2000, 2080), rnd.randint(2000, 2080)) for _ in range(60)]
+    up = {}
+
+    def root(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), part_edges).collect()}
+    assert got == {i: root(i) for i in up}
+    assert components(spark.createDataFrame([], "a long, b long"), part_edges).count() == 0
+
+
+@pytest.mark.parametrize("slice_", [4, 128])
+def test_leftovers_find_every_link_of_a_mixed_bucket(spark, monkeypatch, slice_):
+    """Templated sets in one bucket, each a component of its own: links by brute force, with short and with long lists."""
+    monkeypatch.setattr(N, "SLICE", slice_)
+    rnd = random.Random(6)
+    shared = list(range(1000, 1060))
+    sets = [sorted({*rnd.sample(shared, rnd.randint(50, 60)), *(rnd.randrange(10**6) for _ in range(rnd.randint(0, 8)))}) for _ in range(60)] + [[7], [7, 8], list(range(5))]
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))}
+    entries = spark.createDataFrame([(1, i) for i in range(len(sets))], "bucket long, node long")
+    held = spark.createDataFrame(list(enumerate(sets)), "node long, items array<long>")
+    got = leftovers(entries, spark.createDataFrame([], "node long, label long"), held, 80).collect()
+    assert {(max(r.a, r.b), min(r.a, r.b)) for r in got} == want and 0 < len(want) < 60 * 59 / 2
+
+
+def test_prefixes_are_long_enough():
+    for n in range(1, 200):
+        assert prefix_length(n, 80) == n - (80 * n + 99) // 100 + 1

@@ -17,14 +17,14 @@ from pyspark.sql.window import Window
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: Rows in one Arrow batch sent to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 256
+#: Rows and bytes that a function sees at once. Spark bounds the bytes of a batch on its way to Python (64 MB unless set otherwise); these bound what is made of it there.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: A group with at least 1/HEAVY of all rows is heavy; there are at most HEAVY of them.
 HEAVY = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint folder, set here only if unset."""
+    """The folder all executors share: the session's checkpoint folder, set here only if unset. What this application leaves there goes when it ends."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir")
@@ -33,7 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             configured = tempfile.mkdtemp(prefix="vellum-checkpoint-")
         sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir()
+    own = sc.getCheckpointDir()  # a folder of this application's own within the configured one
+    if own not in _CLEANED:
+        _CLEANED.add(own)
+        atexit.register(_remove, spark, own)
+    return own
+
+
+_CLEANED: set[str] = set()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -47,20 +54,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
-    _STORED[id(out)] = (out, path)
+    out._stored_at = path
     return out
 
 
-#: Stored tables that may yet be released, by the identity of their DataFrames.
-_STORED: dict[int, tuple[DataFrame, str]] = {}
-
-
-def release(table: DataFrame) -> None:
-    """Delete a stored() table of which nothing that is still to run reads."""
-    _, path = _STORED.pop(id(table))
-    _remove(table.sparkSession, path)
+def release(*tables: DataFrame) -> None:
+    """Delete stored() tables of which nothing that is still to run reads."""
+    for table in tables:
+        _remove(table.sparkSession, table._stored_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -77,15 +79,24 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def arrow_limits(spark: SparkSession) -> None:
-    """Batches sent to Python stay small in rows, and so in bytes when texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most BATCH_ROWS rows and, but for single rows above it, about BATCH_BYTES bytes."""
+    start, n = 0, batch.num_rows
+    while start < n:
+        rows = min(BATCH_ROWS, n - start)
+        while rows > 1 and batch.slice(start, rows).nbytes > BATCH_BYTES:
+            rows = (rows + 1) // 2
+        yield batch.slice(start, rows)
+        start += rows
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with small batches."""
-    arrow_limits(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """mapInArrow in small portions, so that a worker's memory does not follow from the batch size; no setting of the session is touched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(p for batch in batches for p in portions(batch))
+
+    return df.mapInArrow(run, schema)
 
 
 def bits_for(rows: int) -> int:

@@ -7,10 +7,13 @@ Rounds of low number win, so a sketch is finished as soon as it is full. Two coo
 agree with the probability of the sets' similarity, with the concentration of independent
 hashing. Bands of coordinates give the candidates; links are confirmed on the full sets.
 
-No step emits the pairs of a bucket. Texts with equal sets are one node. In each bucket
-every node is first compared with one centre (another one in each band); the links found
-give components. What such a bucket still holds outside its largest component is then
-compared, tile by tile, with the nodes of other components in the bucket.
+A node is a distinct set, whatever the ids of its rows. In each bucket every node is first
+compared with one centre (another one in each band); the links found give components. The
+nodes of the buckets that still hold several components are then joined once more, exactly,
+by an inverted index of shingles: two sets as similar as asked must share a shingle among
+the first fifth of each, in any common order. The order puts frequent shingles last, so
+that the lists of the index are short; what is frequent all the same is compared tile by
+tile. Components come by stars, within parts of the edges and then between them.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ from vellum.llm.common import cut, join_groups, map_arrow, release, stored
 WORDS, PERCENT = 5, 80
 #: 42 bands of 6 coordinates: a pair at the threshold of 0.8 is missed with a chance below 1e-5.
 BANDS, ROWS = 42, 6
-#: Rows of a bucket, or partners of a centre, that one task handles at once.
-SLICE = 128
-#: Edges that one task may hold (16 bytes each).
-FEW_EDGES = 200_000
+#: Partners of a centre, or rows of a list of the inverted index, that one task handles at once, and the shingles in them.
+SLICE, SLICE_ITEMS = 128, 1 << 20
+#: Edges in one part of the components' first step.
+PART_EDGES = 20_000
+#: Slots in which shingles are counted for the order of the inverted index.
+SLOTS = 1 << 18
 #: Distinct words whose hashes a worker keeps.
 CACHE = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -106,33 +111,41 @@ def _lists(values: np.ndarray, lengths: list[int]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
 
 
-def signatures(docs: DataFrame, text: str, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, d1 and d2 (a 128-bit digest of the whole set), bands."""
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=np.int64).reshape(-1, 2)
+
+
+def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, th, n_shingles, d1 and d2 (a 128-bit digest of the whole set), bands. docs: doc_id, th (a hash of the text), _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for batch in batches:
-            sets = [shingles.of(t) for t in batch.column(1).to_pylist()]
+            sets = [shingles.of(t) for t in batch.column(2).to_pylist()]
             n = [len(s) for s in sets]
             hashes = band_hashes(sketches([s for s in sets if len(s)], bands * rows), bands)
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=np.int64).reshape(-1, 2)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _lists(hashes.ravel(), [bands * (k > 0) for k in n])]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+            digests = _digests(sets)
+            cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _lists(hashes.ravel(), [bands * (k > 0) for k in n])]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n_shingles", "d1", "d2", "bands"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text")), run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return map_arrow(docs.select("doc_id", "th", F.col("_text").cast("binary")), run, "doc_id long, th long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
-def full_sets(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """node, items: the whole shingle set of each row."""
+def full_sets(texts: DataFrame, words: int) -> DataFrame:
+    """node, items: the whole shingle sets of the rows (node, d1, d2, _text) whose digest is the node's; a node that a task meets again is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
+        shingles, met = Shingles(words), set()
         for batch in batches:
-            sets = [shingles.of(t) for t in batch.column(1).to_pylist()]
-            values = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(values, [len(s) for s in sets])], names=["node", "items"])
+            nodes, d1, d2, found = *(batch.column(i).to_pylist() for i in range(3)), []
+            for node, want, text in zip(nodes, zip(d1, d2, strict=True), batch.column(3).to_pylist(), strict=True):
+                if node not in met and tuple(_digests([s := shingles.of(text)])[0].tolist()) == want:
+                    met.add(node)
+                    found.append((node, s))
+            values = np.concatenate([np.empty(0, np.uint64), *[s for _, s in found]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), _lists(values, [len(s) for _, s in found])], names=["node", "items"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text")), run, "node long, items array<long>")
+    return map_arrow(texts.select("node", "d1", "d2", F.col("_text").cast("binary")), run, "node long, items array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -144,8 +157,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(shared * 100 >= percent * (F.size("items") + F.size("other") - shared)).select("node", "centre").distinct()
 
 
+def _with_partners(pairs: DataFrame) -> DataFrame:
+    """pairs (node, centre) with n, the number of the centre's partners."""
+    fans = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
+    return join_groups(pairs, fans, "centre", "n", pairs.count())
+
+
 def _forest(edges: pa.Table) -> pa.Table:
-    """node, label of all nodes of the edges: the least node reachable, by union-find."""
+    """Edges (a, b) replaced by as few as can be: each node of theirs to the least that it reaches, by union-find."""
     a, b = edges["a"].to_numpy(), edges["b"].to_numpy()
     nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
     up = list(range(len(nodes)))
@@ -158,49 +177,59 @@ def _forest(edges: pa.Table) -> pa.Table:
     for i, j in zip(place[: len(a)].tolist(), place[len(a) :].tolist(), strict=True):
         i, j = root(i), root(j)
         up[max(i, j)] = min(i, j)
-    labels = nodes[[root(i) for i in range(len(nodes))]] if len(nodes) else nodes
-    return pa.table([pa.array(nodes, pa.int64()), pa.array(labels, pa.int64())], names=["node", "label"])
+    least = np.array([root(i) for i in range(len(nodes))], dtype=np.int64)
+    own = np.flatnonzero(least != np.arange(len(nodes)))
+    return pa.table([pa.array(nodes[own], pa.int64()), pa.array(nodes[least[own]], pa.int64())], names=["a", "b"])
 
 
-def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One step on edges (a, b), a > b: the neighbours of each node that are larger (or else, those that are not) move to its least neighbour."""
+    around = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if large:
+        around = around.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = around.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    met = join_groups(around, least, "u", "n", edges.count() * (2 if large else 1))
+    moved = met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return moved.filter("a <> b").distinct()
+
+
+def components(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
     """node, label of all nodes with an edge (a, b), a <> b: the least node reachable.
 
-    Up to `few` edges go through one task (16 bytes each). Beyond that, each round hooks
-    every root to its least neighbouring root, shortens the paths by pointer jumping, and
-    contracts the edges; that ends after about log(n) rounds. The joins are of narrow,
-    materialised tables, whose hot keys adaptive execution splits.
+    First each part of about `part_edges` edges is replaced by its own forest. Then large
+    and small stars alternate until the edges stay as they are, which is when every node
+    has one edge, to its least: after about log(n) rounds. All tables are narrow; hot nodes
+    are joined by broadcast; of each round only its outcome is kept.
     """
-    edges = cut(edges.select("a", "b").filter("a <> b").distinct())
-    if edges.count() <= few:
-
-        def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _forest(pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))).to_batches()
-
-        return cut(edges.coalesce(1).mapInArrow(forest, "node long, label long"))
-    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = None
-    while not both.isEmpty():
-        roots = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
-        while True:
-            up = roots.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            jumped = cut(roots.join(up, "to").select("a", "to", "next"))
-            moved = not jumped.filter("next <> to").isEmpty()
-            roots = jumped.select("a", F.col("next").alias("to"))
-            if not moved:
-                break
-        if labels is None:
-            labels = roots.select(F.col("a").alias("node"), F.col("to").alias("label"))
-        else:
-            labels = labels.join(roots.select(F.col("a").alias("label"), F.col("to").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
-        labels = cut(labels)
-        first = both.join(roots, "a").select(F.col("to").alias("x"), "b")
-        both = cut(first.join(roots.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct())
-    return labels if labels is not None else both.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    least, most = F.least("a", "b"), F.greatest("a", "b")
+    plain = edges.filter("a <> b").select(most.alias("a"), least.alias("b")).distinct()
+    held = stored(plain, "edges")
+    parts = max(1, -(-held.count() // part_edges))
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _forest(pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))).to_batches()
+
+    now = stored(held.repartition(parts, "b").mapInArrow(forest, "a long, b long").distinct(), "edges")
+    release(held)
+    state = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 32)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    before = state(now)
+    while True:
+        large = stored(_star(now, True), "edges")
+        small = stored(_star(large, False), "edges")
+        release(now, large)
+        now, after = small, state(small)
+        if after == before:
+            break
+        before = after
+    ends = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    out = cut(ends.unionByName(ends.select("label").distinct().select(F.col("label").alias("node"), "label")))
+    release(now)
+    return out
 
 
 def _cross(percent: int):
     def cross(odd: pa.Table, rows: pa.Table) -> pa.Table:
-        """Links between the nodes outside a bucket's largest component and those of other components."""
+        """Links between the nodes outside a list's largest component and those of other components."""
         a, b = [], []
         if len(odd) and len(rows):
             items = [np.asarray(v) for v in rows["items"].combine_chunks().to_numpy(zero_copy_only=False)]
@@ -219,25 +248,79 @@ def _cross(percent: int):
     return cross
 
 
+def slot_classes(sets: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each slot are, as a power of two: SLOTS bytes, whatever the input. Counted within tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            np.add.at(n, batch.column(0).flatten().to_numpy() & (SLOTS - 1), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["slot", "n"])
+
+    by = map_arrow(sets.select("items"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
+    found = by.select("slot", F.log2("n").cast("int").alias("class")).toPandas()  # at most SLOTS rows
+    out = np.zeros(SLOTS, np.uint8)
+    out[found["slot"].to_numpy()] = found["class"].to_numpy()
+    return out
+
+
+def prefix_length(n: int, percent: int) -> int:
+    """Of a set of n shingles: any set similar enough shares one of the first so many, in any order that both follow."""
+    return n - -(-percent * n // 100) + 1
+
+
+def prefixes(sets: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
+    """item, node, label, n: the first shingles of each set (node, label, items), frequent slots last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, counts, sizes = [], [], []
+            for items in batch.column(2).to_numpy(zero_copy_only=False):
+                k = prefix_length(len(items), percent)
+                out.append(items[np.lexsort((items, classes[items & (SLOTS - 1)]))[:k]])
+                counts.append(k)
+                sizes.append(len(items))
+            take = np.repeat(np.arange(len(counts)), counts)
+            cols = [pa.array(np.concatenate([np.empty(0, np.int64), *out])), batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)), pa.array(np.asarray(sizes, np.int64)[take])]
+            yield pa.RecordBatch.from_arrays(cols, names=["item", "node", "label", "n"])
+
+    return map_arrow(sets.select("node", "label", "items"), run, "item long, node long, label long, n long")
+
+
 def leftovers(entries: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) across components within the buckets that hold several. entries: bucket, node."""
-    counts = entries.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
-    known = counts.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    placed = cut(entries.join(known, "node"))
-    shares = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    of = shares.groupBy("bucket").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"))
+    """Links (a, b) across components, of all nodes in buckets that hold several. entries: bucket, node."""
+    nodes = entries.select("node").distinct()
+    known = stored(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    of = entries.join(known, "node").groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"))
     # With two rows, the centre has met the other; with one component, nothing is left.
-    mixed = cut(of.filter("labels > 1 AND rows > 2").select("bucket", "rows", F.ceil(F.col("rows") / SLICE).alias("parts"), F.ceil((F.col("rows") - F.col("most.n")) / SLICE).alias("odd_parts"), F.col("most.label").alias("main")))
-    if mixed.isEmpty():
-        return placed.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("false")
-    held = cut(join_groups(placed, mixed, "bucket", "rows", placed.count()))
-    with_sets = held.join(sets, "node")
-    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    rows = with_sets.select("bucket", deal("parts").alias("i"), spread("odd_parts").alias("j"), "node", "label", "items")
-    odd = with_sets.filter("label <> main").select(F.col("bucket").alias("bucket"), deal("odd_parts").alias("j"), spread("parts").alias("i"), F.col("node").alias("odd_node"), F.col("label").alias("odd_label"), F.col("items").alias("odd_items"))
-    keys = ["bucket", "i", "j"]
-    return odd.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(_cross(percent), "a long, b long").distinct()
+    mixed = of.filter("low < high AND rows > 2").select("bucket", "rows")
+    asked = stored(join_groups(entries, mixed, "bucket", "rows", entries.count()).select("node").distinct().join(known, "node"), "asked")
+    held = stored(asked.join(sets, "node").select("node", "label", "items"), "asked-sets")
+    lists = stored(prefixes(held, slot_classes(held), percent), "lists")
+    totals = lists.groupBy("item").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items"), F.min("label").alias("low"), F.max("label").alias("high"))
+    totals = stored(totals.filter("low < high").select("item", "rows", "items"), "totals")
+    # Short lists: pairs of other components whose sizes allow the similarity, each once, then confirmed.
+    short = lists.join(totals.filter(F.col("rows") <= SLICE).select("item"), "item")
+    other = short.select(*[F.col(c).alias(f"other_{c}") for c in ("item", "node", "label", "n")])
+    fits = (F.col("item") == F.col("other_item")) & (F.col("node") < F.col("other_node")) & (F.col("label") != F.col("other_label")) & (F.least("n", "other_n") * 100 >= percent * F.greatest("n", "other_n"))
+    pairs = stored(short.join(other, fits).select("node", F.col("other_node").alias("centre")).distinct(), "pairs")
+    links = [confirmed(_with_partners(pairs), held.select("node", "items"), percent).select(F.col("node").alias("a"), F.col("centre").alias("b"))]
+    # Long lists: tiles of both sides, bounded in rows and shingles; only links come out.
+    long = totals.filter(F.col("rows") > SLICE)
+    if not long.isEmpty():
+        parts = F.greatest(F.ceil(F.col("rows") / SLICE), F.ceil(F.col("items") / SLICE_ITEMS))
+        placed = join_groups(lists.select("item", "node", "label"), long.select("item", "rows", parts.alias("parts")), "item", "rows", lists.count()).select("item", "node", "label", "parts")
+        full = placed.join(held.select("node", "items"), "node")
+        deal = F.pmod(F.xxhash64("node"), F.col("parts"))
+        spread = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        rows = full.select("item", deal.alias("i"), spread.alias("j"), "node", "label", "items")
+        # Each pair once: the side that is dealt to the lower part, or within a part both.
+        odd = full.select(F.col("item").alias("odd_item"), deal.alias("j"), spread.alias("i"), F.col("node").alias("odd_node"), F.col("label").alias("odd_label"), F.col("items").alias("odd_items")).filter("i <= j")
+        links.append(odd.groupBy("odd_item", "i", "j").cogroup(rows.filter("i <= j").groupBy("item", "i", "j")).applyInArrow(_cross(percent), "a long, b long"))
+    out = cut((links[0] if len(links) == 1 else links[0].unionByName(links[1])).distinct())
+    release(known, asked, held, lists, totals, pairs)
+    return out
 
 
 def near_dedup(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -250,34 +333,44 @@ def near_dedup(docs: DataFrame, text: str = "text", words: int = WORDS, percent:
     * null text, or one without words: n_shingles 0, linked with nothing, kept.
     * null doc_id: links with nothing, component_id null, kept.
     * repeated rows: same component, and each row whose doc_id is component_id is kept.
-    * an empty table gives no rows; other columns are ignored.
+    * rows that share a doc_id but not their text: each has the component of its own text.
+    * equally similar partners (ties): all of them are linked; nothing is chosen.
+    * very long texts: read whole; a set is in one task's memory (8 bytes a shingle).
+    * an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    docs = docs.select("doc_id", F.col(text).alias("_text"))
-    signed = stored(signatures(docs, "_text", words, bands, rows), "signatures")
-    keys = ["d1", "d2"]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text")).withColumn("th", F.xxhash64("_text"))
+    signed = stored(signatures(docs, words, bands, rows), "signatures")
+    keys, row = ["d1", "d2"], ["doc_id", "th"]
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    groups = cut(some.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("items"), F.count(F.lit(1)).alias("size")))
-    nodes = groups.select("node").distinct()
-    entries = some.join(nodes.hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left_semi")
-    entries = entries.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
+    # One row stands for each distinct set: one with its least id.
+    groups = some.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.min_by("th", "doc_id").alias("th"), F.count(F.lit(1)).alias("size"))
+    groups = stored(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+    chosen = groups.select(*keys, F.col("least").alias("doc_id"), "th", "node")
+    nodes = stored(some.select(*row, *keys, "bands").join(chosen.hint("shuffle_hash"), [*row, *keys]).select("node", "bands"), "nodes")
+    if nodes.count() > groups.count():  # rows that are there several times
+        repeated, nodes = nodes, stored(nodes.dropDuplicates(["node"]), "nodes")
+        release(repeated)
+    entries = nodes.select("node", F.explode("bands").alias("bucket"))
     # The centre is the node that is least after an exclusive or with the bucket's hash: any node, another one in each bucket.
     mask = F.xxhash64("bucket")
     buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("node").bitwiseXOR(mask)).alias("least")).filter("n > 1")
     buckets = cut(buckets.select("bucket", "n", F.col("least").bitwiseXOR(mask).alias("centre")))
-    met = stored(join_groups(entries, buckets, "bucket", "n", entries.count()), "buckets")
+    met = stored(join_groups(entries, buckets, "bucket", "n", groups.count() * bands).select("bucket", "node", "centre"), "buckets")
+    release(nodes)
     pairs = cut(met.filter("node <> centre").select("node", "centre").distinct())
-    fans = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
-    pairs = join_groups(pairs, fans, "centre", "n", pairs.count())
-    asked = met.select("node").distinct()
-    sets = stored(full_sets(docs.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left_semi"), "_text", words), "sets")
-    links = cut(confirmed(pairs, sets, percent).select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    asked = chosen.join(met.select("node").distinct(), "node", "left_semi")
+    sets = stored(full_sets(docs.join(asked.hint("shuffle_hash"), row).select("node", *keys, "_text"), words), "sets")
+    links = cut(confirmed(_with_partners(pairs), sets, percent).select(F.col("node").alias("a"), F.col("centre").alias("b")))
     labels = components(links)
-    extra = cut(leftovers(met.select("bucket", "node").distinct(), labels, sets, percent))
+    extra = leftovers(met.select("bucket", "node"), labels, sets, percent)
     if not extra.isEmpty():
         labels = components(links.unionByName(extra))
-    release(met)
-    release(sets)
-    labelled = groups.join(labels, "node", "left").select(*keys, "size", F.coalesce("label", "node").alias("component_id"))
+    release(met, sets)
+    # The least id of each component, then of each set, then of each row; hot ones are joined by broadcast.
+    of = labels.join(groups.select("node", "least"), "node")
+    least = of.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    found = join_groups(labels, least, "label", "n", labels.count()).select("node", "component_id")
+    labelled = groups.join(found, "node", "left").select(*keys, "size", F.coalesce("component_id", "least").alias("component_id"))
     linked = join_groups(some.select("doc_id", "n_shingles", *keys), labelled, keys, "size", signed.count())
     alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
     out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
