@@ -4,12 +4,12 @@ import zlib
 import numpy as np
 import pytest
 
-from vellum.llm.language_id import ByteTagger, Cell, Labeller, language_id, padded
-from vellum.llm.quality import FEATURES, PairRanker, features, quality_filter, quality_scores
+from vellum.llm.language_id import WINDOW, ByteTagger, Cell, language_id, padded
+from vellum.llm.learning import sampled
+from vellum.llm.quality import FEATURES, SHARES, Featurer, PairRanker, quality_filter, quality_scores
 from vellum.llm.toxicity import FactorizationMachine, toxicity_scores
 
 
-
 def fold(doc_id, n):
     return zlib.crc32(str(doc_id).encode()) % n
 
@@ -51,11 +51,64 @@ def test_states_reset_behind_the_end():
     assert np.allclose(c.run(one, mask(one, n))[:, 0], c.run(two, mask(two, k))[:2, 0]) and not c.run(two, mask(two, k))[2:, 0].any()
 
 
-def test_labeller_equals_the_network():
+def test_pooling_equals_plain_loops():
+    """The network unit by unit and byte by byte, in double precision, windows of whole texts across words."""
+    m = ByteTagger(["a", "b", "c"], hidden=4)
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(cell, data):
+        k, h, out = cell.hidden, np.zeros(cell.hidden), []
+        wx, u, b = (np.asarray(p, np.float64) for p in cell.params())
+        for byte in data:
+            c, new = [sum(h[i] * u[i, j] for i in range(k)) for j in range(3 * k)], []
+            for j in range(k):
+                z, r = logistic(wx[byte, j] + b[j] + c[j]), logistic(wx[byte, k + j] + b[k + j] + c[k + j])
+                n = np.tanh(wx[byte, 2 * k + j] + b[2 * k + j] + r * c[2 * k + j])
+                new.append((1 - z) * n + z * h[j])
+            h = np.array(new)
+            out.append(h)
+        return out
+
+    def brute(text):
+        total = np.zeros(3)
+        for i in range(0, len(text), WINDOW):
+            w = text[i : i + WINDOW]
+            for x, y in zip(states(m.forward, w), states(m.backward, w[::-1])[::-1], strict=True):
+                e = np.exp(np.concatenate([x, y]) @ m.out.astype(np.float64) + m.bias)
+                total += e / e.sum()
+        return total / max(1, len(text))
+
+    texts = [b"one two three. " * 9, b"", "Gr\u00fc\u00dfe \u4e2d\u6587".encode(), b"x"]
+    assert np.allclose(m.pooled(texts), [brute(t) for t in texts], atol=1e-4)
+    few = ByteTagger([f"l{i:04d}" for i in range(70_000)], hidden=2)
+    assert few.at_once() == 1 and few.pooled([b"ab cd"]).shape == (1, 70_000)
+
+
+def test_windows_cross_words():
+    """What stands before a space changes the labels after it."""
     m = ByteTagger(["a", "b"], hidden=4)
-    words = [b"one", b"two", b"one", b"three"]
-    direct = m.sums(words).sum(axis=0) / sum(map(len, words))
-    assert np.allclose(Labeller(m).of([words, []])[0], direct) and not Labeller(m).of([[]])[0].any()
+    label = lambda t: m.positions(*(lambda x, n: (x, np.ones(x.shape, np.float32)))(*padded([t])))[-1, 0]
+    assert not np.allclose(label(b"xyz q"), label(b"abc q"))
+
+
+def test_thousands_of_languages(spark, docs):
+    """More languages than documents in the sample: none is left out, nothing becomes 'und'."""
+    df = docs(*[(i, f"words of {i}", f"l{i % 3100:04d}") for i in range(6200)])
+    got = language_id(df, steps=2)
+    assert got.filter("lang_pred = 'und'").count() == 0 and got.count() == 6200
+
+
+def test_a_repeated_id_stays_within_the_bound(spark, docs):
+    """One id on 100,000 rows, equal and different, and a class of one row."""
+    from pyspark.sql import functions as F
+
+    hot = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.when(F.col("id") < 50_000, "same").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"), F.lit("en").alias("lang"))
+    rows = hot.unionByName(spark.createDataFrame([(2, "ein Text", "de")], "doc_id long, text string, lang string"))
+    got = {r.lang: (r.n, r.d) for r in sampled(rows, "lang", 50, F.xxhash64("doc_id", "text")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("d")).collect()}
+    assert got == {"en": (50, 50), "de": (1, 1)}
+    labels = spark.createDataFrame([(i, i % 2, i % 2, 0.0) for i in range(1, 9)], LABELS)
+    for f in (quality_scores, toxicity_scores):
+        assert f(hot.select("doc_id", "text"), labels).select("score").distinct().count() >= 1
 
 
 STEMS = {"en": ("th", "ing", "wh"), "de": ("sch", "ung", "ß"), "fr": ("eau", "é", "oui")}
@@ -119,17 +172,45 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark, docs):
 
 
 def test_features_are_finite():
-    for t in (None, b"", b" ", b"A", b"!!!", b"a " * 1000, "中".encode() * 50):
-        assert len(features(t)) == len(FEATURES) and np.isfinite(features(t)).all()
+    x = Featurer().of([None, b"", b" ", b"A", b"!!!", b"a " * 1000, "中".encode() * 50])
+    assert x.shape == (7, FEATURES) and np.isfinite(x).all() and (x <= 1).all()
+
+
+def test_pairwise_loss_equals_plain_loops():
+    rng = np.random.default_rng(2)
+    x, m = rng.normal(size=(12, 5)), PairRanker(np.zeros((0, 5)), np.zeros(0), 0.0)
+    m.weights = rng.normal(size=5)
+    first, second = rng.integers(0, 6, 20), rng.integers(6, 12, 20)
+
+    def loss(w):
+        pairs = [np.log1p(np.exp(-sum(w[k] * (x[i, k] - x[j, k]) for k in range(5)))) for i, j in zip(first, second, strict=True)]
+        return sum(pairs) / 20 + 5e-4 * sum(v * v for v in w)
+
+    slope, value = m.pair_loss(x, first, second)
+    near = [(loss(m.weights + d) - loss(m.weights - d)) / 2e-5 for d in np.eye(5) * 1e-5]
+    assert abs(value - loss(m.weights)) < 1e-9 and np.allclose(slope, near, atol=1e-6)
+
+
+def test_quality_by_words_alone(spark, docs):
+    """Only a word tells good from bad: no share of bytes does."""
+    rnd = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(30)]
+        words[rnd.randrange(30)] = "klomp" if i % 3 == 0 else "wedge"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 > 0), 0, 0.0))
+    out = {r.doc_id: r for r in quality_scores(docs(*rows), spark.createDataFrame(labels, LABELS)).collect()}
+    held = [(i, q) for i, q, _, _ in labels if out[i].held_out]
+    assert sum(out[i].predicted == q for i, q in held) >= 0.9 * len(held)
 
 
 def test_ranker_cuts_at_the_quantile():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, len(FEATURES)))
+    x = rng.normal(size=(400, len(SHARES)))
     y = (x[:, 2] < 1).astype(int)
     m = PairRanker(x, y, float((y == 0).mean()))
-    p = 1 / (1 + np.exp(-(m.scale * m.strength(x) + m.shift)))
-    assert ((p >= 0.3) == y).mean() > 0.97
+    assert ((m.scores(x) >= 0.3) == y).mean() > 0.97
 
 
 def test_machine_learns_what_no_single_term_tells():
@@ -144,6 +225,32 @@ def test_machine_learns_what_no_single_term_tells():
     assert (((m.logits(rows) > 0).astype(int)) == np.array(y)).all()
 
 
+def test_logits_are_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    m = FactorizationMachine(9)
+    m.bias, m.w, m.v = 0.3, rng.normal(size=9), rng.normal(size=(9, 8))
+    rows = [np.array(r) for r in ([0, 3, 5, 8], [2], [1, 2, 3])] + [np.empty(0, np.int64)]
+    want = [m.bias + sum(m.w[i] for i in r) + sum(sum(m.v[i, k] * m.v[j, k] for k in range(8)) for i in r for j in r if i < j) for r in rows]
+    assert np.allclose(m.logits(rows), want)
+
+
+@pytest.mark.parametrize("fill", [(5, 30), (40, 120)])
+def test_toxicity_of_both_or_neither(spark, docs, fill):
+    """Toxic where both of two common words stand, or neither: no class difference of either alone."""
+    rnd = random.Random(9)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 8))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(1000):
+        a, b = i % 2, i // 2 % 2
+        words = [*(rnd.choice(vocabulary) for _ in range(rnd.randint(*fill))), *["kettle"] * a, *["garden"] * b]
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(a == b), 0.0))
+    out = {r.doc_id: r for r in toxicity_scores(docs(*rows), spark.createDataFrame(labels, LABELS)).collect()}
+    held = [(i, bad) for i, _, bad, _ in labels if out[i].held_out]
+    assert sum(out[i].predicted == bad for i, bad in held) >= 0.95 * len(held)
+
+
 def test_toxicity_learns_stems(spark, docs, odd):
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8)))

@@ -1,10 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time. It reads a window of
-bytes from both ends, labels every byte position with a distribution over the languages,
-and a document's distribution is the mean over all of its positions. Windows are the
-words of the text (long ones in pieces); equal windows have equal labels, so a worker runs
-the network once for each distinct window it meets and keeps the sums of its positions.
+The network is trained in numpy by backpropagation through time. A text is read in windows
+of WINDOW bytes, across words and white space; each window is read from both ends, every
+byte position is labelled with a distribution over the languages, and a document's
+distribution is the mean over all of its positions.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,22 +21,17 @@ from vellum.llm.learning import held_out, sampled
 
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-#: Bounds of the training set: documents of a language, of all, and distinct words taken from each (by hash, from the whole text).
-DOCS_PER_LANGUAGE, DOCS, WORDS_PER_DOC = 300, 3000, 300
-HIDDEN, STEPS, BATCH, RATE = 16, 900, 256, 0.01
-#: Longest window in bytes, and windows whose results a worker keeps.
-WINDOW, CACHE = 32, 150_000
-#: Windows run through the network at once.
-CHUNK = 4096
+#: Bounds of the training set: documents of a language (one at least), and about so many of all. Their texts are taken whole.
+DOCS_PER_LANGUAGE, DOCS = 300, 3000
+HIDDEN, STEPS, BATCH, RATE = 16, 500, 256, 0.02
+#: Bytes of a window; windows run through the network at once, and probabilities held at once.
+WINDOW, CHUNK, CELLS = 64, 1024, 1 << 22
 _LETTER = regex.compile(r"\p{L}")
 
 
 def windows_of(text: bytes) -> list[bytes]:
-    """The words of a text; those longer than WINDOW in pieces."""
-    words = text.split()
-    if any(len(w) > WINDOW for w in words):
-        return [w[i : i + WINDOW] for w in words for i in range(0, len(w), WINDOW)]
-    return words
+    """The whole text in pieces of WINDOW bytes."""
+    return [text[i : i + WINDOW] for i in range(0, len(text), WINDOW)]
 
 
 def padded(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,10 +42,6 @@ def padded(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(flat.reshape(len(windows), width).T), n
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + np.tanh(0.5 * x))
-
-
 class Cell:
     """A gated recurrent unit over bytes: h' = (1 - z) * n + z * h."""
 
@@ -66,15 +55,28 @@ class Cell:
     def run(self, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States by (position, window, unit); zero where the mask is. keep: gets what back() needs."""
         k, h = self.hidden, np.zeros((x.shape[1], self.hidden), np.float32)
-        out, wx = np.empty((*x.shape, k), np.float32), self.wx + self.b
+        out, a, c = np.empty((*x.shape, k), np.float32), *(np.empty((x.shape[1], 3 * k), np.float32) for _ in range(2))
+        # The logistic of v is half of 1 + tanh(v / 2): the halves go into the weights.
+        half = np.repeat(np.array([0.5, 1.0], np.float32), [2 * k, k])
+        wx, u = (self.wx + self.b) * half, self.u * half
+        whole = mask.all(axis=1)
         for t in range(len(x)):
-            a, c = wx[x[t]], h @ self.u
-            zr = _sigmoid(a[:, : 2 * k] + c[:, : 2 * k])
-            z, r = zr[:, :k], zr[:, k:]
-            n = np.tanh(a[:, 2 * k :] + r * c[:, 2 * k :])
-            new = (n + z * (h - n)) * mask[t][:, None]
+            np.take(wx, x[t], axis=0, out=a)
+            np.matmul(h, u, out=c)
+            zr = a[:, : 2 * k] + c[:, : 2 * k]
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            n = c[:, 2 * k :] * zr[:, k:]
+            n += a[:, 2 * k :]
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((h, z, r, n, c[:, 2 * k :]))
+                keep.append((h, zr[:, :k], zr[:, k:], n, c[:, 2 * k :].copy()))
+            new = h - n
+            new *= zr[:, :k]
+            new += n
+            if not whole[t]:
+                new *= mask[t][:, None]
             out[t] = h = new
         return out
 
@@ -82,6 +84,7 @@ class Cell:
         """Gradients of the parameters, given those of the states: backpropagation through time."""
         k = self.hidden
         g_wx, g_u, g_b = (np.zeros_like(p) for p in self.params())
+        letters = np.eye(256, dtype=np.float32)
         down = np.zeros_like(up[0])
         for t in reversed(range(len(x))):
             h, z, r, n, c = keep[t]
@@ -91,7 +94,7 @@ class Cell:
             dr = dn * c * r * (1 - r)
             into = np.concatenate([dz, dr, dn], axis=1)
             through = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(g_wx, x[t], into)
+            g_wx += letters[x[t]].T @ into
             g_b += into.sum(axis=0)
             g_u += h.T @ through
             down = d * z + through @ self.u.T
@@ -119,19 +122,29 @@ class ByteTagger:
     def positions(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Probabilities by (position, window, language)."""
         logits = self.states(x, mask) @ self.out + self.bias
-        e = np.exp(logits - logits.max(axis=2, keepdims=True))
-        return e / e.sum(axis=2, keepdims=True)
-
-    def sums(self, windows: list[bytes]) -> np.ndarray:
-        """Probabilities of each window, summed over its positions."""
-        done = np.empty((len(windows), len(self.languages)), np.float32)
-        order = np.argsort([len(w) for w in windows], kind="stable")
-        for i in range(0, len(order), CHUNK):
-            part = order[i : i + CHUNK]
+        logits -= logits.max(axis=2, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=2, keepdims=True)
+        return logits
+
+    def at_once(self) -> int:
+        """Windows run at once: fewer where there are many languages."""
+        return max(1, min(CHUNK, CELLS // (WINDOW * max(1, len(self.languages)))))
+
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """The mean distribution over all positions of each text; zero for an empty one."""
+        windows = [w for t in texts for w in windows_of(t)]
+        owner = np.repeat(np.arange(len(texts)), [-(-len(t) // WINDOW) for t in texts])
+        out = np.zeros((len(texts), len(self.languages)))
+        order, step = np.argsort([len(w) for w in windows], kind="stable"), self.at_once()
+        for i in range(0, len(order), step):
+            part = order[i : i + step]
             x, n = padded([windows[j] for j in part])
             mask = (np.arange(len(x))[:, None] < n).astype(np.float32)
-            done[part] = (self.positions(x, mask) * mask[:, :, None]).sum(axis=0)
-        return done
+            p = self.positions(x, mask)
+            p *= mask[:, :, None]
+            np.add.at(out, owner[part], p.sum(axis=0))
+        return out / np.maximum(1, [len(t) for t in texts])[:, None]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """Of the mean cross entropy over all positions."""
@@ -147,64 +160,49 @@ class ByteTagger:
         second = self.backward.back(x[::-1], mask[::-1], keep[1], up[::-1, :, k:])
         return [*first, *second, np.einsum("tnk,tnl->kl", states, p), p.sum(axis=(0, 1))]
 
-    def fit(self, windows: list[bytes], y: np.ndarray, steps: int = STEPS, seed: int = 7) -> None:
-        """Adam over batches that draw the languages alike."""
+    def fit(self, texts: list[bytes], y: np.ndarray, steps: int = STEPS, seed: int = 7) -> None:
+        """Adam over batches of windows that start anywhere in the texts; languages, then their texts by length, are drawn alike."""
         rng = np.random.default_rng(seed)
-        by = [np.flatnonzero(y == k) for k in range(len(self.languages))]
-        by = [b for b in by if len(b)]
+        sizes = np.array([len(t) for t in texts])
+        by = [np.flatnonzero((y == k) & (sizes > 0)) for k in range(len(self.languages))]
+        by = [(b, np.cumsum(sizes[b])) for b in by if len(b)]
         if not by:
             return
         m1, m2 = ([np.zeros_like(p) for p in self.params()] for _ in range(2))
         for step in range(1, steps + 1):
-            pick = np.concatenate([b[rng.integers(0, len(b), max(1, BATCH // len(by)))] for b in by])
-            x, n = padded([windows[i] for i in pick])
+            pick, windows = [], []
+            for k in np.arange(BATCH) % len(by) if len(by) <= BATCH else rng.integers(0, len(by), BATCH):
+                b, ends = by[k]
+                at = int(rng.integers(0, ends[-1]))
+                i = int(np.searchsorted(ends, at, side="right"))
+                start = max(0, min(at - (int(ends[i - 1]) if i else 0), int(sizes[b[i]]) - WINDOW))
+                pick.append(b[i])
+                windows.append(texts[b[i]][start : start + WINDOW])
+            x, n = padded(windows)
             mask = (np.arange(len(x))[:, None] < n).astype(np.float32)
             rate = RATE * (1 - 0.9 * step / steps)
-            for p, g, a, b in zip(self.params(), self.gradients(x, mask, y[pick]), m1, m2, strict=True):
+            grads, some = [np.zeros_like(p) for p in self.params()], self.at_once()
+            for i in range(0, len(pick), some):
+                part = slice(i, i + some)
+                for total, g in zip(grads, self.gradients(x[:, part], mask[:, part], y[pick[part]]), strict=True):
+                    total += g * (mask[:, part].sum() / mask.sum())
+            norm = max(1.0, float(np.sqrt(sum((g * g).sum() for g in grads))))
+            for p, g, a, b in zip(self.params(), grads, m1, m2, strict=True):
+                g = g / norm
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
 
 
-class Labeller:
-    """Documents to distributions, with the sums of the windows met lately kept."""
-
-    def __init__(self, model: ByteTagger):
-        self.model, self.at, self.kept = model, {}, np.empty((0, len(model.languages)), np.float32)
-
-    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self.at) > CACHE:
-            self.at, self.kept = {}, self.kept[:0]
-        new = [w for w in set().union(*texts) if w not in self.at]
-        if new:
-            self.kept = np.concatenate([self.kept, self.model.sums(new)])
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        out = []
-        for words in texts:
-            rows = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-            out.append(self.kept[rows].sum(axis=0, dtype=np.float64) / max(1, sum(map(len, words))))
-        return out
-
-
-def training_words(docs: DataFrame, folds: int, which: int) -> DataFrame:
-    """lang, word: at most WORDS_PER_DOC distinct words (by hash) of each sampled document. docs: doc_id, lang, _text."""
+def training_texts(docs: DataFrame, folds: int, which: int) -> DataFrame:
+    """lang, text of a bounded sample (by hash of id and text), the same number for each language. docs: doc_id, lang, _text."""
     open_ = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND _text IS NOT NULL").filter(~held_out(F.col("doc_id"), folds, which))
     n = open_.select("lang").distinct().count()
-    sample, _ = sampled(open_, "lang", min(DOCS_PER_LANGUAGE, DOCS // max(1, n)), 7)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, words = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = sorted(set(windows_of(text)), key=lambda w: (xxhash.xxh64_intdigest(w), w))[:WORDS_PER_DOC]
-                langs += [lang] * len(found)
-                words += found
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary())], names=["lang", "word"])
-
-    return map_arrow(sample.select("lang", F.col("_text").cast("binary")), run, "lang string, word binary")
+    per = max(1, min(DOCS_PER_LANGUAGE, DOCS // max(1, n)))
+    return sampled(open_, "lang", per, F.xxhash64(F.lit(7), "doc_id", "_text")).select("doc_id", "lang", F.col("_text").cast("binary").alias("text"))
 
 
-def language_id(docs: DataFrame, text: str = "text", folds: int = FOLDS, which: int = HELD_OUT) -> DataFrame:
+def language_id(docs: DataFrame, text: str = "text", folds: int = FOLDS, which: int = HELD_OUT, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per input row, from the whole text alone.
 
     score is the pooled probability of lang_pred.
@@ -212,20 +210,21 @@ def language_id(docs: DataFrame, text: str = "text", folds: int = FOLDS, which:
     * a text that is null or has no letter: 'und', score 0; so is every text when no
       language can be learnt.
     * null lang or null doc_id: never learnt from, but predicted (held_out false for a null id).
-    * repeated rows: predicted alike. Ties go to the language first by code point.
-    * an empty table gives no rows; other columns are ignored.
+    * repeated rows: predicted alike, learnt from once. Ties go to the language first by code point.
+    * very long texts are read whole, one at a time.
+    * however many languages there are, each has at least one document in the sample.
+    * an empty table gives no rows; other columns are ignored, whatever their names.
     """
     docs = docs.select("doc_id", "lang", F.col(text).alias("_text"))
-    taught = cut(training_words(docs, folds, which)).toPandas().sort_values(["lang", "word"])  # at most DOCS * WORDS_PER_DOC rows
-    model = ByteTagger(sorted(taught["lang"].unique()))
+    got = cut(training_texts(docs, folds, which)).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    model = ByteTagger(sorted(set(got["lang"].to_pylist())))
     if len(model.languages) > 1:
-        model.fit([bytes(w) for w in taught["word"]], np.searchsorted(model.languages, taught["lang"]))
+        model.fit(got["text"].to_pylist(), np.searchsorted(model.languages, got["lang"].to_pylist()), steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model)
         for batch in batches:
             texts = [t if t and model.languages and _LETTER.search(t.decode("utf-8", "replace")) else None for t in batch.column(1).to_pylist()]
-            pooled = labeller.of([windows_of(t or b"") for t in texts])
+            pooled = model.pooled([t or b"" for t in texts])
             best = [(UNKNOWN, 0.0) if t is None else (model.languages[int(p.argmax())], min(1.0, float(p.max()))) for t, p in zip(texts, pooled, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64())], names=["doc_id", "lang_pred", "score"])
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from vellum.llm.common import join_groups
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -17,18 +20,28 @@ def held_out(doc_id: Column, folds: int, which: int) -> Column:
     return F.coalesce(fold(doc_id, folds) == which, F.lit(False))
 
 
-def sampled(rows: DataFrame, by: str, per_class: int, salt: int) -> tuple[DataFrame, dict]:
-    """At most about `per_class` rows (by hash of doc_id) of each value of `by`, and the counts of all rows by value.
+def sampled(rows: DataFrame, by: str, per_class: int, order: Column) -> DataFrame:
+    """The `per_class` rows of each value of `by` whose `order`, a hash of the whole row, is least; of equal rows one.
 
-    The sample is the rows whose hash lies below a threshold set by the class's count: no
-    sort and no limit, the same rows on every run. Its expected size is the bound.
+    The bound is exact, whatever the number of classes and however often a row repeats: a
+    threshold by the class's count leaves about twice as many, and only these are ranked.
     """
-    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
-    if not counts:
-        return rows.filter("false"), counts
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_class / n))])
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(salt), "doc_id"), 11) / float(1 << 53)
-    return rows.filter(u < F.element_at(share, F.col(by))), counts
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_class_rows"))
+    total = rows.count()
+    u = F.shiftrightunsigned(order, 11) / float(1 << 53)
+    near = join_groups(rows.withColumn("_u", u), counts, by, "_class_rows", total).filter(F.col("_u") * F.col("_class_rows") < 2 * per_class + 64)
+    once = near.drop("_class_rows").dropDuplicates([by, "_u"])
+    place = F.row_number().over(Window.partitionBy(by).orderBy("_u"))
+    return once.withColumn("_place", place).filter(F.col("_place") <= per_class).drop("_u", "_place")
+
+
+def taught(docs: DataFrame, text: str, labels: DataFrame, column: str, folds: int, which: int, per_class: int, salt: int) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, y, _text of at most `per_class` labelled ids of each class outside the held-out fold, one text an id (the least by hash); and how many ids are labelled so."""
+    known = labelled(labels, column, folds, which)
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # 0 and 1
+    some = sampled(known, "y", per_class, F.xxhash64(F.lit(salt), "doc_id"))
+    met = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(some), "doc_id")  # at most 2 * per_class rows
+    return met.groupBy("doc_id", "y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")), counts
 
 
 def labelled(labels: DataFrame, column: str, folds: int, which: int) -> DataFrame:

@@ -1,14 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document is the set of its hashed terms (words and word beginnings). Terms that tell the
-classes apart in a bounded labelled sample, alone or by occurring together, are kept; over them a factorization machine is
-learnt: a weight for each term and, for each two terms that occur together, the inner
-product of their factors, so that pairs count that neither term alone would.
+A document is the set of its hashed terms (words and word beginnings). Of a bounded
+labelled sample, the terms that tell the classes apart, alone or by occurring together with
+another one, are the machine's features: a weight for each and, for each two that occur
+together, the inner product of their factors, so that pairs count that neither term alone
+would.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import cut, map_arrow
-from vellum.llm.learning import held_out, labelled, sampled, sigmoid
+from vellum.llm.learning import held_out, sigmoid, taught
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
-#: Bounds: labelled documents of each class in the sample; terms kept; least documents with a term; least |z|.
+#: Labelled ids of each class in the sample; size of the feature table; least documents with a term; least |z| alone.
 PER_CLASS, TERMS, LEAST_DOCS, LEAST_Z = 4000, 4096, 3, 4.0
 #: Least root of the likelihood ratio (a |z| that also holds for rare pairs) of two terms' occurring together where neither tells alone.
 PAIR_Z = 6.0
@@ -28,6 +29,7 @@ FACTORS, STEPS, RATE, RIDGE = 8, 300, 0.05, 1e-4
 HASH_BITS = 24
 #: Beginnings of a word, in bytes, that are terms too.
 STEMS = (4, 5, 6)
+PAIR_STEM = 5
 CACHE = 200_000
 #: Bytes outside words become spaces: words are letters a-z (after lower-casing A-Z) and all bytes from 0x80.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -43,11 +45,17 @@ def terms_of(word: bytes) -> list[int]:
     return [xxhash.xxh64_intdigest(word, 0) & mask, *[xxhash.xxh64_intdigest(word[:k], k) & mask for k in STEMS if len(word) >= k]]
 
 
+def pair_terms_of(word: bytes) -> list[int]:
+    """The one term of a word that is counted with others: its beginning of PAIR_STEM bytes, or a shorter word itself."""
+    mask = (1 << HASH_BITS) - 1
+    return [(xxhash.xxh64_intdigest(word[:PAIR_STEM], PAIR_STEM) if len(word) >= PAIR_STEM else xxhash.xxh64_intdigest(word, 0)) & mask]
+
+
 class Terms:
-    """Documents to places of the kept terms, through a bounded cache of words."""
+    """Documents to their sorted terms, or to places of the kept ones, through a bounded cache of words."""
 
-    def __init__(self, kept: dict[int, int] | None):
-        self.kept, self.seen = kept, {}
+    def __init__(self, kept: dict[int, int] | None = None, of: Callable[[bytes], list[int]] = terms_of):
+        self.kept, self.terms_of, self.seen = kept, of, {}
 
     def of(self, text: bytes | None) -> list[int]:
         if len(self.seen) > CACHE:
@@ -56,24 +64,52 @@ class Terms:
         for w in words_of(text):
             hit = seen.get(w)
             if hit is None:
-                found = terms_of(w)
+                found = self.terms_of(w)
                 hit = seen[w] = tuple(found if kept is None else [kept[t] for t in found if t in kept])
             if hit:
                 out.update(hit)
         return sorted(out)
 
 
-def terms(docs: DataFrame, text: str, kept: dict[int, int] | None, extra: str | None = None) -> DataFrame:
-    """doc_id, terms (and `extra`, an int column passed on)."""
+class Sample:
+    """Term lists of labelled documents, end to end: flat, and the document of each entry; y by document."""
+
+    def __init__(self, lists: pa.ChunkedArray, y: np.ndarray):
+        self.y = y == 1
+        self.n1, self.n0 = int(self.y.sum()), int((~self.y).sum())
+        self.flat = np.concatenate([np.empty(0, np.int64), *[c.flatten().to_numpy() for c in lists.chunks]]).astype(np.int64)
+        self.sizes = np.concatenate([np.empty(0, np.int64), *[c.value_lengths().to_numpy() for c in lists.chunks]]).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def only(self, terms: np.ndarray) -> list[np.ndarray]:
+        """Each document's places among these sorted terms."""
+        at = np.minimum(np.searchsorted(terms, self.flat), max(0, len(terms) - 1))
+        hit = terms[at] == self.flat if len(terms) else np.zeros(len(self.flat), bool)
+        return np.split(at[hit], np.cumsum(np.bincount(self.doc[hit], minlength=len(self.y)))[:-1])
+
+    def rated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All terms of LEAST_DOCS documents or more, with the documents that have them and the |z| of the classes' shares."""
+        terms, at = np.unique(self.flat, return_inverse=True)
+        n = np.bincount(at, minlength=len(terms))
+        a = np.bincount(at, self.y[self.doc], len(terms))
+        p = n / (self.n0 + self.n1)
+        z = np.abs(a / self.n1 - (n - a) / self.n0) / np.sqrt(p * (1 - p) * (1 / self.n1 + 1 / self.n0) + 1e-9)
+        some = n >= LEAST_DOCS
+        return terms[some], n[some], z[some]
+
+
+def sampled_terms(rows: DataFrame) -> tuple[Sample, Sample]:
+    """All terms, and those that are counted in pairs, of the sample's whole texts. rows: doc_id, y, _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Terms(kept)
+        every, paired, kind = Terms(), Terms(of=pair_terms_of), pa.list_(pa.int32())
         for batch in batches:
-            found = pa.array([known.of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(2)], names=["doc_id", "terms", "y"])
+            texts = batch.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([every.of(t) for t in texts], kind), pa.array([paired.of(t) for t in texts], kind)], names=["doc_id", "y", "terms", "paired"])
 
-    more = F.col(extra) if extra else F.lit(0)
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text"), more.cast("int").alias("y")), run, "doc_id long, terms array<int>, y int")
+    made = map_arrow(rows.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), F.col("_text").cast("binary")), run, "doc_id long, y int, terms array<int>, paired array<int>")
+    got = cut(made).toArrow().sort_by("doc_id")  # at most 2 * PER_CLASS rows
+    return tuple(Sample(got[c], got["y"].to_numpy()) for c in ("terms", "paired"))
 
 
 class FactorizationMachine:
@@ -112,24 +148,21 @@ class FactorizationMachine:
         self.bias = float(theta[0][0])
 
 
-def telling_terms(sample: DataFrame, text: str) -> list[int]:
-    """The hashed terms of the sample whose frequency, or whose pair's, differs most between the classes, at most TERMS."""
-    made = cut(terms(sample, text, None, "y"))
-    n = {r["y"]: r["count"] for r in made.groupBy("y").count().collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 or not n0:
-        return []
-    by = made.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
-    p = F.col("n") / (n0 + n1)
-    z = (F.col("a") / n1 - (F.col("n") - F.col("a")) / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
-    rated = cut(by.filter(F.col("n") >= LEAST_DOCS).withColumn("z", F.abs(z)))
-    best = {r["term"]: r["z"] for r in rated.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS).collect()}
+def telling_terms(every: Sample, paired: Sample) -> np.ndarray:
+    """The hashed terms whose frequency, or whose pair's, differs most between the classes, at most TERMS."""
+    if not every.n1 or not every.n0:
+        return np.empty(0, np.int64)
+    terms, _, z = every.rated()
+    best = dict(zip(terms[z >= LEAST_Z].tolist(), z[z >= LEAST_Z].tolist(), strict=True))
+    terms, n, z = paired.rated()
     # No pair occurs more often than its terms: those too rare for PAIR_Z even if all in one class are no candidates.
-    reach = F.col("n") * 2 * float(np.log((n0 + n1) / min(n0, n1))) >= PAIR_Z**2
-    rest = sorted(r["term"] for r in rated.filter(F.col("z") < LEAST_Z).filter(reach).select("term").collect())
-    for term, most in telling_pairs(sample, text, rest).items():
-        best[term] = most
-    return sorted(sorted(best, key=lambda t: (-best[t], t))[:TERMS])
+    rest = terms[(z < LEAST_Z) & (n >= least_docs(paired))]
+    best |= telling_pairs(paired, rest)
+    return np.array(sorted(sorted(best, key=lambda t: (-best[t], t))[:TERMS]), dtype=np.int64)
+
+
+def least_docs(sample: Sample) -> float:
+    return PAIR_Z**2 / (2 * np.log((sample.n0 + sample.n1) / min(sample.n0, sample.n1)))
 
 
 def ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -139,58 +172,52 @@ def ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return 2 * (part(a, n1, both) + part(b, n0, both) + part(n1 - a, n1, none) + part(n0 - b, n0, none))
 
 
-def telling_pairs(sample: DataFrame, text: str, candidates: list[int]) -> dict[int, float]:
+def telling_pairs(sample: Sample, candidates: np.ndarray) -> dict[int, float]:
     """The candidates that tell the classes apart together with another one, with the highest root of their pairs' ratios.
 
     All pairs that occur are counted: for each candidate, the terms of its documents. Terms of
-    the same documents (a word and its beginnings, mostly) are counted as one.
+    the same documents are counted as one.
     """
-    if len(candidates) < 2:
-        return {}
-    rows = terms(sample, text, {t: i for i, t in enumerate(candidates)}, "y").select("terms", "y").toPandas()
-    y = rows["y"].to_numpy() == 1
-    n1, n0 = int(y.sum()), int((~y).sum())
-    lists = [np.asarray(t, dtype=np.int64) for t in rows["terms"]]
-    flat, doc = np.concatenate([*lists, np.empty(0, np.int64)]), np.repeat(np.arange(len(lists)), [len(t) for t in lists])
+    lists = sample.only(candidates)
+    flat, doc = np.concatenate([np.empty(0, np.int64), *lists]), np.repeat(np.arange(len(lists)), [len(t) for t in lists])
     order = np.argsort(flat, kind="stable")
-    places = np.split(doc[order], np.cumsum(np.bincount(flat, minlength=len(candidates)))[:-1])
+    places = np.split(doc[order], np.cumsum(np.bincount(flat, minlength=len(candidates)))[:-1]) if len(candidates) else []
     first: dict[bytes, int] = {}
-    same = np.array([first.setdefault(d.tobytes(), len(first)) for d in places])
+    same = np.array([first.setdefault(d.tobytes(), len(first)) for d in places], dtype=np.int64)
     docs_of = dict(zip(same.tolist(), places, strict=True))
-    held = [np.unique(same[t]) for t in lists]
-    most = np.zeros(len(first))
-    least = (PAIR_Z**2) / (2 * np.log((n0 + n1) / min(n0, n1)))
+    # Once for all terms: the documents' terms, each held once, toxic ones shifted by the number of terms.
+    held = [np.unique(same[t]) + len(first) * toxic for t, toxic in zip(lists, sample.y.tolist(), strict=True)]
+    most, least = np.zeros(len(first)), least_docs(sample)
     for k, own in docs_of.items():
-        if not len(own):
-            continue
-        counts = [np.bincount(np.concatenate([*[held[d] for d in own[y[own] == kind]], np.empty(0, np.int64)]), minlength=len(first)) for kind in (True, False)]
-        near = np.flatnonzero(counts[0] + counts[1] >= least)
+        clean, toxic = np.bincount(np.concatenate([held[d] for d in own.tolist()]), minlength=2 * len(first)).reshape(2, -1)
+        near = np.flatnonzero(clean + toxic >= least)
         near = near[near != k]
         if len(near):
-            most[k] = np.sqrt(max(0.0, ratio(counts[0][near], counts[1][near], n1, n0).max()))
-    return {t: float(m) for t, m in zip(candidates, most[same], strict=True) if m >= PAIR_Z}
+            most[k] = np.sqrt(max(0.0, ratio(toxic[near], clean[near], sample.n1, sample.n0).max()))
+    return {t: m for t, m in zip(candidates.tolist(), most[same].tolist(), strict=True) if m >= PAIR_Z}
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", folds: int = FOLDS, which: int = HELD_OUT) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per input row, from the whole text alone.
 
     * null text: scored as the empty text. null doc_id: scored, held_out false, never learnt from.
-    * repeated rows: scored alike. Labels other than 0 and 1, null, or contradictory for an id: not learnt from.
+    * repeated rows: scored alike. An id with several texts is learnt from by one of them.
+    * Labels other than 0 and 1, null, or contradictory for an id: not learnt from.
     * without labels of both kinds every score is the bias: low unless only toxic documents are labelled.
     * where no term tells the classes apart, every score is the share of toxic labels (of one clean label more).
-    * an empty table gives no rows; other columns are ignored.
+    * ties: terms that tell alike go by hash; equal sets of terms give equal scores.
+    * very long texts are read whole, one at a time.
+    * an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    known, counts = sampled(labelled(labels, label, folds, which), "y", PER_CLASS, 6)
-    # About 2 * PER_CLASS rows, whatever the input.
-    sample = docs.select(F.col("doc_id").alias("doc_id"), F.col(text).alias("_text")).join(F.broadcast(known), "doc_id")
-    sample = cut(sample)
-    kept = {t: i for i, t in enumerate(telling_terms(sample, "_text"))}
-    taught = terms(sample, "_text", kept, "y").select("terms", "y").toPandas()
+    rows, counts = taught(docs, text, labels, label, folds, which, PER_CLASS, 6)
+    every, paired = sampled_terms(rows)
+    places = telling_terms(every, paired)
+    kept = {int(t): i for i, t in enumerate(places)}
     model = FactorizationMachine(len(kept))
     if counts.get(0) and counts.get(1) and not kept:
         model.bias = float(np.log(counts[1] / (counts[0] + 1)))
     elif counts.get(0) and counts.get(1):
-        model.fit([np.asarray(t, dtype=np.int64) for t in taught["terms"]], taught["y"].to_numpy())
+        model.fit(every.only(places), every.y.astype(int))
     else:
         model.bias = 4.0 if counts.get(1) else -4.0
 
