@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vellum.llm.packing import _complement, pack, piece_bounds, plan_sequences
+from vellum.llm.packing import Complements, pack, piece_bounds, plan_once, plan_sequences
 from vellum.llm.tokens import TOKENIZER, Encoder, length_histogram, quantile_lengths, token_lengths, totals_at
 
 FULL = Tokenizer.from_file(TOKENIZER)
@@ -93,21 +93,84 @@ def test_piece_bounds():
 def test_plan_uses_every_piece_once(counts):
     plan = plan_sequences(counts, 64)
     used = Counter()
-    for lengths, times in plan:
-        assert times > 0 and sum(lengths) <= 64
+    for lengths, times, closing in plan:
+        assert times > 0 and sum(lengths) <= 64 and (not closing or sum(lengths) == 64 and closing < len(lengths))
         for x in lengths:
             used[x] += times
     assert used == Counter(counts)
     total = sum(x * n for x, n in counts.items())
-    assert sum(t for _, t in plan) <= max(1, -(-total // 64)) * 3 // 2 + sum(n for x, n in counts.items() if x > 32)
+    assert sum(t for _, t, _ in plan) <= max(1, -(-total // 64)) * 3 // 2 + sum(n for x, n in counts.items() if x > 32)
+
+
+def index(capacity=100, **counts):
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    for k, n in counts.items():
+        left[int(k[1:])] = n
+    return Complements(left)
 
 
 def test_complement_prefers_one_then_two_then_three():
-    left = np.zeros(101, dtype=np.int64)
-    left[[40, 25, 10, 5]] = 1
-    assert _complement(left, 40) == (40,) and _complement(left, 35) == (25, 10) and _complement(left, 70) == (40, 25, 5) and _complement(left, 20) is None and _complement(left, 80) is None
-    left[10] = 3
-    assert _complement(left, 20) == (10, 10) and _complement(left, 30) == (25, 5)
+    c = index(_40=1, _25=1, _10=1, _5=1)
+    assert c.of(40) == (40,) and c.of(35) == (25, 10) and c.of(70) == (40, 25, 5) and c.of(20) is None and c.of(80) is None
+    c = index(_40=1, _25=1, _10=3, _5=1)
+    assert c.of(20) == (10, 10) and c.of(30) == (25, 5)
+    c = index(_20=1, _18=1, _12=2, _10=1, _2=1)
+    assert c.of(30) == (20, 10) and c.of(30, longest=True) == (20, 10) and index(_20=1, _18=1, _12=1, _6=1, _4=1).of(30, longest=True) == (20, 6, 4)
+
+
+def brute_sums(left, gap):
+    have = [x for x in range(1, len(left)) for _ in range(min(3, int(left[x])))]
+    return gap in have or any(have[i] + have[j] + (have[k] if k is not None else 0) == gap for i in range(len(have)) for j in range(i) for k in [None, *range(j)])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), min_size=1, max_size=8), st.lists(st.tuples(st.integers(0, 7), st.integers(1, 3)), max_size=6))
+def test_the_index_has_every_sum_and_follows_the_counts(counts, taken):
+    c = index(40, **{f"_{k}": n for k, n in counts.items()})
+    for i, times in taken:
+        x = sorted(counts)[i % len(counts)]
+        if c.left[x] >= times:
+            c.take((x,), times)
+    for gap in range(1, 41):
+        for longest in (False, True):
+            got = c.of(gap, longest)
+            assert (got is not None) == brute_sums(c.left, gap)
+            assert got is None or sum(got) == gap and all(c.left[x] >= got.count(x) for x in got) and list(got) == sorted(got, reverse=True)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), min_size=1, max_size=12))
+def test_what_can_be_filled_exactly_is(counts):
+    """Without slack: no sequence that a single, pair or triple of what is left over at its end could have closed stays open."""
+    left = np.zeros(65, dtype=np.int64)
+    for lengths, times, closing in reversed(plan_once(counts, 64)):
+        gap = 64 - sum(lengths)
+        if gap:
+            assert not closing and Complements(left.copy()).of(gap) is None
+        for x in lengths:
+            left[x] += times
+
+
+def plain_best_fit(counts, capacity):
+    """Best fit decreasing, one piece at a time."""
+    open_ = []
+    for x in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+        fits = [i for i, gap in enumerate(open_) if gap >= x]
+        if fits:
+            open_[min(fits, key=lambda i: open_[i])] -= x
+        else:
+            open_.append(capacity - x)
+    return len(open_)
+
+
+def test_hardly_ever_more_sequences_than_plain_best_fit():
+    rnd = random.Random(9)
+    more = fewer = 0
+    for _ in range(60):
+        counts = {rnd.randint(1, rnd.choice([60, 300, 700, 1024])): rnd.randint(1, 6) for _ in range(rnd.choice([5, 20, 60]))}
+        n, plain = sum(t for _, t, _ in plan_sequences(counts)), plain_best_fit(counts, 1024)
+        more, fewer = more + (n > plain), fewer + (n < plain)
+    assert more <= 1 and fewer >= 5, (more, fewer)
 
 
 def lower_bound(counts, capacity):
@@ -126,7 +189,7 @@ def test_many_equal_lengths_need_few_plan_entries():
     rnd = random.Random(4)
     counts = {rnd.randint(1, 1024): rnd.randint(1, 10**9) for _ in range(900)}
     plan = plan_sequences(counts)
-    assert len(plan) < 4096 and sum(t for _, t in plan) < 1.01 * lower_bound(counts, 1024) + 1
+    assert len(plan) < 4096 and sum(t for _, t, _ in plan) < 1.01 * lower_bound(counts, 1024) + 1
 
 
 def test_packing_survives_tiny_pieces(docs, spark):
