@@ -35,8 +35,6 @@ BANDS, ROWS = 42, 6
 SLICE, SLICE_ITEMS = 128, 1 << 20
 #: Edges in one part of the components' first step.
 PART_EDGES = 20_000
-#: Slots in which shingles are counted for the order of the inverted index.
-SLOTS = 1 << 18
 #: Distinct words whose hashes a worker keeps.
 CACHE = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -248,44 +246,20 @@ def _cross(percent: int):
     return cross
 
 
-def slot_classes(sets: DataFrame) -> np.ndarray:
-    """How frequent the shingles of each slot are, as a power of two: SLOTS bytes, whatever the input. Counted within tasks first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            np.add.at(n, batch.column(0).flatten().to_numpy() & (SLOTS - 1), 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["slot", "n"])
-
-    by = map_arrow(sets.select("items"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
-    found = by.select("slot", F.log2("n").cast("int").alias("class")).toPandas()  # at most SLOTS rows
-    out = np.zeros(SLOTS, np.uint8)
-    out[found["slot"].to_numpy()] = found["class"].to_numpy()
-    return out
-
-
 def prefix_length(n: int, percent: int) -> int:
     """Of a set of n shingles: any set similar enough shares one of the first so many, in any order that both follow."""
     return n - -(-percent * n // 100) + 1
 
 
-def prefixes(sets: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
-    """item, node, label, n: the first shingles of each set (node, label, items), frequent slots last."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, counts, sizes = [], [], []
-            for items in batch.column(2).to_numpy(zero_copy_only=False):
-                k = prefix_length(len(items), percent)
-                out.append(items[np.lexsort((items, classes[items & (SLOTS - 1)]))[:k]])
-                counts.append(k)
-                sizes.append(len(items))
-            take = np.repeat(np.arange(len(counts)), counts)
-            cols = [pa.array(np.concatenate([np.empty(0, np.int64), *out])), batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)), pa.array(np.asarray(sizes, np.int64)[take])]
-            yield pa.RecordBatch.from_arrays(cols, names=["item", "node", "label", "n"])
-
-    return map_arrow(sets.select("node", "label", "items"), run, "item long, node long, label long, n long")
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """item, node, label, n: the first shingles of each set (node, label, items) in the order of (rows that have them, shingle), without those that no other set has."""
+    items = sets.select("node", "label", F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
+    shared = items.groupBy("item").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    met = join_groups(items, shared, "item", "rows", items.count())
+    own = met.groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "item"))).alias("shared"))  # at most a set's own shingles
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1  # prefix_length()
+    first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), length - F.col("n") + F.size("shared")).cast("int"))
+    return own.select("node", "label", "n", F.explode(first).alias("t")).select("t.item", "node", "label", "n")
 
 
 def leftovers(entries: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -297,7 +271,7 @@ def leftovers(entries: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     mixed = of.filter("low < high AND rows > 2").select("bucket", "rows")
     asked = stored(join_groups(entries, mixed, "bucket", "rows", entries.count()).select("node").distinct().join(known, "node"), "asked")
     held = stored(asked.join(sets, "node").select("node", "label", "items"), "asked-sets")
-    lists = stored(prefixes(held, slot_classes(held), percent), "lists")
+    lists = stored(prefixes(held, percent), "lists")
     totals = lists.groupBy("item").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items"), F.min("label").alias("low"), F.max("label").alias("high"))
     totals = stored(totals.filter("low < high").select("item", "rows", "items"), "totals")
     # Short lists: pairs of other components whose sizes allow the similarity, each once, then confirmed.
