@@ -1,7 +1,7 @@
 """Exact deduplication by content-defined chunk recipes (native: DataFrame functions only).
 
-Every text is cut where its own content says so (a fixed pattern between a least and a
-greatest chunk length), each distinct chunk gets an identifier, and a text is described by
+Every text is cut where its own content says so (where characters repeat at a fixed
+distance, in any script, between a least and a greatest chunk length), each distinct chunk gets an identifier, and a text is described by
 its recipe, the ordered list of chunk identifiers. Equal recipes mean equal texts once the
 identifiers are verified: chunk contents are deduplicated under their identifiers in one
 shuffle, and an identifier found with two different contents makes all identifiers longer
@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from vellum.llm.common import cut, join_groups, lower_ascii
 
 LEAST_CHUNK, MOST_CHUNK = 768, 4096
-#: A chunk ends after one of these letters where no letter a-z follows.
-END = "[dgkmpwy\\u4e00-\\u9fff](?![a-z])"
+#: A chunk ends where two characters stand again three places on, or one from U+2E80 (scripts of thousands of characters): about once in a few hundred characters.
+END, END_LENGTH = r"(?:(.)(.).\1\2|([\x{2E80}-\x{10FFFF}])...\3)", 5
 
 
 def chunks(text: Column, least: int = LEAST_CHUNK, most: int = MOST_CHUNK) -> Column:
     """The content-defined chunks of a text, in order; joined together they are the text. An empty text has none."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{{least - 1},{most - 1}}}?{END}|.{{1,{most}}}"), F.lit(0))
+    low, high = max(0, least - END_LENGTH), most - END_LENGTH
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{{low},{high}}}?{END}|.{{1,{most}}}"), F.lit(0))
 
 
 def identifier(chunk: Column, words: int, bits: int) -> Column:
@@ -58,7 +59,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", words: int = 2, bits: int =
     * null text: as empty; all empty texts form one group.
     * null doc_id: counts in group_size, never the keeper unless the whole group has no id
       (then keep_id is null and its rows are kept).
-    * repeated rows (same doc_id and text): both count, and both carry kept = true.
+    * repeated rows (same doc_id and text): both count, and both carry kept = true; so are
+      rows that tie for the largest doc_id.
+    * very long texts: chunked whole; the recipe of one text is in one task's memory.
     * an empty table gives no rows; other columns are ignored, whatever their names.
     """
     docs = docs.select("doc_id", F.col(text).alias("_text"))
