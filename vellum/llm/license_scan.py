@@ -21,22 +21,32 @@ from vellum.llm.common import map_arrow
 # Phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Public licence wording, as templates. A label may have several.
+# The wording of public licences and of the notices that they ask for, as templates, whole. A label may have several.
+_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice {{including the next paragraph}} shall be included in all copies or substantial portions of the software"
+_NO_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall [[6]] authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{1}} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer {{2}} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_NAMES = "{{3}} neither the name of [[12]] nor the names of {{its}} {{his}} {{their}} contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_DISCLAIMER = "this software is provided by [[12]] as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall [[12]] be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_GPL = "{{this program}} [[6]] is free software you can redistribute it and or modify it under the terms of the gnu {0} as published by the free software foundation either version {1} of the license or at your option any later version {{this program}} [[6]] is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {2} for more details"
 TEMPLATES = [
-    ("mit", "{{released}} {{licensed}} {{distributed}} under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice {{including the next paragraph}} shall be included in all copies or substantial portions of the software"),
-    ("apache-2", "licensed under {{the}} apache license {{version}} 2 {{0}}"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[12]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("cc-by-nc", "licensed under {{a}} {{the}} {{creative commons}} cc by nc {{4 0}} {{international}} {{license}}"),
-    ("cc-by-nc", "licensed under {{a}} {{the}} creative commons attribution noncommercial {{4 0}} {{international}} {{public}} license"),
-    ("cc-by", "licensed under {{a}} {{the}} creative commons attribution {{4 0}} international {{public}} license"),
+    ("mit", f"{_GRANT} {_NO_WARRANTY}"),
+    ("mit", "{{this}} {{software}} {{code}} {{project}} {{work}} {{file}} {{is}} licensed under the {{terms of the}} mit license"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {{http}} {{https}} www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2", "licensed under {{the}} {{terms of the}} apache license {{version}} 2 {{0}}"),
+    ("bsd-2", f"{_BSD} {_BSD_DISCLAIMER}"),
+    ("bsd-3", f"{_BSD} {_BSD_NAMES} {_BSD_DISCLAIMER}"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and [[8]] disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall [[8]] be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("gpl-2", _GPL.replace("{0}", "general public license").replace("{1}", "2").replace("{2}", "general public license")),
+    ("gpl-3", _GPL.replace("{0}", "general public license").replace("{1}", "3").replace("{2}", "general public license")),
+    ("lgpl-3", _GPL.replace("{0}", "lesser general public license").replace("{1}", "3").replace("{2}", "lesser general public license")),
+    ("agpl-3", _GPL.replace("{0}", "affero general public license").replace("{1}", "3").replace("{2}", "affero general public license")),
     ("gpl-3", "licensed under the {{terms of the}} gnu general public license {{as published by the free software foundation}} {{either}} {{v3}} {{version 3}} {{or later}}"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version [[2]] of the license or at your option any later version"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{1}} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer {{2}} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("all-rights-reserved", "all rights reserved"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {{http}} {{https}} mozilla org mpl 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("cc-by", "licensed under {{a}} {{the}} creative commons attribution {{4 0}} international {{public}} license"),
+    ("cc-by-nc", "licensed under {{a}} {{the}} creative commons attribution noncommercial {{4 0}} {{international}} {{public}} license"),
+    ("cc-by-nc", "licensed under {{a}} {{the}} {{creative commons}} cc by nc {{4 0}} {{international}} {{license}}"),
+    ("all-rights-reserved", "copyright {{c}} [[10]] all rights reserved"),
 ]
 
 #: Bytes that are no part of a word become spaces, A-Z lower case; all bytes from 0x80 belong to words.
@@ -162,8 +172,10 @@ def license_scan(docs: DataFrame, text: str = "text", templates: list[tuple[str,
     template, 0.5 with base phrases only, else 0.
 
     * null or empty text: no words, no labels ('' in both columns), null places, score 0.
-    * null doc_ids and repeated rows pass through, a row each; other columns are ignored.
-    * an empty table gives no rows; texts are scanned whole, whatever their length.
+    * null doc_ids and repeated rows pass through, a row each.
+    * ties: of runs that begin at one word, the longest is the template's; all templates report theirs.
+    * texts are scanned whole, whatever their length, one at a time.
+    * an empty table gives no rows; other columns are ignored, whatever their names.
     """
     lines = [(b" " + p.encode() + b" ", p.encode().split(), label) for p, label in phrases.items()]
     automata = [compile_template(*t) for t in templates]
