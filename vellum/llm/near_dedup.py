@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import cut, join_groups, map_arrow, release, stored
@@ -297,22 +297,9 @@ def leftovers(entries: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     return out
 
 
-def near_dedup(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per input row.
-
-    Two texts are linked if 100 * intersection >= percent * union of their shingle sets;
-    component_id is the smallest doc_id reachable by links, and the row with that id is
-    kept. A text of fewer than `words` words has its whole sequence as one shingle.
-
-    * null text, or one without words: n_shingles 0, linked with nothing, kept.
-    * null doc_id: links with nothing, component_id null, kept.
-    * repeated rows: same component, and each row whose doc_id is component_id is kept.
-    * rows that share a doc_id but not their text: each has the component of its own text.
-    * equally similar partners (ties): all of them are linked; nothing is chosen.
-    * very long texts: read whole; a set is in one task's memory (8 bytes a shingle).
-    * an empty table gives no rows; other columns are ignored, whatever their names.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text")).withColumn("th", F.xxhash64("_text"))
+def near_rows(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, th (text_hash()), n_shingles, component_id, component (a number for each component; null for rows that are linked with nothing by definition): one row per input row, as near_dedup() says."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text")).withColumn("th", text_hash(F.col("_text")))
     signed = stored(signatures(docs, words, bands, rows), "signatures")
     keys, row = ["d1", "d2"], ["doc_id", "th"]
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -343,9 +330,48 @@ def near_dedup(docs: DataFrame, text: str = "text", words: int = WORDS, percent:
     # The least id of each component, then of each set, then of each row; hot ones are joined by broadcast.
     of = labels.join(groups.select("node", "least"), "node")
     least = of.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    found = join_groups(labels, least, "label", "n", labels.count()).select("node", "component_id")
-    labelled = groups.join(found, "node", "left").select(*keys, "size", F.coalesce("component_id", "least").alias("component_id"))
-    linked = join_groups(some.select("doc_id", "n_shingles", *keys), labelled, keys, "size", signed.count())
-    alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
-    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = join_groups(labels, least, "label", "n", labels.count()).select("node", "label", "component_id")
+    labelled = groups.join(found, "node", "left").select(*keys, "size", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("label", "node").alias("component"))
+    columns = ["doc_id", "th", "n_shingles", "component_id", "component"]
+    linked = join_groups(some.select("doc_id", "th", "n_shingles", *keys), labelled, keys, "size", signed.count())
+    alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
+    return linked.select(*columns).unionByName(alone.select(*columns))
+
+
+def text_hash(text: Column) -> Column:
+    """With the id, it names the rows of one text."""
+    return F.xxhash64(text)
+
+
+def near_kept(docs: DataFrame, text: str = "text", **options: int) -> DataFrame:
+    """doc_id, th, n: the one row of each component that stays, by its id and text_hash(); n rows have both.
+
+    It is a row with the smallest doc_id, then text_hash(). Rows without words or id are linked with nothing:
+    all of them stay, and n is 1.
+    """
+    rows = cut(near_rows(docs, text, **options))
+    own = rows.filter("component IS NOT NULL AND doc_id = component_id")
+    alone = rows.filter("component IS NULL").select("doc_id", "th").distinct().withColumn("n", F.lit(1).cast("long"))
+    # Texts of one component that share the smallest id: few, but for a hot id.
+    texts = own.groupBy("component", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    best = texts.groupBy("component").agg(F.min_by(F.struct("doc_id", "th", "n"), "th").alias("b"))
+    return best.select("b.*").unionByName(alone)
+
+
+def near_dedup(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per input row.
+
+    Two texts are linked if 100 * intersection >= percent * union of their shingle sets;
+    component_id is the smallest doc_id reachable by links, and the row with that id is
+    kept. A text of fewer than `words` words has its whole sequence as one shingle.
+
+    * null text, or one without words: n_shingles 0, linked with nothing, kept.
+    * null doc_id: links with nothing, component_id null, kept.
+    * repeated rows: same component, and each row whose doc_id is component_id is kept.
+    * rows that share a doc_id but not their text: each has the component of its own text.
+    * equally similar partners (ties): all of them are linked; nothing is chosen.
+    * very long texts: read whole; a set is in one task's memory (8 bytes a shingle).
+    * an empty table gives no rows; other columns are ignored, whatever their names.
+    """
+    out = near_rows(docs, text, words, percent, bands, rows)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

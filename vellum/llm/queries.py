@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.language_id import language_id
 from vellum.llm.license_scan import PHRASES, TEMPLATES, license_scan
@@ -77,7 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 
 #: A-Z to a-z only, for DuckDB.
