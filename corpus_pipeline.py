@@ -13,70 +13,84 @@ from pyspark.sql import functions as F
 from vellum.llm.common import lower_ascii, release, stored
 from vellum.llm.exact_dedup import exact_dedup
 from vellum.llm.mixing import mix_sources
-from vellum.llm.near_dedup import near_dedup
+from vellum.llm.near_dedup import near_kept, text_hash
 from vellum.llm.packing import pack
 from vellum.llm.quality import quality_filter
 from vellum.llm.tokens import TOKENIZER
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns]
+def _whole(docs: DataFrame, **keys: Column) -> DataFrame:
+    """`row`, a struct of all columns, and keys: no name of an input column can clash with a key."""
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return docs.select(row.alias("row"), *[key.alias(name) for name, key in keys.items()])
 
 
-def _own_digest() -> Column:
-    """Of the text as drop_exact_copies compares it."""
-    return F.sha2(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary"), 256)
+def _chosen(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows (row, and `on`) whose keys are among keys (on, n); of the n rows of one key, one."""
+    named = keys.select(*[F.col(k).alias(f"of_{k}") for k in on], "n")
+    same = F.lit(True)
+    for k in on:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    met = rows.join(named.hint("shuffle_hash"), same)
+    return met.filter("n = 1").select("row.*").unionByName(met.filter("n > 1").dropDuplicates(on).select("row.*"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects. Null texts are judged as empty; null ids stay or go by their text."""
+    """Without the documents that the quality classifier rejects, by their whole texts.
+
+    * null texts are judged as empty; null ids and repeated rows stay or go by their text.
+    * ties: a score at the threshold stays.
+    * no rows: none come back; other columns pass through, whatever their names.
+    """
     return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: the one with the largest doc_id; of rows repeated with that id, one."""
-    kept = exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_n"))
-    keyed = docs.withColumn("_own", _own_digest())
-    same = (F.col("_own") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    joined = keyed.join(kept.hint("shuffle_hash"), same)
-    once = joined.filter("_n = 1").unionByName(joined.filter("_n > 1").dropDuplicates(["_own"]))
-    return once.select(*_columns(docs))
+    """One row of each group of equal texts: the one with the largest doc_id.
+
+    * null and empty texts are one group; a group without any id keeps one of its rows.
+    * ties: of rows with the same text and id, any one stays; repeated rows are such.
+    * very long texts are compared by their recipes of chunks, whole.
+    * no rows: none come back; other columns pass through, whatever their names.
+    """
+    kept = exact_dedup(docs).filter("kept").groupBy("doc_id", F.col("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("n"))
+    digest = F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)  # as exact_dedup has it
+    return _chosen(_whole(docs, doc_id=F.col("doc_id"), sha=digest), kept, ["doc_id", "sha"])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id, then digest.
+    """One document of each component of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id.
 
-    Rows that share a doc_id but differ in text are documents of their own.
+    * null or wordless texts and null ids are linked with nothing: all of them stay.
+    * rows that share a doc_id but differ in text are documents of their own.
+    * ties: of texts with the smallest id, that with the least hash; of repeated rows, one.
+    * very long texts are compared by all of their shingles.
+    * no rows: none come back; other columns pass through, whatever their names.
     """
-    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    if ids.filter("n > 1").isEmpty():
-        gone = near_dedup(docs).filter("NOT kept").select("doc_id").distinct()
-        return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*_columns(docs))
-    # Keys in the order of (doc_id, digest), so that the least key of a component is its smallest id.
-    named = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), _own_digest().alias("_sha")).distinct()
-    keys = stored(named.repartitionByRange("_id", "_sha").sortWithinPartitions("_id", "_sha").withColumn("_key", F.monotonically_increasing_id()), "keys")
-    own = docs.withColumn("_own", _own_digest())
-    keyed = own.join(keys.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_sha")), "left")
-    gone = near_dedup(keyed.select(F.col("_key").alias("doc_id"), "text")).filter("NOT kept").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(gone.hint("shuffle_hash"), "_key", "left_anti").select(*_columns(docs))
+    return _chosen(_whole(docs, doc_id=F.col("doc_id").cast("long"), th=text_hash(F.col("text"))), near_kept(docs), ["doc_id", "th"])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, rounded to whole copies by a hash of its id: none, once or twice.
 
-    Documents without words are not taken. Rows that share a doc_id share its ratio.
+    * null or wordless texts are not taken; a null source is one of its own.
+    * rows that share a doc_id, or have none, share its ratio.
+    * ties: equal ids have equal hashes, so reruns agree.
+    * very long texts are counted whole and taken whole.
+    * no rows: none come back; other columns pass through, whatever their names.
     """
-    taken = mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("size").alias("_size"), F.sum("taken").alias("_taken")).filter("_size > 0")
-    u = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "_id"), 11) / float(1 << 53)
-    taken = taken.withColumn("_times", F.col("_taken") / F.col("_size"))
-    taken = taken.select("_id", (F.floor("_times") + F.when(u < F.col("_times") - F.floor("_times"), 1).otherwise(0)).cast("int").alias("_copies")).filter("_copies > 0")
-    joined = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    worded = joined.filter(F.regexp_like(F.col("text"), F.lit(r"[^\x20\x09-\x0D]")))
-    return worded.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*_columns(docs))
+    taken = mix_sources(docs).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken")).filter("size > 0")
+    u = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id"), 11) / float(1 << 53)
+    ratio = F.col("taken") / F.col("size")
+    copies = F.floor(ratio) + F.when(u < ratio - F.floor(ratio), 1).otherwise(0)
+    taken = taken.select(F.col("doc_id").alias("of_id"), copies.cast("int").alias("copies")).filter("copies > 0")
+    worded = docs.filter(F.regexp_like(F.col("text"), F.lit(r"[^\x20\x09-\x0D]")))
+    joined = _whole(worded, id=F.col("doc_id")).join(taken.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its place in a sequence of at most 1024 tokens."""
+    """The pieces of all documents, each with its place in a sequence of at most 1024 tokens; see pack() for nulls, ties, long texts, repeated rows and no rows."""
     return pack(docs, TOKENIZER)
 
 
