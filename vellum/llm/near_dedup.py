@@ -33,6 +33,8 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS = 42, 6
 #: Partners of a centre, or rows of a list of the inverted index, that one task handles at once, and the shingles in them.
 SLICE, SLICE_ITEMS = 128, 1 << 20
+#: Shingles in one product of a tile.
+COLUMNS = 1 << 14
 #: Edges in one part of the components' first step.
 PART_EDGES = 20_000
 #: Distinct words whose hashes a worker keeps.
@@ -225,22 +227,38 @@ def components(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
     return out
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b: products of their incidence, COLUMNS shingles at a time."""
+    flat, owner = zip(*[(np.concatenate([np.empty(0, np.int64), *sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])) for sets in (a, b)], strict=True)
+    common = np.intersect1d(*flat)
+    out = np.zeros((len(a), len(b)), np.float32)
+    held = []
+    for items, of in zip(flat, owner, strict=True):
+        at = np.searchsorted(common, items)
+        hit = common[np.minimum(at, len(common) - 1)] == items if len(common) else np.zeros(len(items), bool)
+        order = np.argsort(at[hit], kind="stable")
+        held.append((at[hit][order], of[hit][order]))
+    for low in range(0, len(common), COLUMNS):
+        sides = []
+        for (at, of), n in zip(held, (len(a), len(b)), strict=True):
+            part = slice(*np.searchsorted(at, [low, low + COLUMNS]))
+            side = np.zeros((n, min(COLUMNS, len(common) - low)), np.float32)
+            side[of[part], at[part] - low] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
 def _cross(percent: int):
     def cross(odd: pa.Table, rows: pa.Table) -> pa.Table:
-        """Links between the nodes outside a list's largest component and those of other components."""
-        a, b = [], []
+        """Links between nodes of different components, one of each side."""
+        a = b = np.empty(0, np.int64)
         if len(odd) and len(rows):
-            items = [np.asarray(v) for v in rows["items"].combine_chunks().to_numpy(zero_copy_only=False)]
-            flat, sizes = np.concatenate(items), np.array([len(i) for i in items])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            nodes, labels = rows["node"].to_numpy(), rows["label"].to_numpy()
-            for node, label, own in zip(odd["odd_node"].to_pylist(), odd["odd_label"].to_pylist(), odd["odd_items"].combine_chunks().to_numpy(zero_copy_only=False), strict=True):
-                own = np.sort(np.asarray(own))
-                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                shared = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
-                hit = (labels != label) & (shared * 100 >= percent * (sizes + len(own) - shared))
-                a += [node] * int(hit.sum())
-                b += nodes[hit].tolist()
+            left, right = ([np.asarray(v) for v in t[c].combine_chunks().to_numpy(zero_copy_only=False)] for t, c in ((odd, "odd_items"), (rows, "items")))
+            shared = shared_counts(left, right)
+            union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right]) - shared
+            i, j = np.nonzero((odd["odd_label"].to_numpy()[:, None] != rows["label"].to_numpy()) & (shared * 100 >= percent * union))
+            a, b = odd["odd_node"].to_numpy()[i], rows["node"].to_numpy()[j]
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return cross
