@@ -17,8 +17,9 @@ from pyspark.sql.window import Window
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: Rows and bytes that a function sees at once. Spark bounds the bytes of a batch on its way to Python (64 MB unless set otherwise); these bound what is made of it there.
+#: Rows and bytes that a function sees at once, and so the bytes of a batch on its way to Python.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A group with at least 1/HEAVY of all rows is heavy; there are at most HEAVY of them.
 HEAVY = 1000
 
@@ -90,8 +91,18 @@ def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         start += rows
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES bytes, whatever the length of texts: the 64 MB of Spark's default cost several hundred MB an executor.
+
+    Spark reads the setting when a plan runs, so it stays lowered; results don't depend on it, and a lower one is left alone.
+    """
+    if int(spark.conf.get(ARROW_BYTES).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in small portions, so that a worker's memory does not follow from the batch size; no setting of the session is touched."""
+    """mapInArrow in small portions, so that a worker's memory does not follow from the batch size."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return fn(p for batch in batches for p in portions(batch))
