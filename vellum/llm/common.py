@@ -96,7 +96,7 @@ def small_batches(spark: SparkSession) -> None:
 
     Spark reads the setting when a plan runs, so it stays lowered; results don't depend on it, and a lower one is left alone.
     """
-    if int(spark.conf.get(ARROW_BYTES).rstrip("b")) > BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(ARROW_BYTES)) > BATCH_BYTES:
         spark.conf.set(ARROW_BYTES, BATCH_BYTES)
 
 
