@@ -63,7 +63,8 @@ def test_status_and_cleanup(spark):
     assert (docs["d1"].status, docs["d1"].processing_progress, docs["d1"].updated_at) == ("parsing", 7, 60)
     assert (docs["d4"].status, docs["d4"].processing_progress) == ("error", None)
     assert ids(C.cleanup_interrupted(s).documents) == ["d2", "d3", "d4", "d5"]
-    assert C.status_counts(s.documents).filter("library_id = 'lib-1'").first()[1:] == (1, 1, True)
+    fresh = C.create_library(s, "lib-3", "Fresh", 70)
+    assert {r[0]: tuple(r[1:]) for r in C.status_counts(fresh.documents, fresh.libraries).collect()} == {"lib-1": (1, 1, True), "lib-2": (0, 0, False), "lib-3": (0, 0, False)}
 
 
 def test_store_versions(spark, tmp_path):

@@ -13,10 +13,10 @@ def chunks(text, size=500, overlap=100):
 
 
 def test_paragraph_goldens():
-    assert chunks("Hello world") == ["Hello world"]
-    assert chunks("") == chunks("   ") == []
-    assert chunks("paragraph one.\n\nparagraph two.\n\nparagraph three.\n\nparagraph four.", 30, 5) == ["paragraph one.\n\nparagraph two.", "two. paragraph three.", "hree. paragraph four."]
-    assert chunks("aaaaaaaaa\n\nbbbbbbbbbb", 20, 5) == ["aaaaaaaaa\n\nbbbbbbbbb", "bbbbbb"]
+    assert chunks("one short note") == ["one short note"]
+    assert chunks("") == chunks(" \n ") == []
+    # A paragraph that would reach the size closes the chunk; the next begins with its last five characters.
+    assert chunks("red kite.\n\nblue tit.\n\ngrey heron.\n\nblack swan.", 26, 5) == ["red kite.\n\nblue tit.", "tit. grey heron.", "eron. black swan."]
     assert [len(c) for c in chunks("word " * 200, 300, 50)] == [299, 299, 299, 249]
     assert [len(c) for c in chunks("word " * 300)] == [499, 499, 499, 299]
 
@@ -29,11 +29,11 @@ def test_markdown_goldens():
 
 
 def test_page_goldens(spark):
-    two = ["Content of page one. It has multiple sentences. And more content here.", "Content of page two. Also with sentences."]
-    df = spark.createDataFrame([(["", "Content here", ""], two)], "a array<string>, b array<string>")
+    two = ["Kites glide low. Herons wait at the water's edge. Swans do not.", "Owls sleep by day. Larks sing."]
+    df = spark.createDataFrame([(["", "Only this page", " "], two)], "a array<string>, b array<string>")
     row = df.select(chunk_pages(F.col("a")).alias("a"), chunk_pages(F.col("b"), 60, 10).alias("b"), chunk_pages(F.lit(None).cast("array<string>")).alias("n")).first()
-    assert [(c.chunk_index, c.page, c.text) for c in row.a] == [(0, 2, "Content here")]
-    assert [(c.page, c.text) for c in row.b] == [(1, "Content of page one.  It has multiple sentences."), (2, "entences.  And more content here. Content of page two."), (2, "page two.  Also with sentences.")]
+    assert [(c.chunk_index, c.page, c.text) for c in row.a] == [(0, 2, "Only this page")]
+    assert [(c.page, c.text) for c in row.b] == [(1, "Kites glide low.  Herons wait at the water's edge."), (2, "r's edge.  Swans do not. Owls sleep by day.  Larks sing.")]
     assert row.n is None
 
 

@@ -28,18 +28,18 @@ def odd_tables(spark, tmp_path):
 
 
 def test_every_text_is_asked_of_every_library(spark, odd_tables):
-    asked = {r.query_id for r in B.all_queries(spark, odd_tables).collect()}
+    asked = {r.query_id for r in B.queries(spark, odd_tables).collect()}
     assert asked == {f"{i}:{lib}" for i in (0, 50, 70) for lib in ("src0", "other", "src12")}
-    found = {(r.query_id, r.document_id) for r in entry.queries()["search_text_results_all"](spark, odd_tables).collect()}
+    found = {(r.query_id, r.document_id) for r in entry.queries()["search_text_results"](spark, odd_tables).collect()}
     assert found == {("0:src0", "0"), ("0:other", "1"), ("50:other", "1"), ("50:src12", "2"), ("70:src12", "2")}
-    near = {(r.query_id, r.document_id) for r in entry.queries()["search_vector_results_all"](spark, odd_tables).collect()}
+    near = {(r.query_id, r.document_id) for r in entry.queries()["search_vector_results"](spark, odd_tables).collect()}
     assert near == {("0:src0", "0"), ("0:other", "1"), ("50:src0", "0"), ("50:other", "1")}
-    assert all(f"{n}_all" in entry.queries() and f"{n}_all" in entry.oracle_sql() for n in SEARCHES)
+    assert all(n in entry.queries() and n in entry.oracle_sql() for n in SEARCHES)
 
 
 def test_listing_has_every_document(spark, small):
     n = spark.read.parquet(f"{small}/documents.parquet").count()
-    assert entry.queries()["documents_by_created_desc_all"](spark, small).count() == n
+    assert entry.queries()["documents_by_created_desc"](spark, small).count() == n
 
 
 def test_places_of_ties_nulls_and_a_hot_library(spark):
@@ -68,11 +68,11 @@ def brute_vector(text):
 def test_every_document_is_embedded(spark, small, tmp_path):
     texts = ["One two, one TWO.", "", None, "!? _", "Grüße 中文"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.id: r for r in entry.queries()["embed_documents_all"](spark, str(tmp_path)).collect()}
+    got = {r.id: r for r in entry.queries()["embed_documents"](spark, str(tmp_path)).collect()}
     assert [got[i].wordless for i in range(5)] == [False, True, True, True, False]
     assert all(got[i].embedding == pytest.approx(brute_vector(t), abs=1e-6) for i, t in enumerate(texts))
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    rows = entry.queries()["embed_documents_all"](spark, small).collect()
+    rows = entry.queries()["embed_documents"](spark, small).collect()
     assert len(rows) == len(docs) and all(r.embedding == pytest.approx(brute_vector(docs[r.id]), abs=1e-6) for r in rows)
 
 
@@ -97,7 +97,7 @@ def test_every_chunk_is_located(spark, small, tmp_path):
     for sf in (str(tmp_path), small):
         texts = {str(r.doc_id): r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
         chunks = {(r.document_id, r.chunk_index): r.text for r in B.chunks(spark, sf).collect()}
-        got = {(r.document_id, r.chunk_index): (r.start, r.end) if r.found else None for r in entry.queries()["highlight_spaceless_all"](spark, sf).collect()}
+        got = {(r.document_id, r.chunk_index): (r.start, r.end) if r.found else None for r in entry.queries()["highlight_spaceless"](spark, sf).collect()}
         assert any(i for _, i in chunks) and got == {k: brute_place(texts[k[0]], c) for k, c in chunks.items()}
 
 
@@ -105,7 +105,7 @@ def test_every_document_is_ingested(spark, tmp_path):
     """All three routes, with their pages; texts as long as several chunks, and one without any."""
     texts = [f"# Head {i}\nLine one of {i}. More.\n\n" + f"word{i} other text here. " * 60 for i in range(10)] + [" ", "# A\nx\n# B\ny"]
     spark.createDataFrame([(i, t, "en", f"lib{i % 4}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.document_id: r for r in entry.queries()["ingest_documents_all"](spark, str(tmp_path)).collect()}
+    got = {r.document_id: r for r in entry.queries()["ingest_documents"](spark, str(tmp_path)).collect()}
     assert len(got) == len(texts) and {r.library_id for r in got.values()} == {"lib0", "lib1", "lib2", "lib3"}
     for i, t in enumerate(texts):
         if i % 5 == 0:
@@ -123,11 +123,11 @@ def test_views_and_routes_cover_all_documents(spark, small):
     status = lambda i: B.STATUSES[i % len(B.STATUSES)]
     notice = lambda i: "Document processing failed" if status(i) == "error" else "Document is being processed..."
     q = entry.queries()
-    shown = {r.id: (r.before, r.match, r.after) for r in q["view_without_match_all"](spark, small).collect()}
+    shown = {r.id: (r.before, r.match, r.after) for r in q["view_without_match"](spark, small).collect()}
     assert shown == {str(d.doc_id): (d.text if d.doc_id in named else notice(d.doc_id), "", "") for d in docs}
-    routes = {r.library_id: r.route for r in q["library_landing_route_all"](spark, small).collect()}
+    routes = {r.library_id: r.route for r in q["library_landing_route"](spark, small).collect()}
     searched = {d.source for d in docs if status(d.doc_id) == "indexed"}
-    assert routes == {d.source: "search" if d.source in searched else "documents" for d in docs}
+    assert routes == {d.source: "search" if d.source in searched else "documents" for d in docs} | {B.FRESH: "documents"}
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
-    got = {r.item_id: (unquote(r.encoded), r.last_space) for r in q["string_functions_all"](spark, small).collect()}
+    got = {r.item_id: (unquote(r.encoded), r.last_space) for r in q["string_functions"](spark, small).collect()}
     assert got == {i: (t, t.rfind(" ")) for i, t in texts.items()} and max(map(len, texts.values())) > 60

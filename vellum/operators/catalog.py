@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from vellum.schemas import INTERRUPTED, PROCESSING, TABLES
 
+# What a viewer shows where there is no content.
+FAILED, PENDING = "Document processing failed", "Document is being processed..."
+
 
 @dataclass(frozen=True)
 class Snapshot:
@@ -172,10 +175,11 @@ def is_processing(status: Column) -> Column:
     return status.isin(*PROCESSING)
 
 
-def status_counts(documents: DataFrame) -> DataFrame:
-    """library_id, indexed, processing, any_processing."""
-    processing = F.count_if(is_processing(F.col("status")))
-    return documents.groupBy("library_id").agg(F.count_if(F.col("status") == "indexed").alias("indexed"), processing.alias("processing"), (processing > 0).alias("any_processing"))
+def status_counts(documents: DataFrame, libraries: DataFrame) -> DataFrame:
+    """library_id, indexed, processing, any_processing of every library (id), also of those without documents."""
+    per = documents.groupBy("library_id").agg(F.count_if(F.col("status") == "indexed").alias("_indexed"), F.count_if(is_processing(F.col("status"))).alias("_processing"))
+    indexed, processing = F.coalesce("_indexed", F.lit(0)), F.coalesce("_processing", F.lit(0))
+    return libraries.select(F.col("id").alias("library_id")).join(per, "library_id", "left").select("library_id", indexed.alias("indexed"), processing.alias("processing"), (processing > 0).alias("any_processing"))
 
 
 def landing_route(indexed: Column) -> Column:
@@ -190,7 +194,7 @@ def with_content(documents: DataFrame, contents: DataFrame) -> DataFrame:
     """documents with text and pages (null where there is no content), and what a viewer shows: the text, else a notice."""
     c = contents.select(F.col("document_id").alias("_doc"), F.col("text").alias("content"), F.col("pages").alias("content_pages"))
     joined = documents.join(c, documents["id"] == c["_doc"], "left").drop("_doc")
-    shown = F.coalesce("content", F.when(F.col("status") == "error", "Document processing failed").otherwise("Document is being processed..."))
+    shown = F.coalesce("content", F.when(F.col("status") == "error", FAILED).otherwise(PENDING))
     return joined.withColumn("shown", shown)
 
 

@@ -57,9 +57,10 @@ def vector_scores(chunks: DataFrame, queries: DataFrame, floor: float = 0.0) ->
 
 
 def _unit(scores: DataFrame, name: str) -> DataFrame:
-    """Scores over their query's highest; 0 if that is not positive."""
-    most = F.max("score").over(Window.partitionBy("query_id"))
-    return scores.select("query_id", "chunk_id", F.when(most > 0, F.col("score") / most).otherwise(0.0).alias(name))
+    """Scores over their query's highest; 0 if that is not positive. The highest are summed up within tasks first, so no query's hits gather in one."""
+    most = scores.groupBy(F.col("query_id").alias("_of")).agg(F.max("score").alias("_most"))
+    part = F.when(F.col("_most") > 0, F.col("score") / F.col("_most")).otherwise(0.0)
+    return scores.join(most, F.col("query_id") == F.col("_of")).select("query_id", "chunk_id", part.alias(name))
 
 
 def fused(text: DataFrame, vector: DataFrame, text_weight: float = TEXT_WEIGHT, vector_weight: float = VECTOR_WEIGHT) -> DataFrame:
@@ -151,6 +152,11 @@ def at_chunk(results: DataFrame, chunks: DataFrame) -> DataFrame:
     return results.join(chunks.select(*keys, F.col("text").alias("chunk_text")), keys, "left")
 
 
+def focused(chunk_id: Column, focus: Column) -> Column:
+    """Whether a result is the chunk that its viewer came from; none is where that is null."""
+    return F.coalesce(chunk_id == focus, F.lit(False))
+
+
 def neighbours(chunk_index: Column, chunk_count: Column) -> tuple[Column, Column]:
     """(previous, next) index, null where there is none; from no chunk, next is the first."""
     back = F.when(chunk_index > 0, chunk_index - 1)

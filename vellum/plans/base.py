@@ -41,13 +41,16 @@ def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).groupBy("library_id").agg(F.min("created_at").alias("created_at")).select(F.col("library_id").alias("id"), F.upper("library_id").alias("name"), "created_at")
 
 
-def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """document_id, library_id, text, pages: only of documents whose id is no multiple of 7."""
-    d = documents(spark, sf_dir).filter(F.col("doc_id") % 7 != 0)
-    return d.select(F.col("id").alias("document_id"), "library_id", "text", F.split("text", "\n").alias("pages"))
+#: A library that has no document yet, as every library is at first.
+FRESH = "nowhere"
+
 
+def library_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id: the libraries that documents name, and a fresh one."""
+    return libraries(spark, sf_dir).filter("id IS NOT NULL").select("id").union(spark.createDataFrame([(FRESH,)], "id string"))
 
-def labelled_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, library_id, text, pages of the documents that labels names: the others have no content yet."""
     named = table(spark, sf_dir, "labels").select("doc_id").distinct()
     d = documents(spark, sf_dir).join(named, "doc_id", "left_semi")
@@ -89,9 +92,9 @@ DOCUMENTS = f"""d AS (SELECT *, {_TYPE} AS type FROM (
            CASE WHEN doc_id % 10 = 0 THEN 'application/pdf' ELSE '' END AS mime, n_chars AS size,
            1700000000000 + doc_id * 1000 AS created_at, {case(STATUSES, "doc_id")} AS status, text, doc_id FROM documents))"""
 
-CONTENTS = "k AS (SELECT id AS document_id, library_id, text, string_split(text, chr(10)) AS pages FROM d WHERE doc_id % 7 <> 0)"
+LIBRARIES = f"l AS (SELECT DISTINCT library_id FROM d WHERE library_id IS NOT NULL UNION ALL SELECT '{FRESH}')"
 
-LABELLED_CONTENTS = "k AS (SELECT id AS document_id, library_id, text, string_split(text, chr(10)) AS pages FROM d WHERE doc_id IN (SELECT doc_id FROM labels))"
+CONTENTS = "k AS (SELECT id AS document_id, library_id, text, string_split(text, chr(10)) AS pages FROM d WHERE doc_id IN (SELECT doc_id FROM labels))"
 
 #: Page chunks as a fold over the sentences of all lines: size 500, overlap 100.
 CHUNKS = rf"""
@@ -126,16 +129,6 @@ SCORES = r"""
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six queries: benchmark texts and the vectors of the first documents, in the libraries of these documents."""
-    items = table(spark, sf_dir, "benchmark").filter("item_id < 6").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("library_id"), "text")
-    vectors = table(spark, sf_dir, "embeddings").filter("vec_id < 6").select(F.col("vec_id").alias("query_id"), "embedding")
-    return items.join(vectors, "query_id")
-
-
-QUERIES = "q AS (SELECT item_id AS query_id, 'src' || item_id AS library_id, text, CAST(e.embedding AS DOUBLE[]) AS vec FROM benchmark JOIN embeddings e ON e.vec_id = item_id WHERE item_id < 6)"
-
-
-def all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text, with the vector of its id where there is one, asked of every library that documents name."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
@@ -143,5 +136,5 @@ def all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select(F.concat_ws(":", F.col("item_id").cast("string"), "library_id").alias("query_id"), "library_id", "text", "embedding")
 
 
-ALL_QUERIES = """q AS (SELECT item_id || ':' || l.library_id AS query_id, l.library_id, b.text, CAST(e.embedding AS DOUBLE[]) AS vec
+QUERIES = """q AS (SELECT item_id || ':' || l.library_id AS query_id, l.library_id, b.text, CAST(e.embedding AS DOUBLE[]) AS vec
     FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = item_id CROSS JOIN (SELECT DISTINCT library_id FROM d WHERE library_id IS NOT NULL) l)"""

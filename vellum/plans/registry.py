@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,40 +24,23 @@ from vellum.streaming import live as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_PLAIN: dict[str, str | None] = {}
 
 
 def query(sql: str | None, *parts: str):
     """Registers the function under its name, with SQL over the common table expressions in parts."""
 
     def add(fn: Callable[[SparkSession, str], DataFrame]):
-        _add(fn.__name__, fn, sql, parts)
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = ("WITH RECURSIVE " + ", ".join(parts) + " " if parts else "") + sql
         return fn
 
     return add
 
 
-def _add(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str | None, parts: tuple[str, ...]) -> None:
-    QUERIES[name], _PLAIN[name] = fn, sql
-    if sql:
-        ORACLES[name] = ("WITH RECURSIVE " + ", ".join(parts) + " " if parts else "") + sql
-
-
-def over_all(*parts: str, **given: object):
-    """Registers a query a second time, as NAME_all, over whole tables: the same function with other arguments, the same SQL over other parts."""
-
-    def add(fn: Callable[[SparkSession, str], DataFrame]):
-        _add(f"{fn.__name__}_all", partial(fn, **given), _PLAIN[fn.__name__], parts)
-        return fn
-
-    return add
-
-
-D, DK = (B.DOCUMENTS,), (B.DOCUMENTS, B.CONTENTS)
-ALL_DK = (B.DOCUMENTS, B.LABELLED_CONTENTS)
+D, DK, DL = (B.DOCUMENTS,), (B.DOCUMENTS, B.CONTENTS), (B.DOCUMENTS, B.LIBRARIES)
 DC = (B.DOCUMENTS, B.CHUNKS)
 DCQ = (*DC, B.QUERIES, B.SCORES)
-ALL_DCQ = (*DC, B.ALL_QUERIES, B.SCORES)
 
 # Scans and sources.
 
@@ -89,13 +71,8 @@ def libraries_newest_first(spark, sf):
     return C.newest_first(B.libraries(spark, sf)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).cast("long"))
 
 
-@query("SELECT library_id, id, place FROM (SELECT library_id, id, row_number() OVER (PARTITION BY library_id ORDER BY created_at DESC, id) AS place FROM d) WHERE place <= 5", *D)
-def documents_by_created_desc(spark, sf):
-    return documents_by_created_desc_all(spark, sf).filter("place <= 5")
-
-
 @query("SELECT library_id, id, row_number() OVER (PARTITION BY library_id ORDER BY created_at DESC, id) AS place FROM d", *D)
-def documents_by_created_desc_all(spark, sf):
+def documents_by_created_desc(spark, sf):
     return C.newest_places(B.documents(spark, sf).select("library_id", "id", "created_at")).select("library_id", "id", "place")
 
 
@@ -125,14 +102,14 @@ def decode_text_files(spark, sf):
 # Counts and catalog changes.
 
 
-@query("SELECT library_id, count(*) AS n FROM d WHERE status = 'indexed' GROUP BY library_id", *D)
+@query("SELECT l.library_id, count(d.id) AS n FROM l LEFT JOIN d ON d.library_id = l.library_id AND d.status = 'indexed' GROUP BY ALL", *DL)
 def count_indexed(spark, sf):
-    return C.where(B.documents(spark, sf), status="indexed").groupBy("library_id").agg(F.count(F.lit(1)).alias("n"))
+    return C.status_counts(B.documents(spark, sf), B.library_ids(spark, sf)).select("library_id", F.col("indexed").alias("n"))
 
 
-@query("SELECT library_id, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status IN ('pending', 'parsing', 'chunking', 'embedding')) AS processing, bool_or(status IN ('pending', 'parsing', 'chunking', 'embedding')) AS any_processing FROM d GROUP BY library_id", *D)
+@query("SELECT l.library_id, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status IN ('pending', 'parsing', 'chunking', 'embedding')) AS processing, coalesce(bool_or(status IN ('pending', 'parsing', 'chunking', 'embedding')), false) AS any_processing FROM l LEFT JOIN d ON d.library_id = l.library_id GROUP BY ALL", *DL)
 def count_processing(spark, sf):
-    return C.status_counts(B.documents(spark, sf))
+    return C.status_counts(B.documents(spark, sf), B.library_ids(spark, sf))
 
 
 @query("SELECT count(*) AS n FROM d WHERE status IN ('pending', 'parsing', 'chunking', 'embedding')", *D)
@@ -145,15 +122,9 @@ def count_interrupted(spark, sf):
     return C.interrupted(B.documents(spark, sf)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT library_id, CASE WHEN count(*) FILTER (status = 'indexed') > 0 THEN 'search' ELSE 'documents' END AS route FROM d WHERE doc_id % 3 = 0 OR library_id > 'src5' GROUP BY library_id", *D)
+@query("SELECT l.library_id, CASE WHEN count(*) FILTER (status = 'indexed') > 0 THEN 'search' ELSE 'documents' END AS route FROM l LEFT JOIN d ON d.library_id = l.library_id GROUP BY ALL", *DL)
 def library_landing_route(spark, sf):
-    d = B.documents(spark, sf).filter("doc_id % 3 = 0 OR library_id > 'src5'")
-    return C.status_counts(d).select("library_id", C.landing_route(F.col("indexed")).alias("route"))
-
-
-@query("SELECT library_id, CASE WHEN count(*) FILTER (status = 'indexed') > 0 THEN 'search' ELSE 'documents' END AS route FROM d GROUP BY library_id", *D)
-def library_landing_route_all(spark, sf):
-    return C.status_counts(B.documents(spark, sf)).select("library_id", C.landing_route(F.col("indexed")).alias("route"))
+    return C.status_counts(B.documents(spark, sf), B.library_ids(spark, sf)).select("library_id", C.landing_route(F.col("indexed")).alias("route"))
 
 
 @query("SELECT l.library_id, count(d.id) AS document_count, CAST(coalesce(sum(d.size), 0) AS BIGINT) AS chunk_count FROM (SELECT DISTINCT library_id FROM d UNION ALL SELECT 'nowhere') l LEFT JOIN d ON d.library_id = l.library_id GROUP BY ALL", *D)
@@ -167,7 +138,6 @@ def document_chunk_counts(spark, sf):
     return B.chunks(spark, sf).groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
 
 
-@over_all(*ALL_DK, contents=B.labelled_contents)
 @query("SELECT d.id, d.name, k.text AS content, CASE WHEN k.text IS NOT NULL THEN k.text WHEN status = 'error' THEN 'Document processing failed' ELSE 'Document is being processed...' END AS shown FROM d LEFT JOIN k ON k.document_id = d.id", *DK)
 def document_with_content(spark, sf, contents=B.contents):
     return C.with_content(B.documents(spark, sf).drop("text").withColumn("error", F.lit(None).cast("string")), contents(spark, sf)).select("id", "name", "content", "shown")
@@ -194,26 +164,22 @@ def _after(s: C.Snapshot) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@over_all(*ALL_DK, B.CHUNKS, contents=B.labelled_contents)
 @query(_AFTER.format("id NOT IN ('7', '8', '9')", "document_id NOT IN ('7', '8', '9')"), *DK, B.CHUNKS)
 def delete_document_cascade(spark, sf, contents=B.contents):
     ids = spark.createDataFrame([("7",), ("8",), ("9",), ("none",)], "id string")
     return _after(C.delete_documents(_snapshot(spark, sf, contents), ids))
 
 
-@over_all(*ALL_DK, B.CHUNKS, contents=B.labelled_contents)
 @query(_AFTER.format("library_id <> 'src2'", "library_id <> 'src2'"), *DK, B.CHUNKS)
 def delete_library_cascade(spark, sf, contents=B.contents):
     return _after(C.delete_library(_snapshot(spark, sf, contents), "src2"))
 
 
-@over_all(*ALL_DK, B.CHUNKS, contents=B.labelled_contents)
 @query(_AFTER.format("status NOT IN ('pending', 'parsing')", "document_id NOT IN (SELECT id FROM d WHERE status IN ('pending', 'parsing'))"), *DK, B.CHUNKS)
 def cleanup_interrupted(spark, sf, contents=B.contents):
     return _after(C.cleanup_interrupted(_snapshot(spark, sf, contents)))
 
 
-@over_all(*ALL_DK, contents=B.labelled_contents)
 @query("SELECT document_id, text FROM k WHERE CAST(document_id AS BIGINT) % 5 <> 0 UNION ALL SELECT id, text || '!' FROM d WHERE doc_id % 5 = 0", *DK)
 def upsert_content(spark, sf, contents=B.contents):
     d = B.documents(spark, sf).filter("doc_id % 5 = 0")
@@ -363,13 +329,11 @@ def _rounded(scores: DataFrame, k: int = 10) -> DataFrame:
     return ranked.select("query_id", "rank", "chunk_id", F.round("exact", 6).alias("score"))
 
 
-@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(_top(10, "ts"), *DCQ)
 def bm25_topk(spark, sf, asked=B.queries):
     return _rounded(S.text_scores(B.held_index(spark, sf), asked(spark, sf)))
 
 
-@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(_top(10, "vp"), *DCQ)
 def vector_topk(spark, sf, asked=B.queries):
     return _rounded(S.vector_scores(B.held_chunks(spark, sf), asked(spark, sf)))
@@ -384,49 +348,65 @@ def _hybrid(spark, sf, t: float, v: float, asked=B.queries) -> DataFrame:
     return S.fused(S.text_scores(B.held_index(spark, sf), q), S.vector_scores(c, q), t, v)
 
 
-@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(_top(10, _fuse(0.5, 0.5)), *DCQ)
 def hybrid_topk(spark, sf, asked=B.queries):
     return _rounded(_hybrid(spark, sf, 0.5, 0.5, asked))
 
 
-@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(_top(10, _fuse(0.3, 0.7)), *DCQ)
 def hybrid_weighted(spark, sf, asked=B.queries):
     return _rounded(_hybrid(spark, sf, 0.3, 0.7, asked))
 
 
-@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(_top(10, _fuse(1.0, 0.0)), *DCQ)
 def hybrid_text_only(spark, sf, asked=B.queries):
     return _rounded(_hybrid(spark, sf, 1.0, 0.0, asked))
 
 
-@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(_top(10, _fuse(0.0, 1.0)), *DCQ)
 def hybrid_vector_only(spark, sf, asked=B.queries):
     return _rounded(_hybrid(spark, sf, 0.0, 1.0, asked))
 
 
-@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(f"SELECT query_id, rank, chunk_id, score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM ({_top(10, _fuse(0.5, 0.5))})) WHERE score >= best * 0.7", *DCQ)
 def search_relative_threshold(spark, sf, asked=B.queries):
     return S.relative_filter(_rounded(_hybrid(spark, sf, 0.5, 0.5, asked)), 70)
 
 
-@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(f"SELECT r.query_id, r.rank, r.chunk_id, r.score, c.document_id, c.document_name, c.text, c.page, c.chunk_index FROM ({_top(10, _fuse(0.5, 0.5))}) r JOIN c ON c.id = r.chunk_id", *DCQ)
 def q1_hybrid_search(spark, sf, asked=B.queries):
     """The flagship: chunk all documents, index, and answer hybrid queries with described results."""
     return S.described(_rounded(_hybrid(spark, sf, 0.5, 0.5, asked)), B.held_chunks(spark, sf))
 
 
-@over_all(*ALL_DCQ, asked=B.all_queries)
 @query(f"SELECT query_id, count(*) AS n, round(max(score), 6) AS best FROM ({_top(3, 'ts')}) GROUP BY ALL", *DCQ)
 def search_result_counts(spark, sf, asked=B.queries):
     return _rounded(S.text_scores(B.held_index(spark, sf), asked(spark, sf)), 3).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
 
 
+@query("SELECT query_id, library_id, count(*) AS n FROM (SELECT query_id, q.library_id, chunk_id FROM q JOIN ts USING (query_id)) GROUP BY ALL", B.DOCUMENTS, B.CHUNKS, B.QUERIES, B.SCORES)
+def index_rebuilt_hits(spark, sf, asked=B.queries):
+    """Hits after every library's index was saved, read back, one rebuilt, one removed and hydrated again: all as before."""
+    c = B.held_chunks(spark, sf)
+    i = I.rebuild(B.held_index(spark, sf), "src1", c)
+    i = I.hydrate(I.remove_library(i, "src2"), "src2", c)
+    i = i if I.exists(i, "src2") else I.Index.empty(spark)
+    q = asked(spark, sf)
+    return S.text_scores(i, q).join(q.select("query_id", "library_id"), "query_id").groupBy("query_id", "library_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT library_id, 0 AS blank, 0 AS missing FROM l", *DL)
+def search_guards(spark, sf):
+    """Blank queries, and queries of a library without an index, find nothing in any library."""
+    libs = B.library_ids(spark, sf).select(F.col("id").alias("library_id"))
+    none = F.lit(None).cast("array<float>")
+    blank = libs.select(F.concat(F.lit("b:"), "library_id").alias("query_id"), "library_id", F.lit(" \t").alias("text"), none.alias("embedding"))
+    missing = libs.select(F.concat(F.lit("m:"), "library_id").alias("query_id"), F.concat(F.lit("no "), "library_id").alias("library_id"), F.lit("the a of and").alias("text"), none.alias("embedding"))
+    hits = S.text_scores(B.held_index(spark, sf), blank.union(missing)).select(F.split("query_id", ":")[0].alias("kind"), F.split("query_id", ":")[1].alias("library_id"))
+    found = hits.groupBy("library_id").agg(F.count_if(F.col("kind") == "b").alias("b"), F.count_if(F.col("kind") == "m").alias("m"))
+    return libs.join(found, "library_id", "left").select("library_id", F.coalesce("b", F.lit(0)).cast("int").alias("blank"), F.coalesce("m", F.lit(0)).cast("int").alias("missing"))
+
+
 # Scalar functions.
 
 
@@ -459,14 +439,8 @@ def labels_and_clamps(spark, sf):
     return B.documents(spark, sf).select("id", N.iso_date(F.col("created_at")).alias("created"), F.upper("type").alias("type"), X.counted(i % 4, "result").alias("results"), N.clamp(i % 120 - 10, 1).alias("k"), N.clamp(i % 150 - 20, 0, 100).alias("least_score"))
 
 
-@query("SELECT item_id, replace(url_encode(left(text, 60)), '%7E', '~') AS encoded, len(text) - strpos(reverse(text), ' ') AS last_space FROM benchmark WHERE strpos(text, ' ') > 0")
-def string_functions(spark, sf):
-    b = B.table(spark, sf, "benchmark").filter(F.instr("text", " ") > 0)
-    return b.select("item_id", X.url_component(F.left("text", F.lit(60))).alias("encoded"), X.last_index_of(F.col("text"), " ").cast("long").alias("last_space"))
-
-
 @query("SELECT item_id, replace(url_encode(text), '%7E', '~') AS encoded, len(text) - strpos(reverse(text), ' ') AS last_space FROM benchmark WHERE strpos(text, ' ') > 0 UNION ALL SELECT item_id, replace(url_encode(text), '%7E', '~'), -1 FROM benchmark WHERE strpos(text, ' ') = 0")
-def string_functions_all(spark, sf):
+def string_functions(spark, sf):
     return B.table(spark, sf, "benchmark").select("item_id", X.url_component(F.col("text")).alias("encoded"), X.last_index_of(F.col("text"), " ").cast("long").alias("last_space"))
 
 
@@ -476,6 +450,13 @@ def cosine_to_first(spark, sf):
     return e.join(F.broadcast(e.filter("vec_id = 0").select(F.col("embedding").alias("z")))).select("vec_id", F.round(N.cosine(F.col("embedding"), F.col("z")), 6).alias("similarity"))
 
 
+@query("SELECT doc_id, TRY_CAST(nullif(regexp_extract(t, '^[ ]*([+-]?[0-9]+)', 1), '') AS BIGINT) AS whole FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN '  -' || doc_id || 'px' WHEN 2 THEN 'n' || doc_id WHEN 3 THEN doc_id || '.9' ELSE '' END AS t FROM documents)")
+def whole_numbers(spark, sf):
+    i = F.col("doc_id").cast("string")
+    t = F.when(F.col("doc_id") % 5 == 0, i).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("  -"), i, F.lit("px"))).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("n"), i)).when(F.col("doc_id") % 5 == 3, F.concat(i, F.lit(".9"))).otherwise("")
+    return B.table(spark, sf, "documents").select("doc_id", N.whole_number(t).cast("long").alias("whole"))
+
+
 # Viewing.
 
 
@@ -487,11 +468,6 @@ def highlight_exact(spark, sf):
     return c.join(d, "document_id").withColumn("start", at.cast("long")).filter("start >= 0").select("document_id", "chunk_index", "start", F.expr("left(text, start)").alias("before"))
 
 
-@query("SELECT c.document_id, c.chunk_index, strpos(replace(replace(d.text, chr(10), ''), ' ', ''), replace(replace(c.text, chr(10), ''), ' ', '')) > 0 AS found FROM c JOIN d ON d.id = c.document_id WHERE c.chunk_index = 0", *DC)
-def highlight_spaceless(spark, sf):
-    return _located(spark, sf, B.chunks(spark, sf).filter("chunk_index = 0")).select("document_id", "chunk_index", "found")
-
-
 def _located(spark, sf, c: DataFrame) -> DataFrame:
     """document_id, chunk_index, start, end, found: where the chunks lie in their documents' texts."""
     c = c.select("document_id", "chunk_index", F.col("text").alias("chunk"))
@@ -503,33 +479,31 @@ def _located(spark, sf, c: DataFrame) -> DataFrame:
 
 
 @query(None)
-def highlight_spaceless_all(spark, sf):
+def highlight_spaceless(spark, sf):
     """Every chunk of every document, with its place, by all of find_chunk's ways."""
     return _located(spark, sf, B.chunks(spark, sf))
 
 
-@over_all(*ALL_DCQ, asked=B.all_queries)
 @query("SELECT r.query_id, r.rank, r.chunk_id, r.score, c.document_id, c.document_name, c.text, c.page, c.chunk_index FROM (" + _top(5, "vp") + ") r JOIN c ON c.id = r.chunk_id", *DCQ)
 def search_vector_results(spark, sf, asked=B.queries):
     c = B.held_chunks(spark, sf)
     return S.described(_rounded(S.vector_scores(c, asked(spark, sf)), 5), c)
 
 
-@over_all(*ALL_DCQ, asked=B.all_queries)
 @query("SELECT r.query_id, r.rank, r.chunk_id, r.score, c.document_id, c.document_name, c.text, c.page, c.chunk_index FROM (" + _top(5, "ts") + ") r JOIN c ON c.id = r.chunk_id", *DCQ)
 def search_text_results(spark, sf, asked=B.queries):
     return S.described(_rounded(S.text_scores(B.held_index(spark, sf), asked(spark, sf)), 5), B.held_chunks(spark, sf))
 
 
-@over_all(*ALL_DCQ, asked=B.all_queries)
-@query("SELECT query_id, rank, chunk_id, CAST(floor(score * 100 + 0.5) AS INTEGER) AS percent, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'mid' ELSE 'low' END AS band, score = max(score) OVER (PARTITION BY query_id) AS focused FROM (" + _top(10, _fuse(0.5, 0.5)) + ")", *DCQ)
+@query("SELECT query_id, rank, chunk_id, CAST(floor(score * 100 + 0.5) AS INTEGER) AS percent, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'mid' ELSE 'low' END AS band, chunk_id = (SELECT min(id) FROM c WHERE document_id = '11' AND chunk_index = 0) AS focused FROM (" + _top(10, _fuse(0.5, 0.5)) + ")", *DCQ)
 def result_badges(spark, sf, asked=B.queries):
-    r = _rounded(_hybrid(spark, sf, 0.5, 0.5, asked))
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    return r.select("query_id", "rank", "chunk_id", N.score_percent(F.col("score")).alias("percent"), N.score_band(F.col("score")).alias("band"), (F.col("score") == best).alias("focused"))
+    """The result that a reader came from, the first chunk of document 11, is the focused one wherever it is found."""
+    c = B.held_chunks(spark, sf)
+    came = C.where(c, document_id="11", chunk_index=0).agg(F.min("id").alias("focus"))  # one row
+    r = _rounded(_hybrid(spark, sf, 0.5, 0.5, asked)).join(F.broadcast(came))
+    return r.select("query_id", "rank", "chunk_id", N.score_percent(F.col("score")).alias("percent"), N.score_band(F.col("score")).alias("band"), S.focused(F.col("chunk_id"), F.col("focus")).alias("focused"))
 
 
-@over_all(*ALL_DCQ, asked=B.all_queries)
 @query("SELECT r.query_id, r.rank, c.document_id, c.chunk_index, c.text AS chunk_text FROM (" + _top(3, "ts") + ") r JOIN c ON c.id = r.chunk_id", *DCQ)
 def result_links(spark, sf, asked=B.queries):
     c = B.held_chunks(spark, sf)
@@ -538,17 +512,9 @@ def result_links(spark, sf, asked=B.queries):
     return S.at_chunk(named, c).select("query_id", "rank", "document_id", "chunk_index", "chunk_text")
 
 
-@query("SELECT d.id, coalesce(k.text, 'Document is being processed...') AS before, '' AS match, '' AS after FROM d JOIN k ON k.document_id = d.id WHERE d.doc_id % 9 = 0", *DK)
+@query("SELECT d.id, CASE WHEN k.text IS NOT NULL THEN k.text WHEN status = 'error' THEN 'Document processing failed' ELSE 'Document is being processed...' END AS before, '' AS match, '' AS after FROM d LEFT JOIN k ON k.document_id = d.id", *DK)
 def view_without_match(spark, sf):
-    d = B.documents(spark, sf).filter("doc_id % 9 = 0").select("id").join(B.contents(spark, sf).withColumnRenamed("document_id", "id"), "id")
-    located = d.withColumn("at", find_chunk(F.col("text"), F.lit("\u2603 is in no document")))
-    before, match, after = highlight(F.col("text"), F.col("at"))
-    return located.select("id", before.alias("before"), match.alias("match"), after.alias("after"))
-
-
-@query("SELECT d.id, CASE WHEN k.text IS NOT NULL THEN k.text WHEN status = 'error' THEN 'Document processing failed' ELSE 'Document is being processed...' END AS before, '' AS match, '' AS after FROM d LEFT JOIN k ON k.document_id = d.id", *ALL_DK)
-def view_without_match_all(spark, sf):
-    d = C.with_content(B.documents(spark, sf).select("id", "status"), B.labelled_contents(spark, sf)).select("id", F.col("shown").alias("text"))
+    d = C.with_content(B.documents(spark, sf).select("id", "status"), B.contents(spark, sf)).select("id", F.col("shown").alias("text"))
     located = d.withColumn("at", find_chunk(F.col("text"), F.lit("\u2603 is in no document")))
     before, match, after = highlight(F.col("text"), F.col("at"))
     return located.select("id", before.alias("before"), match.alias("match"), after.alias("after"))
@@ -557,16 +523,8 @@ def view_without_match_all(spark, sf):
 # Ingestion: one library's documents as text files, chunked in paragraphs.
 
 
-@query("SELECT id AS document_id, 'indexed' AS status, count(*) AS chunk_count FROM lo WHERE cur <> '' AND id IN (SELECT id FROM d WHERE library_id = 'src6') GROUP BY id", *D, _LOOP)
-def ingest_documents(spark, sf):
-    d = C.where(B.documents(spark, sf), library_id="src6")
-    parsed = d.select("id", F.concat("id", F.lit(".txt")).alias("name"), F.lit("").alias("mime"), "size", "text", F.lit(None).cast("array<string>").alias("pages"), F.lit(None).cast("string").alias("error"))
-    s = ingest(C.create_library(C.Snapshot.empty(spark), "fresh", "Fresh", 1), parsed, "fresh", 2)
-    return s.documents.select(F.col("id").alias("document_id"), "status", "chunk_count")
-
-
 @query(None)
-def ingest_documents_all(spark, sf):
+def ingest_documents(spark, sf):
     """document_id, library_id, status, chunk_count, digest: all documents under their own names and libraries, PDFs with a page for each line. The digest follows from number, page, text and embedding (in millionths) of every chunk."""
     d = _spread(spark, sf).withColumn("pages", F.when(F.col("type") == "pdf", F.split("text", "\n")))
     parsed = d.select("id", "library_id", "name", "mime", "size", "text", "pages", F.lit(None).cast("string").alias("error"))
@@ -579,15 +537,8 @@ def ingest_documents_all(spark, sf):
     return s.documents.withColumnRenamed("id", "document_id").join(digests, "document_id", "left").select("document_id", "library_id", "status", "chunk_count", "digest")
 
 
-@query("SELECT vec_id AS id, 384 AS dimensions, true AS unit FROM embeddings JOIN documents ON vec_id = doc_id")
-def embed_documents(spark, sf):
-    d = B.table(spark, sf, "documents").join(B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
-    e = d.select(F.col("doc_id").alias("id"), embed(F.col("text")).alias("v"))
-    return e.select("id", F.size("v").alias("dimensions"), (F.abs(N.dot(F.col("v"), F.col("v")) - 1) < 1e-5).alias("unit"))
-
-
 @query(None)
-def embed_documents_all(spark, sf):
+def embed_documents(spark, sf):
     """id, embedding, wordless: every row of documents; a null text counts as empty, and a text without words has the zero vector."""
     d = spread(B.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
     e = d.select("id", embed(F.coalesce("text", F.lit(""))).alias("embedding"))

@@ -17,6 +17,8 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A file scan dealt to all cores, if it has fewer splits than there are cores (one small file, say). For plain scans only."""
+    """In a local session, a file scan dealt to all cores, if it has fewer splits than there are cores (one small file, say). For plain scans only: on a cluster, splits follow from the files' sizes and no table is shuffled for this."""
+    if not scan.sparkSession.sparkContext.master.startswith("local"):
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan

@@ -56,8 +56,3 @@ def edges(counts: DataFrame, key: str, order: str, processing: str, indexed: str
     before = F.lag(processing).over(Window.partitionBy(key).orderBy(order))
     ended = F.coalesce((before > 0) & (F.col(processing) == 0), F.lit(False))
     return counts.withColumn("all_indexed", ended).withColumn("redirect", ended & (F.col(indexed) > 0))
-
-
-def started(count: Column, before: Column) -> Column:
-    """Rising edge: nothing before, something now."""
-    return (F.coalesce(before, F.lit(0)) == 0) & (count > 0)
