@@ -31,6 +31,8 @@ HASH_BITS = 24
 STEMS = (4, 5, 6)
 PAIR_STEM = 5
 CACHE = 200_000
+#: Entries of the sample's term lists that are looked up at once.
+SPAN = 1 << 20
 #: Bytes outside words become spaces: words are letters a-z (after lower-casing A-Z) and all bytes from 0x80.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -77,21 +79,27 @@ class Sample:
     def __init__(self, lists: pa.ChunkedArray, y: np.ndarray):
         self.y = y == 1
         self.n1, self.n0 = int(self.y.sum()), int((~self.y).sum())
-        self.flat = np.concatenate([np.empty(0, np.int64), *[c.flatten().to_numpy() for c in lists.chunks]]).astype(np.int64)
+        self.flat = np.concatenate([np.empty(0, np.int32), *[c.flatten().to_numpy() for c in lists.chunks]])
         self.sizes = np.concatenate([np.empty(0, np.int64), *[c.value_lengths().to_numpy() for c in lists.chunks]]).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
 
     def only(self, terms: np.ndarray) -> list[np.ndarray]:
-        """Each document's places among these sorted terms."""
-        at = np.minimum(np.searchsorted(terms, self.flat), max(0, len(terms) - 1))
-        hit = terms[at] == self.flat if len(terms) else np.zeros(len(self.flat), bool)
-        return np.split(at[hit], np.cumsum(np.bincount(self.doc[hit], minlength=len(self.y)))[:-1])
+        """Each document's places among these sorted terms. Looked up SPAN entries at a time."""
+        places, docs, terms = [np.empty(0, np.int64)], [np.empty(0, np.int32)], terms.astype(np.int32)
+        for low in range(0, len(self.flat) if len(terms) else 0, SPAN):
+            part = self.flat[low : low + SPAN]
+            at = np.minimum(np.searchsorted(terms, part), len(terms) - 1)
+            hit = terms[at] == part
+            places.append(at[hit])
+            docs.append(self.doc[low : low + SPAN][hit])
+        return np.split(np.concatenate(places), np.cumsum(np.bincount(np.concatenate(docs), minlength=len(self.y)))[:-1])
 
     def rated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All terms of LEAST_DOCS documents or more, with the documents that have them and the |z| of the classes' shares."""
-        terms, at = np.unique(self.flat, return_inverse=True)
-        n = np.bincount(at, minlength=len(terms))
-        a = np.bincount(at, self.y[self.doc], len(terms))
+        terms, n = np.unique(self.flat, return_counts=True)
+        toxic, of = np.unique(self.flat[self.y[self.doc]], return_counts=True)
+        a = np.zeros(len(terms))
+        a[np.searchsorted(terms, toxic)] = of
         p = n / (self.n0 + self.n1)
         z = np.abs(a / self.n1 - (n - a) / self.n0) / np.sqrt(p * (1 - p) * (1 / self.n1 + 1 / self.n0) + 1e-9)
         some = n >= LEAST_DOCS
