@@ -121,7 +121,10 @@ class ByteTagger:
 
     def positions(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Probabilities by (position, window, language)."""
-        logits = self.states(x, mask) @ self.out + self.bias
+        k = self.forward.hidden
+        logits = self.forward.run(x, mask) @ self.out[:k]
+        logits += (self.backward.run(x[::-1], mask[::-1]) @ self.out[k:])[::-1]
+        logits += self.bias
         logits -= logits.max(axis=2, keepdims=True)
         np.exp(logits, out=logits)
         logits /= logits.sum(axis=2, keepdims=True)
