@@ -44,30 +44,37 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def best_of(score: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to the lower position, by partial selection."""
-    n = len(score)
+    """Positions of the k highest scores, ties to the lower position."""
+    return best_of_each(score[None], k, np.zeros((1, len(score)), bool))[1]
+
+
+def best_of_each(score: np.ndarray, k: int, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, positions) of each row's k highest scores, ties to the lower position, by partial selection; what `out` marks takes no part."""
+    n = score.shape[1]
     if n <= k:
-        return np.arange(n)
-    least = np.partition(score, n - k)[n - k]
-    above = np.flatnonzero(score > least)
-    return np.concatenate([above, np.flatnonzero(score == least)[: k - len(above)]])
+        return np.nonzero(~out)
+    low = np.where(out, -LONG, score)
+    least = np.partition(low, n - k, axis=1)[:, n - k, None]
+    above, level = (low > least) & ~out, (low == least) & ~out
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))
 
 
 def _tile(k: int):
     def tile(queries: pa.Table, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("vec_id", "ascending")])
         ids, own = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-        out: list[tuple] = []
+        parts = [(own[:0], ids[:0], np.empty(0, np.int64))]
         if len(ids) and len(own):
             asked, held = _matrix(queries["query"], len(own)), _matrix(rows["vector"], len(ids))
             for at in range(0, len(own), STRIP_ROWS):
-                for q, line in zip(own[at : at + STRIP_ROWS], scores(asked[at : at + STRIP_ROWS], held), strict=True):
-                    others = np.flatnonzero(ids != q)
-                    pick = others[best_of(line[others], k)]
-                    out += [(q, i, s) for i, s in zip(ids[pick], line[pick], strict=True)]
+                strip = own[at : at + STRIP_ROWS]
+                score = scores(asked[at : at + STRIP_ROWS], held)
+                row, place = best_of_each(score, k, strip[:, None] == ids[None, :])
+                parts.append((strip[row], ids[place], score[row, place]))
         shard = rows["shard"][0].as_py() if len(ids) else 0
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array([shard] * len(out), pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["query_id", "shard", "vec_id", "score"])
+        q, i, s = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pa.table([pa.array(q, pa.int64()), pa.array(np.full(len(q), shard), pa.int32()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "shard", "vec_id", "score"])
 
     return tile
 
