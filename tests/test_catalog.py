@@ -1,9 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import catalog as C
 from vellum.operators.ingest import ingest
 from vellum.sources.files import parse
-from vellum.sources.store import Store
+from vellum.sources.store import Conflict, Store
 
 
 def ids(df, col="id"):
@@ -78,6 +79,21 @@ def test_store_versions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(library_id" in plan
 
 
+def test_store_writes_what_changed(spark, tmp_path):
+    store, other = Store(spark, str(tmp_path / "store")), Store(spark, str(tmp_path / "store"))
+    store.commit(two_libraries(spark))
+    held, seen = store.read(), other.read()
+    changes = spark.createDataFrame([("d1", "parsing", 7)], "id string, status string, processing_progress int")
+    assert store.commit(C.set_status(held, changes, 60)) == 2
+    written = sorted(p.name for p in (tmp_path / "store" / "data").glob("*/*"))
+    assert written == ["chunks", "contents", "documents", "documents", "libraries"]
+    assert {r.id: r.status for r in store.read().documents.collect()}["d1"] == "parsing" and store.read().chunks.count() == held.chunks.count()
+    with pytest.raises(Conflict):  # it would undo what the first writer did
+        other.commit(C.delete_library(seen, "lib-1"))
+    assert store.version() == 2 and len(list((tmp_path / "store" / "data").iterdir())) == 2
+    assert other.commit(C.delete_library(other.read(), "lib-1")) == 3 and ids(other.read().documents) == ["d4", "d5"]
+
+
 def test_parse(spark):
     import io
     import zipfile
