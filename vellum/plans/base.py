@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +16,7 @@ from vellum.functions.numbers import chunk_id
 from vellum.operators.chunking import chunk_pages
 from vellum.operators.index import Index, build
 from vellum.session import spread
-from vellum.sources.files import document_type
+from vellum.sources.files import DOCX, document_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +56,28 @@ def library_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return libraries(spark, sf_dir).filter("id IS NOT NULL").select("id").union(spark.createDataFrame([(FRESH,)], "id string"))
 
 
+def docx_file(text: str) -> bytes:
+    """A DOCX file with a paragraph for each line."""
+    lines = "".join(f"<w:p><w:r><w:t>{escape(line, {chr(13): '&#13;'})}</w:t></w:r></w:p>" for line in text.split("\n"))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{lines}</w:body></w:document>')
+    return held.getvalue()
+
+
+def files(spark: SparkSession, sf_dir: str, mime: str) -> DataFrame:
+    """id, name, mime, content: every document as a file, its text (null: empty) in UTF-8 or, for DOCX, within one."""
+
+    @F.arrow_udf("binary")
+    def docx(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            yield pa.array([docx_file(t) for t in part.to_pylist()], pa.binary())
+
+    text = F.coalesce("text", F.lit(""))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select(F.col("doc_id").cast("string").alias("id"), F.lit("file").alias("name"), F.lit(mime).alias("mime"), (docx(text) if mime == DOCX else F.encode(text, "UTF-8")).alias("content"))
+
+
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, library_id, text, pages of the documents that labels names: the others have no content yet."""
     named = table(spark, sf_dir, "labels").select("doc_id").distinct()

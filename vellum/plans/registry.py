@@ -99,6 +99,20 @@ def decode_text_files(spark, sf):
     return parsed.select("page_id", F.length("text").cast("long").alias("size"), P.document_type(F.col("mime"), F.col("name")).alias("type"))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) || chr(10) || chr(10) AS text, CAST(NULL AS VARCHAR) AS error FROM documents")
+def decode_docx_files(spark, sf):
+    """Every document as a DOCX file of a paragraph for each line, and its text."""
+    return P.parse(B.files(spark, sf, P.DOCX)).select("id", "text", "error")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS text, len(string_split(coalesce(text, ''), chr(10))) AS n_pages FROM documents")
+def concatenate_pages(spark, sf):
+    """Every document as a file of the PDF route, whose decoder gives a page for each line and an item for each word."""
+    decoder = lambda content: [line.split(" ") for line in content.decode("utf-8").split("\n")]
+    parsed = P.parse(B.files(spark, sf, P.PDF), pdf=decoder)
+    return parsed.select("id", "text", F.size("pages").cast("long").alias("n_pages"))
+
+
 # Counts and catalog changes.
 
 
