@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 
 from vellum.llm.language_id import WINDOW, ByteTagger, Cell, language_id, padded
-from vellum.llm.learning import sampled
-from vellum.llm.quality import FEATURES, SHARES, Featurer, PairRanker, quality_filter, quality_scores
+from vellum.llm.learning import sampled, taught_whole
+from vellum.llm.quality import FEATURES, SHARES, Featurer, PairRanker, Rivals, blocks_of, histogram, quality_filter, quality_scores, totals
 from vellum.llm.toxicity import FactorizationMachine, toxicity_scores
 
 
@@ -213,6 +213,65 @@ def test_ranker_cuts_at_the_quantile():
     assert ((m.scores(x) >= 0.3) == y).mean() > 0.97
 
 
+def test_quality_learns_from_every_labelled_id(spark, docs):
+    """A word that only ids beyond the 10,000 of each class with the least hashes hold still counts."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(27_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("y")).filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
+    some = {r.doc_id for r in sampled(ids, "y", 10_000, F.xxhash64(F.lit(9), "doc_id")).collect()}
+    rest = [r.doc_id for r in ids.collect() if r.doc_id not in some]
+    assert len(some) == 20_000 and len(rest) > 500
+    word = dict.fromkeys(rest, ("klomp", "wedge"))
+    rows = [(i, f"{word[i][i % 2]} and so on" if i in word else "plain and so on") for i in range(27_000)] + [(30_000, "klomp and so on"), (30_001, "wedge and so on")]
+    labels = spark.createDataFrame([(i, i % 2, 0, 0.0) for i in range(27_000)], LABELS)
+    out = {r.doc_id: r.score for r in quality_scores(docs(*rows), labels).filter("doc_id >= 30000").collect()}
+    assert out[30_000] < 0.3 < out[30_001]
+
+
+def test_slope_and_curvature_are_those_of_all_pairs():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(90, 6)).astype(np.float32), rng.integers(0, 2, 90)
+    x[y == 1, 1] += 1
+    m, over = PairRanker(x, y), lambda f: f(x, y == 1)
+    first, second = (v.ravel() for v in np.meshgrid(np.flatnonzero(y == 1), np.flatnonzero(y == 0)))
+    z = (x - m.centre) / m.spread
+    assert np.abs(m.pair_loss(z, first, second)[0]).max() < 1e-3  # learnt to the end
+    m.weights = rng.normal(size=6)
+    plain, value = m.pair_loss(z, first, second)
+    rivals = Rivals(histogram(m.strength(x), y == 1))
+    slope, curve = m.newton(over, rivals)
+    assert abs(rivals.loss() + m.ridge(m.weights) - value) < 1e-4 and np.allclose(slope, plain, atol=1e-4)
+    d = z[first] - z[second]
+    p = 1 / (1 + np.exp(-d @ m.weights))
+    assert np.allclose(curve, (d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(6), atol=2e-3)
+
+
+def test_blocks_give_what_one_block_gives(spark, docs):
+    """Several partitions, one of them empty; null texts; an id with two texts, one with both labels and one without a row."""
+    rows, labels = quality_rows(300)
+    df = docs(*rows, (1, "another text"), (700, None), (701, "x"), (None, "y"))
+    lab = spark.createDataFrame([*labels, (700, 1, 0, 0.0), (701, 1, 0, 0.0), (701, 0, 0, 0.0), (999, 0, 0, 0.0)], LABELS)
+    met = taught_whole(df, "text", lab, "quality", 5, 0)
+    got = {r.doc_id: (r.y, r._text) for r in met.collect()}
+    assert set(got) == {i for i in [*range(300), 700] if fold(i, 5)} and got[1][1] in (rows[1][1], "another text") and met.count() == len(got)
+    y, texts = zip(*got.values(), strict=True)
+    one = PairRanker(Featurer().of([t and t.encode() for t in texts]).astype("<f2"), np.array(y))
+    blocks = blocks_of(met.repartition(5, "doc_id").filter("doc_id is not null")).cache()
+    m = PairRanker.of(blocks)
+    x = Featurer().of([r[1].encode() for r in rows])
+    assert np.allclose(m.scores(x), one.scores(x), atol=1e-6) and np.abs(m.weights).max() > 0
+    assert totals(blocks, lambda x, good: (np.array([len(x), good.sum()]), np.empty(0), np.empty(0)))[0].tolist() == [len(y), sum(y)]
+
+
+@pytest.mark.parametrize("values", [[0.0] * 9, [1.0, 1.0, 1.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0], [1e-9 * k for k in range(9)], [500.0 + 1e-6 * k for k in range(9)], [-1e6, -3.0, 0.1, 0.1, 0.1, 0.1, 0.2, 7.0, 1e300 ** 0.5]])
+def test_the_cut_is_exact(values):
+    s, m = np.array(values), PairRanker(np.zeros((0, 1)), np.zeros(0))
+    m.strength = lambda x: x[:, 0].astype(np.float64)
+    for below in range(1, 9):
+        middle, deviation = m.cut(lambda f: f(s[::-1, None], np.ones(9, bool)), below)
+        assert middle == (s[below - 1] + s[below]) / 2
+
+
 def test_machine_learns_what_no_single_term_tells():
     """Toxic only where both terms occur: weights alone can't separate it with an equal mix of the single terms."""
     rows, y = [], []

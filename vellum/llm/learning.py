@@ -1,4 +1,4 @@
-"""What the trained operators share: folds by id, bounded labelled samples, and class priors."""
+"""What the trained operators share: folds by id, labelled rows, bounded samples of them, and class priors."""
 
 from __future__ import annotations
 
@@ -44,6 +44,16 @@ def taught(docs: DataFrame, text: str, labels: DataFrame, column: str, folds: in
     return met.groupBy("doc_id", "y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")), counts
 
 
+def taught_whole(docs: DataFrame, text: str, labels: DataFrame, column: str, folds: int, which: int) -> DataFrame:
+    """doc_id, y, _text of every labelled id outside the held-out fold that has a row, in the order of ids within partitions; one text an id (the least by hash).
+
+    An id's rows are merged before they move, so no id is hot.
+    """
+    own = docs.select("doc_id", F.col(text).alias("_text")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, which))
+    once = own.groupBy("doc_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    return once.join(labelled(labels, column, folds, which).hint("shuffle_hash"), "doc_id").sortWithinPartitions("doc_id").select("doc_id", "y", "_text")
+
+
 def labelled(labels: DataFrame, column: str, folds: int, which: int) -> DataFrame:
     """doc_id, y: ids outside the held-out fold with a label of 0 or 1; an id with both is left out."""
     known = labels.select("doc_id", F.col(column).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
