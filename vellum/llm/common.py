@@ -3,78 +3,33 @@ joins and prefix sums, and Arrow plumbing."""
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.session import BATCH_BYTES, shared_dir, small_batches
+from vellum.session import release as release
+from vellum.session import stored as stored
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: Rows and bytes that a function sees at once, and so the bytes of a batch on its way to Python.
-BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
-ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows that a function sees at once, of at most BATCH_BYTES bytes.
+BATCH_ROWS = 256
 #: A group with at least 1/HEAVY of all rows is heavy; there are at most HEAVY of them.
 HEAVY = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint folder, set here only if unset. What this application leaves there goes when it ends."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        if configured is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            configured = tempfile.mkdtemp(prefix="vellum-checkpoint-")
-        sc.setCheckpointDir(configured)
-    own = sc.getCheckpointDir()  # a folder of this application's own within the configured one
-    if own not in _CLEANED:
-        _CLEANED.add(own)
-        atexit.register(_remove, spark, own)
-    return own
-
-
-_CLEANED: set[str] = set()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder and cut the lineage there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like cut(), but as a Parquet table of the shared folder, for wide rows that are read by column."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete stored() tables of which nothing that is still to run reads."""
-    for table in tables:
-        _remove(table.sparkSession, table._stored_at)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended; the folder is the cluster's to clean then
-        return
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII takes the faster built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -91,15 +46,6 @@ def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         start += rows
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_BYTES bytes, whatever the length of texts: the 64 MB of Spark's default cost several hundred MB an executor.
-
-    Spark reads the setting when a plan runs, so it stays lowered; results don't depend on it, and a lower one is left alone.
-    """
-    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(ARROW_BYTES)) > BATCH_BYTES:
-        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow in small portions, so that a worker's memory does not follow from the batch size."""
     small_batches(df.sparkSession)
