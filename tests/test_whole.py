@@ -131,3 +131,13 @@ def test_views_and_routes_cover_all_documents(spark, small):
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
     got = {r.item_id: (unquote(r.encoded), r.last_space) for r in q["string_functions"](spark, small).collect()}
     assert got == {i: (t, t.rfind(" ")) for i, t in texts.items()} and max(map(len, texts.values())) > 60
+
+
+def test_a_long_document_is_read_once_for_all_its_chunks(spark, tmp_path):
+    """No row joins a chunk with its text: that took the text's length for each chunk."""
+    text = "\n".join(f"line {i} has no end" for i in range(2000))
+    spark.createDataFrame([(0, text, "en", "src0", len(text)), (1, None, "en", "src0", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = entry.queries()["highlight_spaceless"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and {r.document_id for r in found.collect()} == {"0"}
+    assert all(r.found for r in found.collect()) and found.count() > 50
