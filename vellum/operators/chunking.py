@@ -114,6 +114,11 @@ def chunk_pages(pages: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     return _udf(page_chunks, size, overlap)(pages)
 
 
+def unnested(df: DataFrame, chunks: Column) -> DataFrame:
+    """A row a chunk, with text, chunk_index and page. From inline() Spark infers a filter on the chunks, for which it makes them twice."""
+    return df.select("*", F.inline_outer(chunks)).filter("chunk_index IS NOT NULL")
+
+
 def chunk_route(name: Column, pages: Column) -> Column:
     """Which chunker a document takes: pages if it has any, else markdown by its (case-sensitive) suffix, else paragraphs."""
     return F.when(F.size(F.coalesce(pages, F.array().cast("array<string>"))) > 0, "pages").when(name.endswith(".md") | name.endswith(".markdown"), "markdown").otherwise("text")

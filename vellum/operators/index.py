@@ -34,7 +34,8 @@ class Index:
     @property
     def postings(self) -> DataFrame:
         """library_id, chunk_id, document_id, term, tf."""
-        rows = self.entries.select("library_id", "chunk_id", "document_id", F.inline(F.arrays_zip("terms", "tfs")))
+        # Not by inline(): the filter that Spark infers from it makes new entries twice.
+        rows = self.entries.select("library_id", "chunk_id", "document_id", F.inline_outer(F.arrays_zip("terms", "tfs"))).filter("terms IS NOT NULL")
         return rows.select("library_id", "chunk_id", "document_id", F.col("terms").alias("term"), F.col("tfs").cast("long").alias("tf"))
 
     @property
