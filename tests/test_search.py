@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,46 @@ def test_neighbours(spark):
 def test_result_links(spark, some):
     r = S.search_text(I.build(some), some, queries(spark, ("l", "cooking", None))).withColumn("library_id", F.lit("l"))
     assert some.filter("id = 'c3'").count() == 1 and [x.chunk_text for x in S.at_chunk(r, some.filter("id = 'c3'")).collect()] == ["cooking"]
+
+
+def test_tiles_and_blocks_give_the_whole_ranking(spark, monkeypatch):
+    """Each query's first k among all pairs, with many ties, in tiles of one row and blocks of few queries; nothing but each task's best is shuffled."""
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i:03}", f"l{i % 3}", f"d{i}", " ".join(rng.choice(list("abcdefgh"), 4)), None if i % 5 == 0 else [float(x) for x in rng.integers(-1, 2, 3)]) for i in range(300)]
+    c = chunks(spark, rows)
+    q = queries(spark, *[(f"l{i % 4}", " ".join(rng.choice(list("abcxyz"), 2)), None if i % 6 == 0 else [float(x) for x in rng.integers(-1, 2, 3)]) for i in range(24)])
+    i = I.build(c)
+    text = {(r.query_id, r.chunk_id): r.score for r in S.text_scores(i, q).collect()}
+    vector = {(r.query_id, r.chunk_id): r.score for r in S.vector_scores(c, q).collect()}
+    most = lambda s, query: max((v for (a, _), v in s.items() if a == query), default=0)
+    unit = lambda s, p: s.get(p, 0) / most(s, p[0]) if most(s, p[0]) > 0 else 0
+    both = {p: 0.3 * unit(text, p) + 0.7 * unit(vector, p) for p in {*text, *vector}}
+    first = lambda s: {p for n in range(24) for p in sorted((p for p in s if p[0] == n), key=lambda p: (-round(s[p], 9), p[1]))[:4]}
+    monkeypatch.setattr(S.T, "BLOCK", 5)
+    monkeypatch.setattr(S.T, "TILE", 2)
+    top = {"text": S.top_text(i, q, 4, 9), "vector": S.top_vector(c, q, 4, 9), "both": S.top_hybrid(i, q, 4, 0.3, 0.7, 9)}
+    for name, scores in (("text", text), ("vector", vector), ("both", both)):
+        got = {(r.query_id, r.chunk_id): r.score for r in top[name].collect()}
+        assert set(got) == first(scores) and got == pytest.approx({p: scores[p] for p in got})
+        plan = top[name]._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan[plan.index("MapInArrow") : plan.index("MapInArrow") + 200]
+    counts = {r.query_id: r.n for r in S.text_counts(i, q).collect()}
+    assert counts == {n: k for n in range(24) if (k := sum(p[0] == n for p in text))}
+
+
+def test_best_of_many_ties_settles():
+    best, rng = S.T.Best(3, 2), np.random.default_rng(1)
+    rows = [(f"{n:05}", float(x)) for n, x in enumerate(rng.integers(0, 3, 3000))]
+    for at in range(0, 3000, 100):
+        part = rows[at : at + 100]
+        score = np.array([[x] * 3 for _, x in part])
+        best.add(pa.array([i for i, _ in part]), score, score > 0, 9)
+    q, ids, _, _ = best.first()
+    assert list(zip(q.tolist(), ids.to_pylist(), strict=True)) == [(n, i) for n in range(3) for i, x in rows if x == 2][:2] + [(n, i) for n in (1, 2) for i in [i for i, x in rows if x == 2][:2]]
+
+
+def test_a_library_of_an_empty_name_is_stored(spark, tmp_path):
+    c = chunks(spark, [("c1", "", "d1", "apple", None), ("c2", None, "d2", "pear", None), ("c3", "a/b=c", "d3", "fig", [0.5])])
+    I.save(I.build(c), str(tmp_path / "ix"))
+    back = {r.chunk_id: (r.library_id, r.terms, r.embedding) for r in I.load(spark, str(tmp_path / "ix")).entries.collect()}
+    assert back == {"c1": ("", ["apple"], None), "c2": (None, ["pear"], None), "c3": ("a/b=c", ["fig"], [0.5])}

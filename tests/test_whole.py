@@ -141,3 +141,20 @@ def test_a_long_document_is_read_once_for_all_its_chunks(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and {r.document_id for r in found.collect()} == {"0"}
     assert all(r.found for r in found.collect()) and found.count() > 50
+
+
+def test_the_rebuilt_index_was_saved_and_read_back(spark, odd_tables):
+    """Also where there is no library src2 to hydrate, nor one src1 to rebuild."""
+    found = entry.queries()["index_rebuilt_hits"](spark, odd_tables)
+    files = spark.read.parquet(*{f.rsplit("/part=", 1)[0] for f in B.held_index(spark, odd_tables).entries.inputFiles()})
+    assert {r.library_id for r in files.collect()} == {"src0", "other", "src12", None} and "part" in files.columns
+    assert "vellum-index-" in found._jdf.queryExecution().analyzed().toString() or any("vellum-index-" in f for f in found.inputFiles())
+    assert {(r.query_id, r.n) for r in found.collect()} == {("0:src0", 1), ("0:other", 1), ("50:other", 1), ("50:src12", 1), ("70:src12", 1)}
+
+
+@pytest.mark.parametrize(("name", "python"), [("chunk_pages", 1), ("chunk_text", 1), ("chunk_dispatch", 3), ("highlight_spaceless", 2), ("index_terms", 2), ("ingest_documents", 1)])
+def test_chunks_are_made_once_from_small_batches(spark, small, name, python):
+    """A filter inferred from a generator made them twice, and each count of an ingest once more."""
+    plan = entry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == python
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
