@@ -1,13 +1,17 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import index as I  # noqa: E741
 from vellum.operators import search as S
+from vellum.operators import tiles as T
 from vellum.operators.embedding import HashingEmbedder, Model, embed
+from vellum.plans import base as B
 
 CHUNKS = "id string, library_id string, document_id string, document_name string, chunk_index int, text string, embedding array<float>, page int"
 
@@ -176,3 +180,31 @@ def test_a_library_of_an_empty_name_is_stored(spark, tmp_path):
     I.save(I.build(c), str(tmp_path / "ix"))
     back = {r.chunk_id: (r.library_id, r.terms, r.embedding) for r in I.load(spark, str(tmp_path / "ix")).entries.collect()}
     assert back == {"c1": ("", ["apple"], None), "c2": (None, ["pear"], None), "c3": ("a/b=c", ["fig"], [0.5])}
+
+
+def test_the_saved_index_is_packed(spark, small, tmp_path):
+    """As arrays in Spark's own codec it took 1.6 times the documents."""
+    I.save(I.build(B.chunks(spark, small)), str(tmp_path / "ix"))
+    held = [pq.ParquetFile(f) for f in (tmp_path / "ix").rglob("*.parquet")]
+    assert held and all(f.schema_arrow.field(c).type == pa.string() for f in held for c in ("terms", "tfs"))
+    assert {f.metadata.row_group(0).column(c).compression for f in held for c in range(f.metadata.num_columns)} == {"ZSTD"}
+    back = {r.chunk_id: r for r in I.load(spark, str(tmp_path / "ix")).entries.collect()}
+    for r in B.chunks(spark, small).collect():
+        found = I.words(r.text)
+        assert dict(zip(back[r.id].terms, back[r.id].tfs, strict=True)) == Counter(found) and back[r.id].dl == len(found)
+
+
+def test_packed_terms_of_wordless_chunks_and_high_counts(spark):
+    c = chunks(spark, [("c1", "l", "d", "a " * 70_000 + "b", None), ("c2", "l", "d", "?!", None), ("c3", "l", "d", None, None)])
+    got = {r.chunk_id: (r.terms, r.tfs, r.dl) for r in I.build(c).entries.collect()}
+    assert got == {"c1": (["a", "b"], [70_000, 1], 70_001), "c2": ([], [], 0), "c3": ([], [], 0)}
+    assert {(r.term, r.tf) for r in I.build(c).postings.collect()} == {("a", 70_000), ("b", 1)}
+
+
+def test_only_asked_libraries_of_an_index_are_read(spark, some, tmp_path):
+    I.save(I.build(some), str(tmp_path / "ix"))
+    i = I.load(spark, str(tmp_path / "ix"))
+    reach = lambda *q: [T.held(i.packed, b) for b in T.blocks(queries(spark, *q), True, True)][0]._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(library_id,m)" in reach(("m", "learning", None), ("l", " ", None))
+    assert "In(library_id, [l,m])" in reach(("m", "learning", None), ("l", " ", [1.0, 0.0]))
+    assert "Scan parquet" not in reach(("l", " ", None))

@@ -1,7 +1,8 @@
 """The search index: a table derived from chunks, never the source of truth.
 
 An entry is a chunk's library, ids, distinct terms with their counts, length and vector, made in
-one pass over the text; postings and stats are views of the entries. They may be stored by
+one pass over the text. Terms and counts are packed into a string each, which takes half the room
+of arrays; entries, postings and stats are views of that. The packed table may be stored by
 library and read back; all operations are exact by key.
 """
 
@@ -11,25 +12,30 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.session import small_batches
 
-ENTRIES = "library_id string, chunk_id string, document_id string, terms array<string>, tfs array<int>, dl long, embedding array<float>"
-COLUMNS = tuple(part.split()[0] for part in ENTRIES.split(", "))
+PACKED = "library_id string, chunk_id string, document_id string, terms string, tfs string, dl long, embedding array<float>"
+COLUMNS = tuple(part.split()[0] for part in PACKED.split(", "))
 #: Letters and digits: the words of functions.text.terms.
 _WORD = re.compile(r"[^\W_]+")
-_COUNTED = pa.struct([("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int32())), ("dl", pa.int64())])
+_COUNTED = pa.struct([("terms", pa.string()), ("tfs", pa.string()), ("dl", pa.int64())])
 
 
 @dataclass(frozen=True)
 class Index:
-    """entries: ENTRIES, a row a chunk; terms are in order."""
+    """packed: PACKED, a row a chunk; terms, in order, and their counts are joined by a space, which no term holds, and null if there are none."""
 
-    entries: DataFrame
+    packed: DataFrame
+
+    @property
+    def entries(self) -> DataFrame:
+        """The same with arrays: terms array<string>, tfs array<int>."""
+        terms, tfs = (F.coalesce(F.split(c, " ").cast(f"array<{kind}>"), F.array().cast(f"array<{kind}>")).alias(c) for c, kind in (("terms", "string"), ("tfs", "int")))
+        return self.packed.select("library_id", "chunk_id", "document_id", terms, tfs, "dl", "embedding")
 
     @property
     def postings(self) -> DataFrame:
@@ -41,11 +47,11 @@ class Index:
     @property
     def stats(self) -> DataFrame:
         """library_id, chunk_id, document_id, dl."""
-        return self.entries.select("library_id", "chunk_id", "document_id", "dl")
+        return self.packed.select("library_id", "chunk_id", "document_id", "dl")
 
     @staticmethod
     def empty(spark: SparkSession) -> Index:
-        return Index(spark.createDataFrame([], ENTRIES))
+        return Index(spark.createDataFrame([], PACKED))
 
 
 def words(text: str | None) -> list[str]:
@@ -54,21 +60,19 @@ def words(text: str | None) -> list[str]:
 
 
 def counted(text: Column) -> Column:
-    """struct(terms, tfs, dl) of a text. As a fold over the sorted array of terms, row by row, it took several times as long."""
+    """struct(terms, tfs, dl) of a text, packed. As a fold over the sorted array of terms, row by row, it took several times as long."""
 
-    @F.arrow_udf("struct<terms:array<string>,tfs:array<int>,dl:bigint>")
+    @F.arrow_udf("struct<terms:string,tfs:string,dl:bigint>")
     def of(texts: pa.Array) -> pa.Array:
-        terms, tfs, ends, lengths = [], [], [0], []
+        terms, tfs, lengths = [], [], []
         for text in texts.to_pylist():
             found = words(text)
             counts = Counter(found)
             own = sorted(counts)
-            terms += own
-            tfs += map(counts.__getitem__, own)
-            ends.append(len(terms))
+            terms.append(" ".join(own) if own else None)
+            tfs.append(" ".join([str(counts[t]) for t in own]) if own else None)
             lengths.append(len(found))
-        at = pa.array(ends, pa.int32())
-        parts = [pa.ListArray.from_arrays(at, pa.array(terms, pa.string())), pa.ListArray.from_arrays(at, pa.array(np.array(tfs, np.int32))), pa.array(lengths, pa.int64())]
+        parts = [pa.array(terms, pa.string()), pa.array(tfs, pa.string()), pa.array(lengths, pa.int64())]
         return pa.StructArray.from_arrays(parts, fields=list(_COUNTED))
 
     return of(text)
@@ -85,23 +89,23 @@ def build(chunks: DataFrame) -> Index:
 def insert(index: Index, chunks: DataFrame) -> Index:
     """With the chunks' entries; chunks that are already there are replaced, not doubled."""
     ids = chunks.select("library_id", F.col("id").alias("chunk_id")).distinct()
-    return Index(index.entries.join(ids, ["library_id", "chunk_id"], "left_anti").unionByName(build(chunks).entries))
+    return Index(index.packed.join(ids, ["library_id", "chunk_id"], "left_anti").unionByName(build(chunks).packed))
 
 
 def remove_library(index: Index, library_id: str) -> Index:
-    return Index(index.entries.filter(F.col("library_id") != library_id))
+    return Index(index.packed.filter(F.col("library_id") != library_id))
 
 
 def rebuild(index: Index, library_id: str, chunks: DataFrame) -> Index:
     """The library's entries made anew; without chunks it has no index afterwards."""
     new = build(chunks.filter(F.col("library_id") == library_id))
-    return Index(remove_library(index, library_id).entries.unionByName(new.entries))
+    return Index(remove_library(index, library_id).packed.unionByName(new.packed))
 
 
 def remove_documents(index: Index, ids: DataFrame) -> Index:
     """Without the documents in ids (id), however many chunks they have."""
     gone = ids.select(F.col("id").alias("document_id")).distinct()
-    return Index(index.entries.join(gone, "document_id", "left_anti"))
+    return Index(index.packed.join(gone, "document_id", "left_anti"))
 
 
 def exists(index: Index, library_id: str) -> bool:
@@ -115,12 +119,12 @@ def hydrate(index: Index, library_id: str, chunks: DataFrame) -> Index:
 
 def save(index: Index, path: str) -> None:
     """Stored by library; only the libraries in the index are overwritten. The folder's name is marked, so that an empty name isn't read back as null."""
-    parts = index.entries.withColumn("part", F.concat(F.lit("in "), "library_id"))
-    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/entries")
+    parts = index.packed.withColumn("part", F.concat(F.lit("in "), "library_id"))
+    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("part").parquet(f"{path}/entries")
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.schema(ENTRIES).parquet(f"{path}/entries").select(*COLUMNS))
+    return Index(spark.read.schema(PACKED).parquet(f"{path}/entries").select(*COLUMNS))
 
 
 def library_stats(index: Index) -> DataFrame:
