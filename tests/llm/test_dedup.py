@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vellum.llm.exact_dedup import chunks, exact_dedup
 from vellum.llm import near_dedup as N
-from vellum.llm.near_dedup import Shingles, components, leftovers, near_dedup, prefix_length, sketches
+from vellum.llm.common import join_groups
+from vellum.llm.near_dedup import Shingles, components, leftovers, near_dedup, prefix_length, settled, sketches
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -196,3 +197,25 @@ def test_leftovers_find_every_link_of_a_mixed_bucket(spark, monkeypatch, slice_)
 def test_prefixes_are_long_enough():
     for n in range(1, 200):
         assert prefix_length(n, 80) == n - (80 * n + 99) // 100 + 1
+
+
+def test_small_tables_take_few_tasks(spark):
+    """However many partitions a session deals keys to: with 211 of them, a join of 300 rows had 211 tasks and more."""
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = spark.range(300).selectExpr("if(id < 200, -1, id) AS k", "id")
+        got = join_groups(rows, rows.groupBy("k").count(), "k", "count", 300)
+        assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert sorted(tuple(r) for r in got.select("id", "count").collect()) == [(i, 200 if i < 200 else 1) for i in range(300)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_settled(spark):
+    of = lambda *edges: settled(spark.createDataFrame(list(edges), "a long, b long"))
+    assert of() and of((2, 1), (3, 1), (5, 4))
+    assert not of((2, 1), (3, 2)) and not of((3, 1), (3, 2))

@@ -20,6 +20,8 @@ LOWER = UPPER.lower()
 
 #: Rows that a function sees at once, of at most BATCH_BYTES bytes.
 BATCH_ROWS = 256
+#: Narrow rows that a task takes at least, where there are more tasks than cores.
+TASK_ROWS = 20_000
 #: A group with at least 1/HEAVY of all rows is heavy; there are at most HEAVY of them.
 HEAVY = 1000
 
@@ -30,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """df, of about so many rows, in a task for every task_rows of them, but as many as there are cores: partitions of a shuffle are read together if they hold less.
+
+    Not for a shuffled hash join: a task keeps its tables until it ends. Where partitions outnumber what small tables need, and adaptive execution doesn't merge them, the time of a step goes in tasks without rows.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / task_rows)))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII takes the faster built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -93,7 +103,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     broadcast; all others are joined by a shuffle in which no key can be hot.
     """
     least = max(64, math.ceil(total / HEAVY))
-    heavy, light = groups.filter(F.col(size) >= least), groups.filter(F.col(size) < least)
+    heavy, light = few(groups.filter(F.col(size) >= least), HEAVY), groups.filter(F.col(size) < least)
     hot = rows.join(F.broadcast(heavy), key)
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
-    return hot.unionByName(rest)
+    return few(hot.unionByName(rest), total)

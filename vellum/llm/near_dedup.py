@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, join_groups, map_arrow, release, stored
+from vellum.llm.common import cut, few, join_groups, map_arrow, release, stored
 
 WORDS, PERCENT = 5, 80
 #: 42 bands of 6 coordinates: a pair at the threshold of 0.8 is missed with a chance below 1e-5.
@@ -35,6 +35,8 @@ BANDS, ROWS = 42, 6
 SLICE, SLICE_ITEMS = 128, 1 << 20
 #: Shingles in one product of a tile.
 COLUMNS = 1 << 14
+#: Pairs with both of their sets, and sets or rows of an index with theirs, that a task takes at least.
+WIDE_ROWS = 1_000
 #: Edges in one part of the components' first step.
 PART_EDGES = 20_000
 #: Distinct words whose hashes a worker keeps.
@@ -149,18 +151,16 @@ def full_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (node, centre) whose full sets are similar enough. pairs: node, centre, n (the centre's partners). A centre's partners are dealt to slices, so none is hot."""
+    """The pairs (node, centre) whose full sets are similar enough. A centre's partners are dealt to slices, so none is hot."""
+    rows = pairs.count()
+    fans = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
+    pairs = join_groups(pairs, fans, "centre", "n", rows)
     pairs = pairs.select("node", "centre", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SLICE)).alias("slice"))
     centres = pairs.select("centre", "slice").distinct().join(sets.select(F.col("node").alias("centre"), F.col("items").alias("other")), "centre")
-    both = pairs.join(sets, "node").join(centres, ["centre", "slice"])
+    both = few(pairs.join(sets, "node"), rows, WIDE_ROWS).join(few(centres, rows, WIDE_ROWS), ["centre", "slice"])
     shared = F.size(F.array_intersect("items", "other"))
-    return both.filter(shared * 100 >= percent * (F.size("items") + F.size("other") - shared)).select("node", "centre").distinct()
-
-
-def _with_partners(pairs: DataFrame) -> DataFrame:
-    """pairs (node, centre) with n, the number of the centre's partners."""
-    fans = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
-    return join_groups(pairs, fans, "centre", "n", pairs.count())
+    alike = both.filter(shared * 100 >= percent * (F.size("items") + F.size("other") - shared)).select("node", "centre")
+    return few(few(alike, rows, WIDE_ROWS).distinct(), rows)
 
 
 def _forest(edges: pa.Table) -> pa.Table:
@@ -183,22 +183,30 @@ def _forest(edges: pa.Table) -> pa.Table:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step on edges (a, b), a > b: the neighbours of each node that are larger (or else, those that are not) move to its least neighbour."""
+    """One step on stored edges (a, b), a > b: the neighbours of each node that are larger (or else, those that are not) move to its least neighbour."""
     around = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         around = around.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = around.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-    met = join_groups(around, least, "u", "n", edges.count() * (2 if large else 1))
-    moved = met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.filter("a <> b").distinct()
+    total = edges.count() * (2 if large else 1)
+    met = join_groups(around, least, "u", "n", total)
+    moved = met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(few(least.select(F.col("u").alias("a"), F.col("m").alias("b")), total))
+    return few(moved.filter("a <> b").distinct(), total)
+
+
+def settled(edges: DataFrame) -> bool:
+    """Whether distinct edges (a, b), a > b, are stars around least nodes: no node has an edge to a lesser one and another edge besides."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("node").agg(F.max("up").alias("up"), F.count(F.lit(1)).alias("n"))
+    return few(nodes, 2 * edges.count()).agg(F.count_if((F.col("up") == 1) & (F.col("n") > 1))).first()[0] == 0
 
 
 def components(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
     """node, label of all nodes with an edge (a, b), a <> b: the least node reachable.
 
     First each part of about `part_edges` edges is replaced by its own forest. Then large
-    and small stars alternate until the edges stay as they are, which is when every node
-    has one edge, to its least: after about log(n) rounds. All tables are narrow; hot nodes
+    and small stars alternate until every node has one edge, to its least, which a round
+    would leave as it is: after about log(n) rounds. All tables are narrow; hot nodes
     are joined by broadcast; of each round only its outcome is kept.
     """
     least, most = F.least("a", "b"), F.greatest("a", "b")
@@ -209,20 +217,16 @@ def components(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _forest(pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))).to_batches()
 
-    now = stored(held.repartition(parts, "b").mapInArrow(forest, "a long, b long").distinct(), "edges")
+    # Parts are what they are, however many partitions the session deals keys to.
+    now = stored(few(held.repartition(parts, "b").coalesce(parts).mapInArrow(forest, "a long, b long").distinct(), parts * part_edges), "edges")
     release(held)
-    state = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 32)), F.bit_xor(F.xxhash64("a", "b"))).first())
-    before = state(now)
-    while True:
+    while not settled(now):
         large = stored(_star(now, True), "edges")
         small = stored(_star(large, False), "edges")
         release(now, large)
-        now, after = small, state(small)
-        if after == before:
-            break
-        before = after
+        now = small
     ends = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    out = cut(ends.unionByName(ends.select("label").distinct().select(F.col("label").alias("node"), "label")))
+    out = cut(ends.unionByName(few(ends.select("label").distinct(), ends.count()).select(F.col("label").alias("node"), "label")))
     release(now)
     return out
 
@@ -282,22 +286,22 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 def leftovers(entries: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) across components, of all nodes in buckets that hold several. entries: bucket, node."""
-    nodes = entries.select("node").distinct()
-    known = stored(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    nodes, n = entries.select("node").distinct(), entries.count()
+    known = stored(few(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), n), "labels")
     of = entries.join(known, "node").groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"))
     # With two rows, the centre has met the other; with one component, nothing is left.
     mixed = of.filter("low < high AND rows > 2").select("bucket", "rows")
-    asked = stored(join_groups(entries, mixed, "bucket", "rows", entries.count()).select("node").distinct().join(known, "node"), "asked")
-    held = stored(asked.join(sets, "node").select("node", "label", "items"), "asked-sets")
-    lists = stored(prefixes(held, percent), "lists")
+    asked = stored(few(join_groups(entries, mixed, "bucket", "rows", n).select("node").distinct().join(known, "node"), n), "asked")
+    held = stored(few(asked.join(sets, "node").select("node", "label", "items"), asked.count(), WIDE_ROWS), "asked-sets")
+    lists = stored(few(prefixes(held, percent), held.count(), WIDE_ROWS), "lists")
     totals = lists.groupBy("item").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items"), F.min("label").alias("low"), F.max("label").alias("high"))
-    totals = stored(totals.filter("low < high").select("item", "rows", "items"), "totals")
+    totals = stored(few(totals.filter("low < high").select("item", "rows", "items"), lists.count()), "totals")
     # Short lists: pairs of other components whose sizes allow the similarity, each once, then confirmed.
     short = lists.join(totals.filter(F.col("rows") <= SLICE).select("item"), "item")
     other = short.select(*[F.col(c).alias(f"other_{c}") for c in ("item", "node", "label", "n")])
     fits = (F.col("item") == F.col("other_item")) & (F.col("node") < F.col("other_node")) & (F.col("label") != F.col("other_label")) & (F.least("n", "other_n") * 100 >= percent * F.greatest("n", "other_n"))
-    pairs = stored(short.join(other, fits).select("node", F.col("other_node").alias("centre")).distinct(), "pairs")
-    links = [confirmed(_with_partners(pairs), held.select("node", "items"), percent).select(F.col("node").alias("a"), F.col("centre").alias("b"))]
+    pairs = stored(few(short.join(other, fits).select("node", F.col("other_node").alias("centre")).distinct(), lists.count()), "pairs")
+    links = [confirmed(pairs, held.select("node", "items"), percent).select(F.col("node").alias("a"), F.col("centre").alias("b"))]
     # Long lists: tiles of both sides, bounded in rows and shingles; only links come out.
     long = totals.filter(F.col("rows") > SLICE)
     if not long.isEmpty():
@@ -310,7 +314,7 @@ def leftovers(entries: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
         # Each pair once: the side that is dealt to the lower part, or within a part both.
         odd = full.select(F.col("item").alias("odd_item"), deal.alias("j"), spread.alias("i"), F.col("node").alias("odd_node"), F.col("label").alias("odd_label"), F.col("items").alias("odd_items")).filter("i <= j")
         links.append(odd.groupBy("odd_item", "i", "j").cogroup(rows.filter("i <= j").groupBy("item", "i", "j")).applyInArrow(_cross(percent), "a long, b long"))
-    out = cut((links[0] if len(links) == 1 else links[0].unionByName(links[1])).distinct())
+    out = cut(few((links[0] if len(links) == 1 else links[0].unionByName(links[1])).distinct(), lists.count()))
     release(known, asked, held, lists, totals, pairs)
     return out
 
@@ -319,11 +323,11 @@ def near_rows(docs: DataFrame, text: str = "text", words: int = WORDS, percent:
     """doc_id, th (text_hash()), n_shingles, component_id, component (a number for each component; null for rows that are linked with nothing by definition): one row per input row, as near_dedup() says."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text")).withColumn("th", text_hash(F.col("_text")))
     signed = stored(signatures(docs, words, bands, rows), "signatures")
-    keys, row = ["d1", "d2"], ["doc_id", "th"]
+    keys, row, n = ["d1", "d2"], ["doc_id", "th"], signed.count()
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # One row stands for each distinct set: one with its least id.
     groups = some.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.min_by("th", "doc_id").alias("th"), F.count(F.lit(1)).alias("size"))
-    groups = stored(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+    groups = stored(few(groups, n).withColumn("node", F.monotonically_increasing_id()), "groups")
     chosen = groups.select(*keys, F.col("least").alias("doc_id"), "th", "node")
     nodes = stored(some.select(*row, *keys, "bands").join(chosen.hint("shuffle_hash"), [*row, *keys]).select("node", "bands"), "nodes")
     if nodes.count() > groups.count():  # rows that are there several times
@@ -333,13 +337,14 @@ def near_rows(docs: DataFrame, text: str = "text", words: int = WORDS, percent:
     # The centre is the node that is least after an exclusive or with the bucket's hash: any node, another one in each bucket.
     mask = F.xxhash64("bucket")
     buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("node").bitwiseXOR(mask)).alias("least")).filter("n > 1")
-    buckets = cut(buckets.select("bucket", "n", F.col("least").bitwiseXOR(mask).alias("centre")))
-    met = stored(join_groups(entries, buckets, "bucket", "n", groups.count() * bands).select("bucket", "node", "centre"), "buckets")
+    most = groups.count() * bands
+    buckets = cut(few(buckets.select("bucket", "n", F.col("least").bitwiseXOR(mask).alias("centre")), most))
+    met = stored(join_groups(entries, buckets, "bucket", "n", most).select("bucket", "node", "centre"), "buckets")
     release(nodes)
-    pairs = cut(met.filter("node <> centre").select("node", "centre").distinct())
-    asked = chosen.join(met.select("node").distinct(), "node", "left_semi")
+    pairs = cut(few(met.filter("node <> centre").select("node", "centre").distinct(), met.count()))
+    asked = few(chosen.join(met.select("node").distinct(), "node", "left_semi"), n)
     sets = stored(full_sets(docs.join(asked.hint("shuffle_hash"), row).select("node", *keys, "_text"), words), "sets")
-    links = cut(confirmed(_with_partners(pairs), sets, percent).select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    links = cut(confirmed(pairs, sets, percent).select(F.col("node").alias("a"), F.col("centre").alias("b")))
     labels = components(links)
     extra = leftovers(met.select("bucket", "node"), labels, sets, percent)
     if not extra.isEmpty():
@@ -347,11 +352,12 @@ def near_rows(docs: DataFrame, text: str = "text", words: int = WORDS, percent:
     release(met, sets)
     # The least id of each component, then of each set, then of each row; hot ones are joined by broadcast.
     of = labels.join(groups.select("node", "least"), "node")
+    of = few(of, groups.count())
     least = of.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     found = join_groups(labels, least, "label", "n", labels.count()).select("node", "label", "component_id")
-    labelled = groups.join(found, "node", "left").select(*keys, "size", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("label", "node").alias("component"))
+    labelled = few(groups.join(found, "node", "left"), groups.count()).select(*keys, "size", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("label", "node").alias("component"))
     columns = ["doc_id", "th", "n_shingles", "component_id", "component"]
-    linked = join_groups(some.select("doc_id", "th", "n_shingles", *keys), labelled, keys, "size", signed.count())
+    linked = join_groups(some.select("doc_id", "th", "n_shingles", *keys), labelled, keys, "size", n)
     alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
     return linked.select(*columns).unionByName(alone.select(*columns))
 

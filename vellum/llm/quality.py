@@ -325,7 +325,8 @@ def totals(blocks: DataFrame, f: Pass) -> Found:
     schema = "place int, sums binary, bulk binary, least binary"
     groups = math.ceil(math.sqrt(blocks.rdd.getNumPartitions()))
     by_task = map_arrow(blocks, each, schema)
-    some = map_arrow(by_task.repartition(groups, F.col("place") % groups).sortWithinPartitions("place"), merged, schema)
+    # Dealt by place, not by a key: so many tasks as there are groups, whatever the number of shuffle partitions.
+    some = map_arrow(by_task.repartition(groups).sortWithinPartitions("place"), merged, schema)
     out = none()
     for got in sorted(some.toArrow().to_pylist(), key=lambda r: r["place"]):
         out = add(out, back(got))
