@@ -27,9 +27,15 @@ _COUNTED = pa.struct([("terms", pa.string()), ("tfs", pa.string()), ("dl", pa.in
 
 @dataclass(frozen=True)
 class Index:
-    """packed: PACKED, a row a chunk; terms, in order, and their counts are joined by a space, which no term holds, and null if there are none."""
+    """packed: PACKED, a row a chunk; terms, in order, and their counts are joined by a space, which no term holds, and null if there are none.
+
+    texts, vectors: of an index that is made as it is read and joins its vectors then, the same rows but for
+    the vectors, and library_id, chunk_id and embedding of rows with all vectors; for passes over one side only.
+    """
 
     packed: DataFrame
+    texts: DataFrame | None = None
+    vectors: DataFrame | None = None
 
     @property
     def entries(self) -> DataFrame:
